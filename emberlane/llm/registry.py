@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from emberlane.llm import bpe, html, language, packing, quality, rans, toxicity
+from emberlane.llm import bpe, chat, html, language, near_dup, packing, quality, rans, toxicity
 
-_MODULES = [language, toxicity, bpe, rans, html, quality, packing]
+_MODULES = [language, toxicity, bpe, rans, html, quality, packing, chat, near_dup]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
