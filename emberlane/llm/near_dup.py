@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import drop_table, hash_words, materialize, shuffle_width, table, window_hashes
+from emberlane.llm.common import drop_table, hash_words, materialize, table, window_hashes
 from emberlane.llm.components import components
+from emberlane.llm.tiles import Rows, forest, into_tiles, per_run, sides
 
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 32
@@ -94,94 +95,9 @@ def digest(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, words binary, sig binary")
 
 
-def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (a[i], b[j]) of a spanning forest of the links, by growing from each document not yet reached."""
-    out: list[tuple[int, int]] = []
-    new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    degree = linked.sum(axis=1)
-    for root in np.argsort(-degree, kind="stable").tolist():
-        if not degree[root] or not new_a[root]:
-            continue
-        new_a[root] = False
-        rows = [root]
-        while rows:
-            columns = []
-            for i in rows:
-                for j in np.flatnonzero(linked[i] & new_b).tolist():
-                    out.append((int(a[i]), int(b[j])))
-                    new_b[j] = False
-                    columns.append(j)
-            rows = []
-            for j in columns:
-                for i in np.flatnonzero(linked[:, j] & new_a).tolist():
-                    out.append((int(a[i]), int(b[j])))
-                    new_a[i] = False
-                    rows.append(i)
-    return out
-
-
-def _tiles(rows: DataFrame, group: str, count: str, doc: str) -> DataFrame:
-    """Deals each group of ``count`` documents into tiles by a hash, and a row to every pair of tiles that it is in.
-
-    Adds ``i`` and ``j``, the pair, and ``side``: 0 in both tiles (i = j), 1 in the first, 2 in the second.
-    """
-    n = F.ceil(F.col(count) / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64(doc), F.col("tiles")).cast("int")
-    dealt = rows.withColumn("tiles", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-
-
-def _per_run(rows: DataFrame, keys: list[str], work, carried: str) -> DataFrame:
-    """Deals rows (keys, side, doc, carried) out by keys and gives each run of equal keys to ``work(docs, sides, values)``, which returns edges."""
-    spread = rows.select(*keys, "side", "doc", carried).repartition(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys, "doc")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_keys, held, edges = len(keys), None, []
-        for batch in batches:
-            table_ = pa.Table.from_batches([batch])
-            if held is not None:
-                table_ = pa.concat_tables([held, table_]).combine_chunks()
-            codes = [table_.column(i).to_numpy() for i in range(n_keys)]
-            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1 if table_.num_rows > 1 else np.zeros(0, np.int64)
-            last = int(cuts[-1]) if len(cuts) else 0
-            edges += _runs(table_.slice(0, last), [0, *cuts.tolist()], n_keys, work)
-            held = table_.slice(last)
-            if len(edges) > 20_000:
-                yield _edge_batch(edges)
-                edges = []
-        if held is not None:
-            edges += _runs(held, [0, held.num_rows], n_keys, work)
-        if edges:
-            yield _edge_batch(edges)
-
-    return spread.mapInArrow(run, "a bigint, b bigint")
-
-
-def _runs(rows: pa.Table, cuts: list[int], n_keys: int, work) -> list[tuple[int, int]]:
-    if rows.num_rows == 0:
-        return []
-    sides, docs, values = rows.column(n_keys).to_numpy(), rows.column(n_keys + 1).to_numpy(), rows.column(n_keys + 2).to_pylist()
-    out: list[tuple[int, int]] = []
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a > 1:
-            out += work(docs[a:b], sides[a:b], values[a:b])
-    return out
-
-
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
-
-def _sides(docs: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the documents of the first and second tile of a pair."""
-    both = np.flatnonzero(sides == 0)
-    return (both, both) if len(both) else (np.flatnonzero(sides == 1), np.flatnonzero(sides == 2))
-
-
-def match_tile(docs: np.ndarray, sides: np.ndarray, sigs: list[bytes]) -> list[tuple[int, int]]:
+def match_tile(docs: np.ndarray, side: np.ndarray, sigs: list[bytes]) -> Rows:
     """A spanning forest of the pairs that agree in MATCHES coordinates or more."""
-    one, two = _sides(docs, sides)
+    one, two = sides(side)
     if not len(one) or not len(two):
         return []
     values = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), COORDINATES)
@@ -191,12 +107,12 @@ def match_tile(docs: np.ndarray, sides: np.ndarray, sigs: list[bytes]) -> list[t
         count += left[:, k, None] == right[None, :, k]
     linked = count >= MATCHES
     linked &= docs[one][:, None] != docs[two][None, :]
-    return _forest(linked, docs[one], docs[two])
+    return forest(linked, docs[one], docs[two])
 
 
-def verify_tile(docs: np.ndarray, sides: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+def verify_tile(docs: np.ndarray, side: np.ndarray, sets: list[bytes]) -> Rows:
     """A spanning forest of the pairs whose full shingle sets are similar enough."""
-    one, two = _sides(docs, sides)
+    one, two = sides(side)
     if not len(one) or not len(two):
         return []
     arrays = [np.frombuffer(s, "<u8") for s in sets]
@@ -220,7 +136,7 @@ def verify_tile(docs: np.ndarray, sides: np.ndarray, sets: list[bytes]) -> list[
     common = np.rint(common).astype(np.int64)
     linked = 100 * common >= SIMILAR * (sizes[one][:, None] + sizes[two][None, :] - common)
     linked &= docs[one][:, None] != docs[two][None, :]
-    return _forest(linked, docs[one], docs[two])
+    return forest(linked, docs[one], docs[two])
 
 
 def candidate_links(reps: DataFrame) -> DataFrame:
@@ -251,7 +167,7 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     prefix = materialize(prefix, name="prefix")
     sizes = prefix.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
     with_sig = prefix.join(sizes, "e").join(reps.select("doc", short("sig").alias("sig")), "doc")
-    found = materialize(_per_run(_tiles(with_sig, "e", "n", "doc"), ["e", "i", "j"], match_tile, "sig").distinct(), name="candidates")
+    found = materialize(per_run(into_tiles(with_sig, "n", "doc", TILE), ["e", "i", "j"], match_tile, "sig").select("a", "b").distinct(), name="candidates")
     drop_table(posted)
     drop_table(prefix)
     return found
@@ -269,7 +185,7 @@ def true_links(clusters: DataFrame, texts: DataFrame) -> DataFrame:
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     members = texts.join(clusters.withColumnRenamed("v", "doc"), "doc").select("component", "doc", "text").mapInArrow(run, "component bigint, doc bigint, shingles binary")
-    return _per_run(_tiles(members.join(sizes, "component"), "component", "n", "doc"), ["component", "i", "j"], verify_tile, "shingles")
+    return per_run(into_tiles(members.join(sizes, "component"), "n", "doc", TILE), ["component", "i", "j"], verify_tile, "shingles").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
