@@ -72,7 +72,7 @@ class Coder:
         self.start = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.freq)[:-1].astype(np.uint64)))
         self.symbol = np.repeat(np.arange(len(self.freq)), self.freq.astype(np.int64)).astype(np.uint16)
 
-    def encode(self, ids: np.ndarray, documents: list[int], *, lanes: int = 128, every: int = 256) -> bytes:
+    def encode(self, ids: np.ndarray, documents: list[int], *, lanes: int = 1024, every: int = 128) -> bytes:
         n = len(ids)
         rows = -(-n // lanes)
         freq, start = self.freq[ids], self.start[ids]
@@ -146,7 +146,7 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write(tokens: DataFrame, frequencies: np.ndarray, path: str, *, key: str = "doc_id", end_id: int | None = None, block_tokens: int = 1 << 16) -> None:
+def write(tokens: DataFrame, frequencies: np.ndarray, path: str, *, key: str = "doc_id", end_id: int | None = None, block_tokens: int = 1 << 18) -> None:
     """Writes (key, ids) in ascending order of key as blocks under ``path``.
 
     The partitions are ranges of the key; a block holds consecutive whole documents,
