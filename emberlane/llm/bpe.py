@@ -31,7 +31,7 @@ SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0
 _SPACES = "".join(map(chr, SPACE_POINTS))
 _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 #: Distinct pieces that a worker keeps; beyond it the cache starts again. It bounds memory, not results.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_100_000
 
 
 def byte_characters() -> list[str]:

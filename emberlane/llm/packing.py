@@ -31,24 +31,26 @@ from emberlane.llm.common import table
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: the places of ``sizes`` dealt over k windows of near-equal sums."""
-    heap = []
-    for place, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = size
-        heap.append((-size, place, sums, [[] for _ in range(k - 1)] + [[place]]))
+    """Karmarkar-Karp: the places of ``sizes`` dealt over k windows of near-equal sums.
+
+    A partial partition keeps its windows that hold something, fullest first; the
+    others are empty. Its imbalance is the fullest window less the emptiest.
+    """
+    heap = [(-size if k > 1 else 0, place, [(size, [place])]) for place, size in enumerate(sizes)]
     heapq.heapify(heap)
     tick = len(sizes)
     while len(heap) > 1:
-        _, _, a, own = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        total = a + b[::-1]  # both ascend: full meets empty
-        joined = [x + y if x and y else x or y for x, y in zip(own, reversed(other))]
-        order = np.argsort(total, kind="stable")
-        total = total[order]
-        heapq.heappush(heap, (int(total[0] - total[-1]), tick, total, [joined[i] for i in order.tolist()]))
+        own, other = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = len(own) + len(other) - k  # so many of the emptiest of each meet one of the other's
+        if both > 0:
+            meet = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(own[-both:], reversed(other[-both:]))]
+            own = own[:-both] + meet + other[:-both]
+        else:
+            own = own + other
+        own.sort(key=lambda w: -w[0])
+        heapq.heappush(heap, ((own[-1][0] if len(own) == k else 0) - own[0][0], tick, own))
         tick += 1
-    return heap[0][3] if heap else [[] for _ in range(k)]
+    return [w[1] for w in heap[0][2]] if heap else []
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -57,7 +59,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
     while True:
         windows = difference(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return [w for w in windows if w]
+            return windows
         k += max(1, k // 200)
 
 
@@ -71,7 +73,7 @@ def _filling(size: int, least: int = 8) -> list[int]:
     return out + [size] * (size > 0)
 
 
-def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, group_pieces: int = 384, fill_every: int = 8) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, group_pieces: int = 256, fill_every: int = 10) -> DataFrame:
     """One row a piece: key, start, length, ids (packed as 16-bit integers), doc_tokens, sequence_id, offset."""
     kind = df.schema[key].dataType.simpleString()
     tail = np.array([end_id], "<u2").tobytes()
