@@ -1,4 +1,8 @@
-"""All queries of the reference's own operators, with their SQL."""
+"""All queries of the engine's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from emberlane.plans import campaign, joins, ordered
+
+_MODULES = [campaign, joins, ordered]
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
