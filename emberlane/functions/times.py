@@ -36,7 +36,7 @@ def micros(column: Column | str) -> Column:
 
 def filetime_micros(filetime: Column) -> Column:
     """Microseconds since 1970; null for zero and negative values."""
-    return F.when(filetime > 0, F.floor((filetime - F.lit(FILETIME_EPOCH)) / 10)).cast("bigint")
+    return F.when(filetime > 0, F.call_function("div", filetime - F.lit(FILETIME_EPOCH), F.lit(10)))
 
 
 def window_around(micros_: Column, before_days: int, after_days: int) -> tuple[Column, Column]:

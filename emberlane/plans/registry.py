@@ -1,8 +1,8 @@
 """All queries of the engine's own operators, with their SQL."""
 
-from emberlane.plans import campaign, joins, ordered
+from emberlane.plans import campaign, joins, ordered, records, verdicts
 
-_MODULES = [campaign, joins, ordered]
+_MODULES = [campaign, joins, ordered, records, verdicts]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
