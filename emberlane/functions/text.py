@@ -20,6 +20,18 @@ def normalize_path(path: Column) -> Column:
     return F.when(cut == "", slashed).otherwise(cut)
 
 
+def nt_normalize(path: Column, depth: int = 12) -> Column:
+    """Backslashes, lower case, doubled separators joined, ``.`` dropped and ``..`` resolved, ``depth`` of them at most."""
+    out = F.lower(F.replace(path, F.lit("/"), F.lit("\\")))
+    out = F.regexp_replace(out, r"(?<!^)\\{2,}", r"\\")
+    for _ in range(2):
+        out = F.regexp_replace(out, r"\\\.(?=\\|$)", "")
+    for _ in range(depth):
+        out = F.regexp_replace(out, r"(^|\\)(?!\.\.(?:\\|$))[^\\:]+\\\.\.(?=\\|$)", "$1")
+        out = F.regexp_replace(out, r"(?<!^)\\{2,}", r"\\")
+    return F.regexp_replace(out, r"(?<=[^\\:])\\+$", "")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(normalize_path(path), "/"), -1)
 

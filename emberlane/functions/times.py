@@ -42,3 +42,14 @@ def filetime_micros(filetime: Column) -> Column:
 def window_around(micros_: Column, before_days: int, after_days: int) -> tuple[Column, Column]:
     day = 86_400_000_000
     return micros_ - before_days * day, micros_ + after_days * day
+
+
+def local_widened(start: Column, end: Column, offset_hours: int = 9, pad_hours: int = 2) -> tuple[Column, Column]:
+    """A window given in local time, in UTC, padded; it only ever widens."""
+    hour = 3_600_000_000
+    return F.least(start, start - (offset_hours + pad_hours) * hour), F.greatest(end, end - (offset_hours - pad_hours) * hour)
+
+
+def clamped(start: Column, end: Column, collected: Column) -> tuple[Column, Column]:
+    """The window up to the time of collection; a start beyond it moves to it, so the window is never empty."""
+    return F.least(start, collected), F.greatest(F.least(end, collected), F.least(start, collected))

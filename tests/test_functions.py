@@ -58,3 +58,19 @@ def test_ratio_rounds_to_even(spark):
 def test_path_globs(spark):
     assert value(spark, text.path_matches(F.lit("C:\\Users\\bob\\x"), "c:/users/*/x"))
     assert not value(spark, text.path_matches(F.lit("C:\\Users\\bob\\y\\x"), "c:/users/*/x"))
+
+
+@pytest.mark.parametrize("raw", ["C:/A//b/./c/../D", "c:\\a\\b\\..\\..\\d", "a\\b\\", "c:\\x\\.", "..\\a"])
+def test_nt_normalize_like_ntpath(spark, raw):
+    import ntpath
+
+    assert value(spark, text.nt_normalize(F.lit(raw))) == ntpath.normpath(ntpath.normcase(raw))
+
+
+def test_windows_only_widen(spark):
+    low, high = times.local_widened(F.lit(100), F.lit(200))
+    assert value(spark, low) < 100 and value(spark, high) == 200
+    low, high = times.clamped(F.lit(100), F.lit(200), F.lit(150))
+    assert (value(spark, low), value(spark, high)) == (100, 150)
+    low, high = times.clamped(F.lit(100), F.lit(200), F.lit(50))
+    assert (value(spark, low), value(spark, high)) == (50, 50)
