@@ -47,13 +47,27 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-#: Tests by name: (field, values) to a Column.
+def _low(name: str) -> Column:
+    """A field as tag() prepares it once per record: lower-case text."""
+    return F.col(f"_low_{name[7:]}") if name.startswith("fields.") else F.lower(F.col(name))
+
+
+def _us(name: str) -> Column:
+    """A time as tag() prepares it once per record: microseconds."""
+    return F.col(f"_us_{name}")
+
+
+def _quoted(values: tuple) -> str:
+    return "|".join("\\Q" + str(v).lower() + "\\E" for v in values)
+
+
+#: Tests by name: (field, values) to a Column. Several values make one pattern, so a field is read once.
 TESTS: dict[str, Callable[[str, tuple], Column]] = {
-    "endswith": lambda f, v: _any([F.lower(value_of(f)).endswith(x.lower()) for x in v]),
-    "startswith": lambda f, v: _any([F.lower(value_of(f)).startswith(x.lower()) for x in v]),
-    "contains": lambda f, v: _any([F.lower(value_of(f)).contains(x.lower()) for x in v]),
-    "in": lambda f, v: F.lower(F.trim(value_of(f))).isin([str(x).strip().lower() for x in v]),
-    "regex": lambda f, v: _any([value_of(f).rlike(x) for x in v]),
+    "endswith": lambda f, v: _low(f).rlike(rf"(?:{_quoted(v)})\z"),
+    "startswith": lambda f, v: _low(f).rlike(rf"\A(?:{_quoted(v)})"),
+    "contains": lambda f, v: _low(f).rlike(_quoted(v)),
+    "in": lambda f, v: F.trim(_low(f)).isin([str(x).strip().lower() for x in v]),
+    "regex": lambda f, v: _low(f).rlike("|".join(v)),
     "equals": lambda f, v: value_of(f).eqNullSafe(F.lit(v[0])),
     "has": lambda f, v: F.arrays_overlap(F.col(f), F.array(*map(F.lit, v))),
 }
@@ -74,39 +88,39 @@ SHARED_FOLDERS = ["c:\\windows", "c:\\windows\\system32", "c:\\windows\\syswow64
 
 
 def created_before_named() -> Column:
-    return parse_micros(F.col("si_btime")) < parse_micros(F.col("fn_btime"))
+    return _us("si_btime") < _us("fn_btime")
 
 
 def whole_seconds_only() -> Column:
     """Two or more creation, change or write times have only zeros after the dot, and none has another digit there."""
     fraction = lambda c: F.regexp_extract(F.col(c), r"\.([^Zz]*)", 1)
-    counts = lambda c: (parse_micros(F.col(c)) > ZERO_TIME) & (fraction(c) != "")
+    counts = lambda c: (_us(c) > ZERO_TIME) & (fraction(c) != "")
     zero = [F.coalesce(counts(c) & fraction(c).rlike("^0+$"), F.lit(False)) for c in SI]
     other = [F.coalesce(counts(c) & ~fraction(c).rlike("^0+$"), F.lit(False)) for c in SI]
     return (sum((z.cast("int") for z in zero), F.lit(0)) >= 2) & ~_any(other)
 
 
 def has_zero_time() -> Column:
-    return _any([F.coalesce(parse_micros(F.col(c)) < ZERO_TIME, F.lit(True)) for c in (*SI, *FN)])
+    return _any([F.coalesce(_us(c) < ZERO_TIME, F.lit(True)) for c in (*SI, *FN)])
 
 
 def target_is_privileged() -> Column:
-    return F.lower(F.trim(value_of("fields.TargetUserName"))).isin(PRIVILEGED_GROUPS)
+    return F.trim(_low("fields.TargetUserName")).isin(PRIVILEGED_GROUPS)
 
 
 def uncommon_port() -> Column:
-    port = F.trim(value_of("fields.DestinationPort")).try_cast("int")
+    port = F.trim(_low("fields.DestinationPort")).try_cast("int")
     return (port > 0) & (port < EPHEMERAL_FLOOR) & ~port.isin(SERVICE_PORTS)
 
 
 def outside_known_roots() -> Column:
-    folder = F.regexp_extract(F.lower(F.trim(value_of("fields.Image"))), r"^[a-z]:\\([^\\]+)\\", 1)
+    folder = F.regexp_extract(F.trim(_low("fields.Image")), r"^[a-z]:\\([^\\]+)\\", 1)
     return (folder != "") & ~folder.isin(VOLUME_ROOTS)
 
 
 def parent_is_other_program() -> Column:
     """Unknown programs count as others; the same image and a child inside its parent's own folder do not."""
-    image, parent = F.lower(F.trim(value_of("fields.Image"))), F.lower(F.trim(value_of("fields.ParentImage")))
+    image, parent = F.trim(_low("fields.Image")), F.trim(_low("fields.ParentImage"))
     folder = F.regexp_extract(parent, r"^(.*[^\\])\\+[^\\]*$", 1)
     inside = (folder != "") & ~folder.isin(SHARED_FOLDERS) & image.startswith(F.concat(folder, F.lit("\\")))
     return F.when(F.coalesce(image, F.lit("")).isin("") | F.coalesce(parent, F.lit("")).isin(""), True).otherwise((image != parent) & ~inside)
@@ -116,12 +130,14 @@ def outside_window(start: str | None = None, end: str | None = None) -> Column:
     """No known time lies inside the window; false when no time or no window is known."""
     if not start and not end:
         return F.lit(False)
-    times = F.array_compact(F.array(*(parse_micros(F.col(c)) for c in ("timestamp", *SI, "si_atime"))))
+    times = F.array_compact(F.array(*(_us(c) for c in ("timestamp", *SI, "si_atime"))))
     low, high = parse_micros(F.lit(start)), parse_micros(F.lit(end))
     inside = F.exists(times, lambda t: F.coalesce(t >= low, F.lit(True)) & F.coalesce(t <= high, F.lit(True)))
     return (F.size(times) > 0) & ~inside
 
 
+#: Open fields that the extra conditions read.
+READ_BY_EXTRAS = ("TargetUserName", "DestinationPort", "Image", "ParentImage")
 EXTRAS: dict[str, Callable[[], Column]] = {
     "created_before_named": created_before_named,
     "whole_seconds_only": whole_seconds_only,
@@ -219,9 +235,23 @@ def compile_rule(rule: Rule, window: tuple[str | None, str | None] = (None, None
     return out
 
 
+#: Rules as Columns, by rules, window and application: they are built once, as that takes longer than to plan them.
+_COMPILED: dict[tuple, tuple[dict[str, Column], Column]] = {}
+
+
 def tag(records: DataFrame, rules: tuple[Rule, ...] = RULES, window: tuple[str | None, str | None] = (None, None)) -> DataFrame:
-    """Adds ``flags``, the names of the rules that hold, in the order of the rules: one projection, no join."""
-    return records.withColumn("flags", F.array_compact(F.array(*(F.when(compile_rule(r, window), r.name) for r in rules))))
+    """Adds ``flags``, the names of the rules that hold, in the order of the rules: no join and no shuffle.
+
+    The fields and times that rules read are taken out of a record once, before the rules.
+    """
+    key = (rules, window, records.sparkSession.sparkContext.applicationId)
+    if key not in _COMPILED:
+        used = {c.field[7:] for r in rules for c in r.clauses if c.field.startswith("fields.")} | set(READ_BY_EXTRAS)
+        ready = {f"_low_{n}": F.lower(F.try_variant_get("fields", f"$.{n}", "string")) for n in sorted(used)} | {f"_us_{c}": parse_micros(F.col(c)) for c in ("timestamp", *SI, *FN, "si_atime")}
+        _COMPILED[key] = ready, F.array_compact(F.array(*(F.when(compile_rule(r, window), r.name) for r in rules)))
+    ready, flags = _COMPILED[key]
+    tagged = records.withColumns(ready).withColumn("flags", flags)
+    return tagged.select(*records.columns, "flags") if "flags" not in records.columns else tagged.select(*records.columns)
 
 
 def canonical(records: DataFrame) -> DataFrame:
