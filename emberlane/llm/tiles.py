@@ -71,12 +71,15 @@ def _batch(rows: Rows) -> pa.RecordBatch:
 
 
 def forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> Rows:
-    """Edges (a[i], b[j]) of a spanning forest of the links, by growing from each document not yet reached."""
+    """Edges (a[i], b[j], 0) of a spanning forest of the links, grown from the first document not yet reached.
+
+    Documents come in order of their ids, so that the same links in many runs give the
+    same edges, which a distinct() then makes one.
+    """
     out: Rows = []
-    new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    degree = linked.sum(axis=1)
-    for root in np.argsort(-degree, kind="stable").tolist():
-        if not degree[root] or not new_a[root]:
+    new_a, new_b = linked.any(axis=1), linked.any(axis=0)
+    for root in range(len(a)):
+        if not new_a[root]:
             continue
         new_a[root] = False
         rows = [root]
