@@ -16,22 +16,25 @@ from emberlane.llm.common import materialize, table
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row beside them, so that columns of any name come through."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the model is learned from the labelled ones of the input."""
+    """Documents that are not predicted toxic; the model is learned from the labelled ones of the input. Null and empty texts stay."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.score(_held(docs), model).where("predicted = 0").select("_row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go."""
     field = quality.fit(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = quality.measure(docs.withColumn("whole_text", F.col("text")), field, carry=(*carried, "whole_text")).where("kept")
-    return kept.withColumnRenamed("whole_text", "text").select(docs.columns)
+    return quality.measure(_held(docs), field, carry=("_row",)).where("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One document of each group of near-duplicates, the one with the least doc_id; rows without an id stay."""
     kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
