@@ -30,8 +30,8 @@ from emberlane.llm.common import table
 SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACES = "".join(map(chr, SPACE_POINTS))
 _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-#: Distinct pieces that a worker keeps; beyond it the cache starts again. It bounds memory, not results.
-CACHE_PIECES = 1_100_000
+#: Distinct pieces that a worker keeps; beyond them the cache starts again. It bounds memory, not results.
+CACHE_PIECES = 350_000
 
 
 def byte_characters() -> list[str]:
@@ -90,43 +90,52 @@ class Codec:
         for shown, number in self.vocab.items():
             self.table[number] = bytes(_TO_BYTE.get(ord(c), 63) for c in shown)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Encodes distinct words, many to a call; the ids are dealt out by the bytes that they cover."""
-        for at in range(0, len(words), 512):
-            some = words[at:at + 512]
-            raw = [w.encode() for w in some]
-            shown = "\n".join(r.decode("latin-1").translate(_TO_CHARACTERS) for r in raw)
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(self.lengths[ids])
-            cuts = (np.searchsorted(ends, np.cumsum([len(r) for r in raw])) + 1).tolist()
-            packed, begin = ids.astype("<u2").tobytes(), 0
-            for word, cut in zip(some, cuts):
-                self.words[word] = packed[2 * begin:2 * cut]
-                begin = cut
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        parts = {p: self.split(p) for p in pieces}
-        self._learn_words(list({w for ws in parts.values() for w in ws if w not in self.words}))
-        words = self.words
-        for piece, own in parts.items():
-            self.pieces[piece] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        self.known: dict[str, bytes] = {}  # packed ids of matches of the pattern and of pieces
+
+    def _learn_matches(self, matches: list[str]) -> None:
+        """Encodes distinct matches, many to a call; the ids are dealt out by the bytes that they cover."""
+        for at in range(0, len(matches), 512):
+            some, shown, sizes = matches[at:at + 512], [], []
+            for m in some:
+                if m.isascii() and m[1:].isalnum() and (m[0] == " " or m[0].isalnum()):
+                    shown.append("\u0120" + m[1:] if m[0] == " " else m)
+                    sizes.append(len(m))
+                else:
+                    raw = m.encode()
+                    shown.append(raw.decode("latin-1").translate(_TO_CHARACTERS))
+                    sizes.append(len(raw))
+            ids = np.array(self.model.encode_batch_fast(["\n".join(shown)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 2).tolist()
+            packed = ids.astype("<u2").tobytes()
+            self.known.update(zip(some, [packed[i:j] for i, j in zip([0, *cuts], cuts)]))
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, fresh, parts = self.known, [], {}
+        for p in pieces:
+            if p[0] == " " and p[1:].isalpha():  # a space and letters are one match
+                fresh.append(p)
+            else:
+                parts[p] = self.split(p)
+        more = {m for own in parts.values() for m in own if m not in known}
+        self._learn_matches([*fresh, *more.difference(fresh)])
+        for p, own in parts.items():
+            if len(own) > 1:
+                known[p] = b"".join([known[m] for m in own])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
         out = []
         for at in range(0, len(texts), 32):
+            if len(self.known) > CACHE_PIECES:
+                self.known.clear()
+            find, known = self.known.get, self.known
             split = [_PIECE.findall(t or "") for t in texts[at:at + 32]]
-            missing = {p for pieces in split for p in pieces if p not in self.pieces}
+            packed = [list(map(find, pieces)) for pieces in split]
+            missing = {p for pieces, found in zip(split, packed) if None in found for p, x in zip(pieces, found) if x is None}
             if missing:
-                if len(self.pieces) > CACHE_PIECES:
-                    self.pieces.clear()
-                    self.words.clear()
-                    missing = {p for pieces in split for p in pieces}
-                self._learn_pieces(missing)
-            out += [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
+                self._learn(missing)
+            for pieces, found in zip(split, packed):
+                out.append(b"".join([known[p] if x is None else x for p, x in zip(pieces, found)] if None in found else found))
         return out
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

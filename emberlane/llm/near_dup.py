@@ -14,7 +14,7 @@
    are those with 100 * intersection >= SIMILAR * union, and a tile gives a spanning
    forest of them. Components of those forests are the groups.
 
-The chance that 64 coordinates miss a link of similarity 0.75 is about 4 in a million,
+The chance that 64 coordinates miss a link of similarity 0.75 is about 5 in a million,
 and less above; links of lower similarity are never made.
 
 Defined cases: a null text and a text without words have an empty set and no link; a

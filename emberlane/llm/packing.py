@@ -53,9 +53,14 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return [w[1] for w in heap[0][2]] if heap else []
 
 
+#: Ids that a window must have to spare on average; with less, differencing hardly ever succeeds.
+SPARE = 2
+
+
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """As few windows as differencing can fill without exceeding the capacity, tried from the least possible up."""
-    k = max(1, -(-sum(sizes) // capacity))
+    """As few windows as differencing can fill without exceeding the capacity, tried from the least likely number up."""
+    total = sum(sizes)
+    k = 1 if total <= capacity else -(-total // (capacity - SPARE))
     while True:
         windows = difference(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):

@@ -161,6 +161,13 @@ def learn_words(labelled: DataFrame, *, text: str = "text", label: str = "toxic"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            masks = np.array([v[2] for v in found.values()], np.uint64).view(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array(masks)], names=["word", "toxic", "clean", "mask"])
+            found.clear()
+            return out
+
         for batch in batches:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = _WORD.findall((t or "").lower())
@@ -171,8 +178,9 @@ def learn_words(labelled: DataFrame, *, text: str = "text", label: str = "toxic"
                         bit = 1 << zlib.crc32(f"{before} {after}".encode()) % 64
                         for key in keys_of(w):
                             found[key][2] |= bit
-        masks = np.array([v[2] for v in found.values()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array(masks)], names=["word", "toxic", "clean", "mask"])
+                if len(found) > 100_000:  # partial counts: they are summed by word below
+                    yield flush()
+        yield flush()
 
     words = labelled.select(text, F.col(label).cast("int")).mapInArrow(run, "word string, toxic bigint, clean bigint, mask bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.expr("bit_count(bit_or(mask))").alias("neighbours"))
     pure = words.where((F.col("toxic") >= documents) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean"))) & (F.col("neighbours") >= F.least(F.lit(24), F.greatest(F.lit(documents), F.col("toxic") / 2))) & (F.length("word") >= 3))
