@@ -13,9 +13,13 @@
    nothing within range is left unexpanded. Every pair found is confirmed by its cosine
    in double precision, counted in the first shard that both share, and a spanning
    forest of the pairs gives the components.
-5. Recall is audited: a bounded set of vectors is compared with all rows by brute force.
-   If less than LEAST_RECALL of their links were found, the work is done again with more
-   probes.
+5. Pairs that share no shard are looked for apart: every vector also goes, as a sketch of
+   BITS signs, to the cells of all centroids nearly as near as its nearest (``cells_of``),
+   and pairs in a cell whose sketches are near are confirmed by their cosine.
+6. Recall is audited: vectors are drawn, and compared with all rows by brute force, until
+   they hold LEAST_LINKS links or MOST_AUDITED are drawn. If their mean share of links
+   found is below LEAST_RECALL, the work is done again with more probes and wider cells;
+   if they hold no link at all, recall is logged as not measured.
 
 Defined cases: null, empty, zero and non-finite vectors, and vectors with a null
 component, link with nothing and are returned; vectors of different lengths are not
@@ -46,7 +50,9 @@ SAMPLE, SHARD, PROBES, TILE = 16_384, 800, 2, 768
 CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
 #: Expansions without a better vector before a greedy search ends; entry points of a shard.
 PATIENCE, ENTRIES = 6, 4
-AUDITED, LEAST_RECALL = 64, 0.95
+AUDITED, MOST_AUDITED, LEAST_LINKS, LEAST_RECALL = 64, 4096, 200, 0.95
+#: Cells reach so many standard deviations of the difference of a linked pair; signs of a sketch, their greatest difference in a pair that is confirmed, sketches to a tile.
+REACH, BITS, DIFFER, SKETCHES = 5.0, 128, 34, 4096
 
 
 def unit_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -202,7 +208,7 @@ def range_search(units: np.ndarray, graph: list[np.ndarray], queries: np.ndarray
 
 
 def search(docs: np.ndarray, side: np.ndarray, items: list[bytes]) -> Rows:
-    """Links of one shard or pair of tiles: (vector, -1, count) for each vector, and a spanning forest as (a, b, 0)."""
+    """Links of one shard or pair of tiles: (vector, -1, rows) and (vector, -2, vectors) for each vector, and a spanning forest as (a, b, 0)."""
     order = np.argsort(docs, kind="stable")
     docs, side, items = docs[order], side[order], [items[i] for i in order]
     counts, own, shards, units, neighbours = unpack(items)
@@ -228,32 +234,125 @@ def search(docs: np.ndarray, side: np.ndarray, items: list[bytes]) -> Rows:
     found &= ~earlier
     linked = found[np.ix_(one, two)]
     total = linked @ counts[two]
-    out = [(int(docs[i]), -1, int(t)) for i, t in zip(one, total.tolist()) if t]
+    out = [(int(docs[i]), k, int(t)) for k, n in ((-1, total), (-2, linked.sum(axis=1))) for i, t in zip(one, n.tolist()) if t]
     if one is not two:
-        out += [(int(docs[j]), -1, int(t)) for j, t in zip(two, (counts[one] @ linked).tolist()) if t]
+        out += [(int(docs[j]), k, int(t)) for k, n in ((-1, counts[one] @ linked), (-2, linked.sum(axis=0))) for j, t in zip(two, n.tolist()) if t]
     return out + forest(linked, docs[one], docs[two])
 
 
-def brute_force_links(reps: DataFrame, queries: DataFrame, cosine: float = COSINE) -> int:
-    """Links of a bounded set of queries (doc, unit) with all rows (doc, unit, n), by comparing everything in blocks."""
+def cells_of(cosines: np.ndarray, centres: np.ndarray, reach: float) -> np.ndarray:
+    """Places of the centroids in whose cells a vector with these cosines to them is compared.
+
+    Let vectors u and v at distance r have the nearest centroids a and b. If v lies more than
+    m |a - b| nearer to b than to a, and u as much nearer to a than to b, then u - v measures
+    more than 2 m along a - b. So with m = r / 2 one of them is always in the other's cell; a
+    difference without preferred direction has a standard deviation of r / sqrt(d) there.
+    """
+    r = np.sqrt(2 - 2 * COSINE)
+    best = int(cosines.argmax())
+    margin = r / 2 * min(1.0, reach / np.sqrt(centres.shape[1]))
+    apart = np.linalg.norm(centres - centres[best], axis=1)
+    return np.flatnonzero(cosines[best] - cosines <= margin * apart + 1e-9)
+
+
+def sketches(reps: DataFrame, centroids: dict[int, np.ndarray], probes: int, reach: float) -> DataFrame:
+    """(shard, doc, item): a row for each cell of a vector; item packs its length, its shards, and BITS signs against fixed directions."""
+    base, bases = 0, {}
+    for size, centres in sorted(centroids.items()):
+        bases[size] = base
+        base += len(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = {size: np.random.Generator(np.random.PCG64(size)).normal(size=(BITS, size)) for size in centroids}
+        for batch in batches:
+            cells, docs, items = [], [], []
+            for doc, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(unit, "<f8")
+                near = centroids[len(x)] @ x
+                own = np.sort(np.argsort(-near, kind="stable")[:probes]).astype("<i4") + bases[len(x)]
+                item = np.array([len(own)], "<i4").tobytes() + own.astype("<i4").tobytes() + np.packbits(directions[len(x)] @ x > 0).tobytes()
+                to = (cells_of(near, centroids[len(x)], reach) + bases[len(x)]).tolist()
+                cells += to
+                docs += [doc] * len(to)
+                items += [item] * len(to)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(docs, pa.int64()), pa.array(items, pa.binary())], names=["shard", "doc", "item"])
+
+    return reps.select("doc", "unit").mapInArrow(run, "shard bigint, doc bigint, item binary")
+
+
+def near_sketches(docs: np.ndarray, side: np.ndarray, items: list[bytes]) -> Rows:
+    """Pairs (a, b, 0), a < b, of one cell or pair of tiles that share no shard and whose sketches are near."""
+    one, two = sides(side)
+    if not len(one) or not len(two):
+        return []
+    p = max(int(np.frombuffer(i, "<i4", 1)[0]) for i in items)
+    shards = np.full((len(items), p), -1)
+    for i, item in enumerate(items):
+        n = int(np.frombuffer(item, "<i4", 1)[0])
+        shards[i, :n] = np.frombuffer(item, "<i4", n, 4)
+    signs = np.unpackbits(np.stack([np.frombuffer(i[-(BITS // 8):], np.uint8) for i in items]), axis=1).astype(np.float32) * 2 - 1
+    out: Rows = []
+    for at in range(0, len(one), 512):
+        part = one[at:at + 512]
+        who, what = np.nonzero(signs[part] @ signs[two].T >= BITS - 2 * DIFFER)
+        a, b = part[who], two[what]
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i:i + (1 << 16)], b[i:i + (1 << 16)]
+            shared = ((shards[x][:, :, None] == shards[y][:, None, :]) & (shards[x] >= 0)[:, :, None]).any(axis=(1, 2))
+            out += [(min(s, t), max(s, t), 0) for s, t in zip(docs[x[~shared]].tolist(), docs[y[~shared]].tolist()) if s != t]
+    return list(set(out))
+
+
+def stray_links(reps: DataFrame, centroids: dict[int, np.ndarray], probes: int, reach: float) -> DataFrame:
+    """Links of vectors that share no shard, as rows like those of ``search``."""
+
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.frombuffer(x, "<f8") @ np.frombuffer(y, "<f8")) >= COSINE for x, y in zip(a, b)], dtype=bool)
+
+    placed = materialize(sketches(reps, centroids, probes, reach), name="sketches")
+    counted = placed.join(placed.groupBy("shard").agg(F.count("*").alias("m")), "shard")
+    pairs = per_run(into_tiles(counted, "m", "doc", SKETCHES), ["shard", "i", "j"], near_sketches, "item").select("a", "b").distinct()
+    side = lambda name: reps.select(F.col("doc").alias(name), F.col("unit").alias(f"unit_{name}"), F.col("n").alias(f"n_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(linked("unit_a", "unit_b"))
+    row = lambda a, b, n: F.struct(F.col(a).alias("a"), b.cast("bigint").alias("b"), n.cast("bigint").alias("n"))
+    rows = F.array(row("a", F.col("b"), F.lit(0)), *(r for x, y in (("a", "b"), ("b", "a")) for r in (row(x, F.lit(-1), F.col(f"n_{y}")), row(x, F.lit(-2), F.lit(1)))))
+    return met.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def brute_force_links(reps: DataFrame, queries: DataFrame, cosine: float = COSINE) -> dict[int, int]:
+    """Linked vectors, copies not counted, of each of a bounded set of queries (doc, unit) among all rows (doc, unit), by comparing everything in blocks."""
     held = [(r.doc, np.frombuffer(r.unit, "<f8")) for r in queries.collect()]
     by_size = {size: (np.array([d for d, u in held if len(u) == size]), np.stack([u for _, u in held if len(u) == size])) for size in {len(u) for _, u in held}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total: dict[int, int] = {}
         for batch in batches:
-            docs, units, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            docs, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for size, (ids, rows) in by_size.items():
                 own = [i for i, u in enumerate(units) if len(u) == 8 * size]
                 if own:
                     near = np.stack([np.frombuffer(units[i], "<f8") for i in own]) @ rows.T >= cosine
-                    total += int((n[own] @ (near & (docs[own][:, None] != ids[None, :]))).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    for doc, n in zip(ids.tolist(), (near & (docs[own][:, None] != ids[None, :])).sum(axis=0).tolist()):
+                        if n:
+                            total[doc] = total.get(doc, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["doc", "n"])
+
+    return {r.doc: r.n for r in reps.select("doc", "unit").mapInArrow(run, "doc bigint, n bigint").groupBy("doc").agg(F.sum("n").alias("n")).collect()}
 
-    return reps.select("doc", "unit", "n").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+def audit(reps: DataFrame) -> dict[int, int]:
+    """Links of audited vectors by brute force; more are drawn while they hold few."""
+    rows = AUDITED
+    while True:
+        queries = bounded_sample(reps.select("doc", "unit"), "doc", rows)
+        expected = brute_force_links(reps, queries)
+        if sum(expected.values()) >= LEAST_LINKS or rows >= MOST_AUDITED:
+            return expected
+        rows *= 8
 
 
-def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
+def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES, reach: float = REACH) -> DataFrame:
     """(key, n_links, component_id, kept) of each row."""
 
     @F.pandas_udf("binary")
@@ -270,8 +369,7 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
     for size, n in sizes.items():
         rows = [u for u in sample if len(u) == size]
         centroids[size] = fit_centroids(np.stack(rows), -(-n // SHARD)) if rows else np.eye(1, size)
-    audited = materialize(bounded_sample(reps.select("doc", "unit"), "doc", AUDITED), name="audited")
-    expected = brute_force_links(reps, audited)
+    expected = audit(reps)
     while True:
         placed = assign(reps, centroids, probes)
         counted = materialize(placed.join(placed.groupBy("shard").agg(F.count("*").alias("m")), "shard"), name="placed")
@@ -280,14 +378,19 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
         lists = edges.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
         graph = materialize(lists, name="graph")
         with_graph = counted.join(graph, counted.doc == graph.a, "left").select("shard", "m", "doc", with_neighbours("item", "near").alias("item"))
-        found = materialize(per_run(into_tiles(with_graph, "m", "doc", TILE), ["shard", "i", "j"], search, "item"), name="found")
-        got = found.where("b = -1").join(audited, F.col("a") == F.col("doc"), "left_semi").agg(F.sum("n")).first()[0] or 0
-        recall = got / expected if expected else 1.0
-        logging.getLogger(__name__).info("recall %.4f with %d probes", recall, probes)
-        if recall >= LEAST_RECALL or probes >= max((len(c) for c in centroids.values()), default=1):
+        near = per_run(into_tiles(with_graph, "m", "doc", TILE), ["shard", "i", "j"], search, "item")
+        found = materialize(near.unionByName(stray_links(reps, centroids, probes, reach)), name="found")
+        got = {r.a: r.n for r in found.where(F.col("b") == -2).where(F.col("a").isin(list(expected))).groupBy("a").agg(F.sum("n").alias("n")).collect()}
+        recall = float(np.mean([got.get(doc, 0) / n for doc, n in expected.items()])) if expected else None
+        logger = logging.getLogger(__name__)
+        if recall is None:
+            logger.warning("recall not measured: no link among %d vectors audited", MOST_AUDITED)
+        else:
+            logger.info("recall %.4f over %d links of %d vectors with %d probes", recall, sum(expected.values()), len(expected), probes)
+        if recall is None or recall >= LEAST_RECALL or probes >= max((len(c) for c in centroids.values()), default=1):
             break
         drop_table(found)
-        probes *= 2
+        probes, reach = probes * 2, reach * 2
     counts = found.where("b = -1").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("links"))
     groups = components(found.where("b >= 0").select("a", "b"))
     by_rep = classes.join(counts, "doc", "left").join(groups.withColumnRenamed("v", "doc"), "doc", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "doc").alias("component_id"))

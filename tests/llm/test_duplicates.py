@@ -110,6 +110,32 @@ def test_op10_brute_force(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def test_op10_links_across_shards(spark, monkeypatch):
+    """With one probe and small shards many linked vectors share none; their links are found all the same."""
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(400, 32))
+    x = np.concatenate((base, base + 0.28 * rnd.normal(size=base.shape)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    home = (x @ vectors.fit_centroids(x, 40).T).argmax(axis=1)
+    assert (near & (home[:, None] != home[None, :])).sum() >= 10
+    monkeypatch.setattr(vectors, "LEAST_RECALL", 0.0)  # no second try with more probes
+    rows = vectors.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), probes=1).collect()
+    assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_op10_audit_draws_until_links_are_met(spark):
+    """One linked pair among 3,000 vectors, one of them with many copies: the audit goes on drawing and counts vectors, not copies."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(3000, 32))
+    x[1] = x[0] + 0.01 * rnd.normal(size=32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, r.astype("<f8").tobytes(), 50 if i == 0 else 1) for i, r in enumerate(x)], "doc long, unit binary, n long")
+    assert vectors.audit(reps) == {0: 1, 1: 1}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
