@@ -43,7 +43,7 @@ FEATURES = (
 
 
 def line_features(line: str, repeated: bool) -> np.ndarray:
-    words = line.split()
+    words = line.encode().split()  # at the six ASCII spaces only
     n, size = len(words), max(1, len(line))
     letters = sum(map(str.isalpha, line)) if size < 400 else sum(map(str.isalpha, line[::max(1, size // 400)])) * max(1, size // 400)
     lowered = line.lower()
@@ -53,7 +53,7 @@ def line_features(line: str, repeated: bool) -> np.ndarray:
     digits = sum(map(line.count, "0123456789")) / size
     distinct = len(set(words)) / n
     again = sum(a == b for a, b in zip(words, words[1:])) / n
-    average = sum(map(len, words)) / n
+    average = (len(line) - sum(map(line.count, " \t\n\x0b\x0c\r"))) / n
     return np.array([
         1, symbols > 0.01, symbols > 0.04, capitals > 0.3, capitals > 0.7, marks > 0.08, digits > 0.15,
         n >= 10 and distinct < 0.6, n >= 10 and distinct < 0.35, again > 0.2, average < 2.5, average > 12,
@@ -169,7 +169,7 @@ def measure(df: DataFrame, field: Field, *, text: str = "text", key: str = "doc_
         if not lines:
             return 0.0
         labels = field.viterbi(np.stack([line_features(a, b) for a, b in zip(lines, repeats)]))
-        sizes = np.array([len(line.split()) for line in lines], float)
+        sizes = np.array([len(line.encode().split()) for line in lines], float)
         return float((sizes * labels).sum() / max(1.0, sizes.sum()))
 
     def numbers(texts: list[str]) -> Iterator[tuple]:

@@ -106,6 +106,17 @@ def test_op6_base(spark, sf_dir, odd_docs, no_docs):
     assert quality.measure(no_docs, quality.DEFAULT).count() == 0
 
 
+def test_op6_lines_of_unicode_space(spark):
+    """A line of white space other than the six ASCII ones has a word."""
+    texts = ["\xa0", "one\n\u3000\ntwo", "\x85\n\x1c\x1d\x1e\x1f", "good words here\n" * 30 + "\xa0 \u2003"]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    field = quality.fit(df)
+    for r in quality.measure(df, field).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_by_hand(texts[r.doc_id])
+    few = quality.FEATURES.index("fewer than 4 words")
+    assert quality.line_features("a\xa0b c d", False)[few] and not quality.line_features("a b c d", False)[few]
+
+
 def test_op6_keeps_good_documents(spark, sf_dir):
     rows = quality.op6_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("not base_failed").collect()
     good = [r for r in rows if r.quality == 1]
