@@ -33,6 +33,8 @@ MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
 #: Least share of words in content lines.
 MIN_CONTENT = 0.5
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERS, _ASCII = _UPPER + _UPPER.lower(), bytes(range(128))
 _CLOSED = re.compile(r"[.!?…:;,\"'”’)]\s*\Z")
 
 FEATURES = (
@@ -43,11 +45,14 @@ FEATURES = (
 
 
 def line_features(line: str, repeated: bool) -> np.ndarray:
-    words = line.encode().split()  # at the six ASCII spaces only
+    raw = line.encode()
+    words = raw.split()  # at the six ASCII spaces only
     n, size = len(words), max(1, len(line))
-    letters = sum(map(str.isalpha, line)) if size < 400 else sum(map(str.isalpha, line[::max(1, size // 400)])) * max(1, size // 400)
-    lowered = line.lower()
-    capitals = sum(a != b for a, b in zip(line, lowered)) / max(1, letters) if len(lowered) == len(line) else 0.0
+    rest = raw.translate(None, _ASCII).decode()  # characters beyond ASCII
+    lowered = rest.lower()
+    letters = len(raw) - len(raw.translate(None, _LETTERS)) + sum(map(str.isalpha, rest))
+    upper = len(raw) - len(raw.translate(None, _UPPER)) + sum(a != b for a, b in zip(rest, lowered))
+    capitals = upper / max(1, letters) if len(lowered) == len(rest) else 0.0
     symbols = sum(map(line.count, SYMBOLS)) / size
     marks = sum(map(line.count, "!?.,;:-_=+~/\\")) / size
     digits = sum(map(line.count, "0123456789")) / size

@@ -117,6 +117,21 @@ def test_op6_lines_of_unicode_space(spark):
     assert quality.line_features("a\xa0b c d", False)[few] and not quality.line_features("a b c d", False)[few]
 
 
+def test_op6_letters_of_long_lines():
+    """Letters and capitals are counted over the whole line, whatever its length and period."""
+    shouting, none = (quality.FEATURES.index(f) for f in ("capitals over 70%", "no letter"))
+    for line in ("A 1234567 ", "1234567 A ", "1234567 É "):
+        for times in (1, 39, 40, 79, 80, 400, 4001):
+            bits = quality.line_features(line * times, False)
+            assert bits[shouting] and not bits[none]
+    rnd = np.random.default_rng(8)
+    for size in (5, 399, 800, 5000):
+        line = "".join(rnd.choice(list("aAbB1 .éÉßΣ漢٣🙂"), size))
+        share = sum(c != c.lower() for c in line) / max(1, sum(map(str.isalpha, line)))
+        bits = quality.line_features(line + "x", False)
+        assert bits[shouting] == (share > 0.7) and not bits[none]
+
+
 def test_op6_keeps_good_documents(spark, sf_dir):
     rows = quality.op6_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("not base_failed").collect()
     good = [r for r in rows if r.quality == 1]
