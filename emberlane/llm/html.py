@@ -6,6 +6,8 @@ The second pass gives an undecided block the label of its nearest decided neighb
 the same region of the page - the article, or what lies outside it - and, where a region
 has no decided block, what the region suggests. An ``article`` or ``main`` element is
 strong evidence for its blocks: inside it, few stop words alone do not condemn one.
+On a page whose running text has few known stop words the language is taken as unknown,
+and length and link density alone decide.
 
 Defined cases: null or empty html, and html without main text, give an empty text of 0
 characters; text that no tag encloses is a block of its own; unclosed elements end with
@@ -144,7 +146,19 @@ def blocks_of(page: str) -> list[Block]:
 GOOD, BAD, UNDECIDED = 1, 0, -1
 
 
-def first_pass(block: Block) -> int:
+def stop_share(text: str, least: int = 1) -> float:
+    """Share of the words that are stop words of at least so many letters."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS and len(w) >= least for w in words) / max(1, len(words))
+
+
+def language_known(blocks: list[Block]) -> bool:
+    """Whether the page's running text has stop words of a known language; single letters are words of many."""
+    running = [b.text for b in blocks if not b.dropped and len(b.text) >= SHORT and b.link_chars <= MAX_LINKS * len(b.text)]
+    return stop_share(" ".join(running), 2) >= FEW_STOPS
+
+
+def first_pass(block: Block, known: bool = True) -> int:
     size = len(block.text)
     link_share = block.link_chars / size
     if block.dropped:
@@ -153,8 +167,9 @@ def first_pass(block: Block) -> int:
         return UNDECIDED if block.region and block.links == 1 else BAD
     if size < SHORT:
         return BAD if block.link_chars and not block.region else UNDECIDED
-    words = _WORD.findall(block.text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not known:
+        return GOOD if size >= LONG else UNDECIDED
+    share = stop_share(block.text)
     if share >= MANY_STOPS or share >= FEW_STOPS and size >= LONG:
         return GOOD
     return UNDECIDED if block.region or share >= FEW_STOPS else BAD
@@ -191,7 +206,8 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    known = language_known(blocks)
+    labels = second_pass(blocks, [first_pass(b, known) for b in blocks])
     if any(b.region and label == GOOD for b, label in zip(blocks, labels)):  # what lies outside an article is around it
         labels = [label if b.region else BAD for b, label in zip(blocks, labels)]
     return "\n\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)

@@ -43,6 +43,20 @@ def test_main_text(page, want):
     assert pages.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Pierwsze dni w domu nad morzem były długie i ciche, a nikt z mieszkańców nie powiedział, że będą ostatnimi przed zimą. " * 3,
+        "Первые дни в доме у моря были долгими и тихими, и никто из жителей не говорил, что они последние перед зимой. " * 3,
+        "海边房子里的最初几天漫长而安静，住在那里的人谁也没有说过这会是冬天来临之前的最后几天。" * 6,
+    ],
+)
+def test_other_languages_without_article(text):
+    menu = "".join(f"<li><a href=x>{text[:20]}</a></li>" for _ in range(5))
+    page = f"<body><ul>{menu}</ul><div><p>{text}</p><p>{text[:80]}</p></div><div><a href=x>{text}</a></div><footer><p>{text}</p></footer></body>"
+    assert pages.main_text(page) == f"{text.strip()}\n\n{text[:80].strip()}"
+
+
 def test_op5_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (2, "u", "<p>" * 5000 + "x", 5), (3, "u", "<" * 20_000, 5)], "page_id long, url string, html string, n_chars int")
     assert pages.extract(rows).count() == 4
