@@ -1,9 +1,9 @@
 """Operator 3: byte-level BPE encoding and decoding with the tokenizers library.
 
 Spark hands Arrow batches of texts to a cached tokenizer. A text is cut before each
-run of white space: no match of the splitting pattern holds white space after another
+space and line feed: no match of the splitting pattern holds white space after another
 character, so the pieces can be encoded one by one, and each distinct piece is encoded
-once per worker. Bytes become printable characters by a fixed byte table before the
+once per worker. Texts in which white space stands in longer runs are matched whole. Bytes become printable characters by a fixed byte table before the
 merges; decoding reverses that table, so a character that is split over tokens comes
 back whole when its tokens are joined.
 
@@ -28,10 +28,12 @@ from emberlane.llm.common import table
 
 #: Code points that the splitting pattern takes for white space (fixed values).
 SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_SPACES = "".join(map(chr, SPACE_POINTS))
-_PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-#: Distinct pieces that a worker keeps; beyond them the cache starts again. It bounds memory, not results.
-CACHE_PIECES = 350_000
+SPACE_SET = frozenset(map(chr, SPACE_POINTS))
+_GAPS = re.compile("\n\n(?:[" + "".join(map(chr, SPACE_POINTS)) + "]|\\Z)")
+#: Distinct pieces after which a worker's cache starts again, with the last one beside it. It bounds memory, not results.
+CACHE_PIECES = 250_000
+#: Longer pieces and matches are not kept.
+LONGEST_PIECE = 1000
 
 
 def byte_characters() -> list[str]:
@@ -47,6 +49,8 @@ def byte_characters() -> list[str]:
 _CHARACTERS = byte_characters()
 _TO_CHARACTERS = dict(enumerate(_CHARACTERS))
 _TO_BYTE = {ord(c): b for b, c in enumerate(_CHARACTERS)}
+_JOINED = _TO_CHARACTERS | {0xFF: "\n"}
+_MARKS = ".,;:!?"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,6 +70,11 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     return out
 
 
+def _plain(text: str) -> bool:
+    """Whether no match of the splitting pattern can hold white space on both sides of a cut before a space or line feed."""
+    return not (text[:1] in SPACE_SET or "  " in text or " \n" in text or "\n\n" in text and _GAPS.search(text))
+
+
 class Codec:
     """A vocabulary: ids of a text, characters of the text that each id covers, and bytes of ids."""
 
@@ -76,66 +85,96 @@ class Codec:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.special: dict[str, int] = {}
         if path.endswith(".json"):
             full = Tokenizer.from_file(path)
             self.vocab = full.get_vocab(with_added_tokens=False)
+            self.special = {t.content: number for number, t in full.get_added_tokens_decoder().items()}
             self.model = Tokenizer(full.model)
-            self.vocab |= {k: v for k, v in full.get_vocab().items() if k not in self.vocab}
+            self.vocab |= self.special
         else:
             ranks = load_ranks(path)
             self.vocab = {t.decode("latin-1").translate(_TO_CHARACTERS): r for t, r in ranks.items()}
             self.model = Tokenizer(models.BPE(vocab=self.vocab, merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
+        if max(self.vocab.values()) > 0xFFFF:
+            raise ValueError("ids beyond 16 bits")
         self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.table = [b""] * (max(self.vocab.values()) + 1)
         for shown, number in self.vocab.items():
-            self.table[number] = bytes(_TO_BYTE.get(ord(c), 63) for c in shown)
+            self.table[number] = shown.encode() if shown in self.special else bytes(_TO_BYTE.get(ord(c), 63) for c in shown)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        self.known: dict[str, bytes] = {}  # packed ids of matches of the pattern and of pieces
-
-    def _learn_matches(self, matches: list[str]) -> None:
-        """Encodes distinct matches, many to a call; the ids are dealt out by the bytes that they cover."""
-        for at in range(0, len(matches), 512):
-            some, shown, sizes = matches[at:at + 512], [], []
-            for m in some:
-                if m.isascii() and m[1:].isalnum() and (m[0] == " " or m[0].isalnum()):
-                    shown.append("\u0120" + m[1:] if m[0] == " " else m)
-                    sizes.append(len(m))
-                else:
-                    raw = m.encode()
-                    shown.append(raw.decode("latin-1").translate(_TO_CHARACTERS))
-                    sizes.append(len(raw))
-            ids = np.array(self.model.encode_batch_fast(["\n".join(shown)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 2).tolist()
+        self.known: dict[str, bytes] = {}  # packed ids of pieces
+        self.older: dict[str, bytes] = {}  # what was known when the cache was last full
+        self.matches: dict[str, bytes] = {}  # packed ids of matches of the pattern inside pieces
+
+    def _ids_of_matches(self, matches: list[str]) -> list[bytes]:
+        """Packed ids of distinct matches of the pattern, many to a call; the ids are dealt out by the bytes that they cover."""
+        out: list[bytes] = []
+        for at in range(0, len(matches), 2048):
+            raw = list(map(str.encode, matches[at:at + 2048]))
+            shown = b"\xff".join(raw).decode("latin-1").translate(_JOINED)  # the byte 255 is in no text
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int64)
+            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, raw)))) + 2).tolist()
             packed = ids.astype("<u2").tobytes()
-            self.known.update(zip(some, [packed[i:j] for i, j in zip([0, *cuts], cuts)]))
+            out += [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
 
     def _learn(self, pieces: set[str]) -> None:
-        known, fresh, parts = self.known, [], {}
+        """Makes pieces known. A piece stands for itself if it begins with a line feed, else for a space and itself."""
+        known, older, matches = self.known, self.older, self.matches
+        words, parts = [], {}
         for p in pieces:
-            if p[0] == " " and p[1:].isalpha():  # a space and letters are one match
-                fresh.append(p)
-            else:
-                parts[p] = self.split(p)
-        more = {m for own in parts.values() for m in own if m not in known}
-        self._learn_matches([*fresh, *more.difference(fresh)])
+            have = older.get(p)
+            if have is not None:
+                known[p] = have
+            elif p.isalpha():  # a space and letters are one match
+                words.append(p)
+            elif p[-1:] in _MARKS and p[:-1].isalpha():
+                parts[p] = own = (" " + p[:-1], p[-1])
+            elif p == "\n" or p[-1:] not in SPACE_SET:  # white space at the end might go on after a cut
+                parts[p] = self.split(p if p[:1] == "\n" else " " + p)
+        known.update(zip(words, self._ids_of_matches([" " + w for w in words])))
+        fresh = {m for own in parts.values() for m in own if m not in matches}
+        matches.update(zip(fresh, self._ids_of_matches(list(fresh))))
         for p, own in parts.items():
-            if len(own) > 1:
-                known[p] = b"".join([known[m] for m in own])
+            known[p] = b"".join([matches[m] for m in own])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers."""
+        """Ids of each text as little-endian unsigned 16-bit integers; the vocabulary's added tokens are read as such wherever they stand."""
         out = []
-        for at in range(0, len(texts), 32):
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-            find, known = self.known.get, self.known
-            split = [_PIECE.findall(t or "") for t in texts[at:at + 32]]
-            packed = [list(map(find, pieces)) for pieces in split]
-            missing = {p for pieces, found in zip(split, packed) if None in found for p, x in zip(pieces, found) if x is None}
-            if missing:
-                self._learn(missing)
-            for pieces, found in zip(split, packed):
-                out.append(b"".join([known[p] if x is None else x for p, x in zip(pieces, found)] if None in found else found))
+        for at in range(0, len(texts), 16):
+            parts = []  # (text, stretches of it between added tokens and those tokens)
+            for t in texts[at:at + 16]:
+                parts.append(self.at_special(t) if t and any(s in t for s in self.special) else [t or ""])
+            done = iter(self._encode([p for own in parts for p in own[::2]]))
+            for own in parts:
+                out.append(b"".join(self.special[p].to_bytes(2, "little") if k % 2 else next(done) for k, p in enumerate(own)))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {}, self.known
+        if len(self.matches) > CACHE_PIECES:
+            self.matches = {}
+        find, known, out = self.known.get, self.known, []
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if _plain(t) else [] for t in texts]
+        packed = [list(map(find, pieces)) for pieces in split]
+        missing = {p for pieces, found in zip(split, packed) if None in found for p in set(pieces) if p not in known}
+        if missing:
+            self._learn(missing)
+        for t, pieces, found in zip(texts, split, packed):
+            if None in found:
+                found = list(map(find, pieces))
+            if not found or None in found:
+                own = self.split(t)
+                fresh = dict(zip(own, self._ids_of_matches(own)))
+                out.append(b"".join([fresh[m] for m in own]))
+            else:
+                out.append(b"".join(found)[2:])  # the line feed put before a text is one id
+        for p in missing:  # a very long piece would outweigh many others
+            if len(p) > LONGEST_PIECE:
+                known.pop(p, None)
         return out
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

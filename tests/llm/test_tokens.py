@@ -58,19 +58,30 @@ def test_op3_odd_rows_and_offsets(odd_docs, no_docs):
 
 def json_ids(texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(JSON))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_and_white_space_as_the_library_reads_them():
+    rnd = random.Random(3)
+    alphabet = [*"ab  \n\n\t.,'1\u00e9\u00a0\u3000\x85\x1c\u6f22!", "<|endoftext|>", "<|endoftext", " word", " word,"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 12))) for _ in range(5000)]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x" * 3000 + " <|endoftext|>\n\n"]
+    own = Tokenizer.from_file(public_tokenizers.path(JSON))
+    got = bpe.codec(JSON).encode(texts)
+    assert all(bpe.ids_of(p).tolist() == e.ids for p, e in zip(got, own.encode_batch(texts, add_special_tokens=False)))
+    assert bpe.codec(JSON).decode(bpe.ids_of(got[-4])) == b"<|endoftext|>"
+
+
 def test_coder_round_trips_and_checks():
     rnd = np.random.default_rng(1)
     ids = np.minimum(rnd.zipf(1.3, 300_001), 50_000).astype(np.uint16)
     frequencies = rans.quantize(np.bincount(ids, minlength=50_257))
     assert frequencies.sum() == 1 << rans.SCALE
     coder = rans.Coder(frequencies)
-    for n in (0, 1, 1023, 1024, 1025, 300_001):
+    for n in (0, 1, 4095, 4096, 4097, 300_001):
         assert (coder.decode(coder.encode(ids[:n], [n]))[0] == ids[:n]).all()
     block = coder.encode(ids, [300_001])
+    block = coder.encode(ids, [300_001], every=32)
     parts = [coder.decode(block, first=i, last=i + 1)[0] for i in range(3)]
     assert (np.concatenate(parts) == ids).all()
     broken = bytearray(block)
