@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,21 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if it has more than so many rows, and more than this share of the rows.
+HOT_ROWS, HOT_SHARE = 1000, 0.001
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Joins rows with a table that has one row a key and in ``n`` the number of the key's rows, of ``total`` in all.
+
+    Hot keys meet their row by a broadcast, so that no task has to read all rows of one
+    key. As their rows are no more than all rows, there are at most 1 / HOT_SHARE of them.
+    """
+    hot = F.col(n) > max(HOT_ROWS, int(HOT_SHARE * total))
+    met = rows.join(F.broadcast(counted.where(hot)), keys, "left")
+    return met.where(F.col(n).isNotNull()).unionByName(met.where(F.col(n).isNull()).select(*rows.columns).join(counted.where(~hot), keys))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,6 +81,19 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
 
+def slices(batch: pa.RecordBatch, column: int, *, rows: int = 128, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most ``rows`` rows and, unless one row has more, ``size`` bytes in a column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and (i - first >= rows or held + n > size):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import drop_table, materialize
+from emberlane.llm.common import drop_table, join_counted, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, at: str, other: str, total: int) -> DataFrame:
+    """Adds ``m``, the least ``other`` of the edges at each vertex; a hub's edges stay spread over tasks."""
+    least = edges.groupBy(at).agg(F.min(other).alias("m"), F.count("*").alias("degree"))
+    return join_counted(edges, least, [at], "degree", total).drop("degree")
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Joins the larger neighbours of each vertex to its least neighbour, itself included."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    met = _with_least(both, "a", "b", 2 * total).where("b > a")
+    return met.select(F.least("a", "m").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Joins the smaller neighbours of each vertex, and itself, to the least of them. Edges come as a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    joined = edges.join(least, "b")
-    return joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), "b")).distinct()
+    met = _with_least(edges, "b", "a", total)
+    return met.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name="edges")
     before, state = None, _state(now)
     while state != before:
-        after = materialize(_small_star(_large_star(now)), name="edges")
+        after = materialize(_small_star(_large_star(now, state[0]), state[0]), name="edges")
         drop_table(now)
         now, before, state = after, state, _state(after)
     return now.select(F.col("b").alias("v"), F.col("a").alias("component")).union(now.select(F.col("a").alias("v"), F.col("a").alias("component"))).distinct()

@@ -6,13 +6,14 @@
 2. Every signature is posted under each (coordinate, value) pair. Two documents that
    agree in MATCHES coordinates share one of the COORDINATES - MATCHES + 1 rarest pairs
    of either (prefix filter), and pairs that one document holds alone can be skipped.
-3. A posting list is compared inside a task, in tiles of bounded size if it is long:
-   matching coordinates are counted, and where there are MATCHES or more the documents
-   fall into one candidate cluster. A tile gives a spanning forest of its matches, never
-   all its pairs.
-4. Within a cluster the full shingle sets are compared, again by tiles: the true links
-   are those with 100 * intersection >= SIMILAR * union, and a tile gives a spanning
-   forest of them. Components of those forests are the groups.
+3. A posting list is merged inside a task: matching coordinates are counted, values that
+   one document holds are skipped, and where there are MATCHES or more the documents fall
+   into one candidate cluster. A long list is cut into chunks that share its least
+   document, and then only its documents that are still in different clusters are
+   compared (``tiles.clusters_of``), so the work of a group of copies grows in proportion
+   to its size. A chunk gives a spanning forest of its matches, never all its pairs.
+4. Within a cluster the full shingle sets are compared, in the same way: the true links
+   are those with 100 * intersection >= SIMILAR * union. Their components are the groups.
 
 The chance that 64 coordinates miss a link of similarity 0.75 is about 5 in a million,
 and less above; links of lower similarity are never made.
@@ -33,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import drop_table, hash_words, materialize, table, window_hashes
-from emberlane.llm.components import components
-from emberlane.llm.tiles import Rows, forest, into_tiles, per_run, sides
+from emberlane.llm.common import drop_table, hash_words, join_counted, materialize, slices, table, window_hashes
+from emberlane.llm.tiles import Rows, clusters_of, forest, sides
 
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 32
-#: Documents on one side of a tile.
-TILE = 256
+#: Documents on one side of a tile, and about how many bytes of shingles.
+TILE, TILE_BYTES = 256, 32 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -85,8 +85,8 @@ def digest(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sigs = [], [], []
-            for at in range(0, batch.num_rows, 128):
-                for n, shingles, words in shingle_sets(batch.column(1).slice(at, 128).to_pylist()):
+            for part in slices(batch, 1):
+                for n, shingles, words in shingle_sets(part.column(1).to_pylist()):
                     sizes.append(len(shingles) if n else 0)
                     digests.append(words if n else None)
                     sigs.append(signature(shingles).tobytes() if n else None)
@@ -103,7 +103,8 @@ def match_tile(docs: np.ndarray, side: np.ndarray, sigs: list[bytes]) -> Rows:
     values = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), COORDINATES)
     left, right = values[one], values[two]
     count = np.zeros((len(one), len(two)), np.uint8)
-    for k in range(COORDINATES):
+    ordered = np.sort(values, axis=0)
+    for k in np.flatnonzero((ordered[1:] == ordered[:-1]).any(axis=0)):  # a coordinate without a repeated value is skipped
         count += left[:, k, None] == right[None, :, k]
     linked = count >= MATCHES
     linked &= docs[one][:, None] != docs[two][None, :]
@@ -139,8 +140,8 @@ def verify_tile(docs: np.ndarray, side: np.ndarray, sets: list[bytes]) -> Rows:
     return forest(linked, docs[one], docs[two])
 
 
-def candidate_links(reps: DataFrame) -> DataFrame:
-    """(a, b): spanning forests of the matches in all posting lists of the prefixes of (doc, sig)."""
+def candidate_clusters(reps: DataFrame) -> DataFrame:
+    """(v, component): documents of (doc, sig) that matches in the posting lists of their prefixes connect."""
 
     @F.pandas_udf("array<bigint>")
     def postings(sigs):
@@ -159,33 +160,30 @@ def candidate_links(reps: DataFrame) -> DataFrame:
 
     posted = materialize(reps.select("doc", F.explode(postings("sig")).alias("e")), name="posted")
     frequent = posted.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
-    held = posted.join(frequent, "e")
+    held = join_counted(posted, frequent, ["e"], "n", posted.count())
     # pairs that a document holds alone come first in its order and match nothing
     by_doc = Window.partitionBy("doc")
     ranked = held.withColumn("shared", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("n", "e")))
     prefix = ranked.where((F.col("shared") >= MATCHES) & (F.col("place") + COORDINATES - F.col("shared") <= COORDINATES - MATCHES + 1)).select("doc", "e")
-    prefix = materialize(prefix, name="prefix")
-    sizes = prefix.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
-    with_sig = prefix.join(sizes, "e").join(reps.select("doc", short("sig").alias("sig")), "doc")
-    found = materialize(per_run(into_tiles(with_sig, "n", "doc", TILE), ["e", "i", "j"], match_tile, "sig").select("a", "b").distinct(), name="candidates")
+    found = clusters_of(prefix, "e", lambda rows: rows.join(reps.select("doc", short("sig").alias("sig")), "doc"), "sig", match_tile, TILE)
     drop_table(posted)
-    drop_table(prefix)
     return found
 
 
-def true_links(clusters: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): spanning forests of the links within clusters (v, component), confirmed on the full sets of texts (doc, text)."""
+def true_clusters(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+    """(v, component) of the links within clusters (v, component), confirmed on the full sets of texts (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = [s.astype("<u8").tobytes() for _, s, _ in shingle_sets(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["component", "doc", "shingles"])
+            for part in slices(batch, 5):
+                sets = [s.astype("<u8").tobytes() for _, s, _ in shingle_sets(part.column(5).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["cluster", "doc", "n", "anchor", "per", "shingles"])
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = texts.join(clusters.withColumnRenamed("v", "doc"), "doc").select("component", "doc", "text").mapInArrow(run, "component bigint, doc bigint, shingles binary")
-    return per_run(into_tiles(members.join(sizes, "component"), "n", "doc", TILE), ["component", "i", "j"], verify_tile, "shingles").select("a", "b")
+    def with_sets(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, "doc").select("cluster", "doc", "n", "anchor", "per", "text").mapInArrow(run, "cluster bigint, doc bigint, n bigint, anchor bigint, per bigint, shingles binary")
+
+    sized = texts.select("doc", F.octet_length("text").alias("bytes")).join(clusters.select(F.col("v").alias("doc"), F.col("component").alias("cluster")), "doc")
+    return clusters_of(sized, "cluster", with_sets, "shingles", verify_tile, TILE, TILE_BYTES)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -197,10 +195,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     first = worded.join(classes.select("words", F.col("rep").alias("doc")), ["words", "doc"])
     # rows repeated under one id count once
     reps = materialize(first.select("doc", "sig").distinct(), name="reps")
-    clusters = materialize(components(candidate_links(reps)), name="clusters")
-    own_text = docs.join(clusters.select(F.col("v").alias("doc")), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    links = materialize(true_links(clusters, own_text), name="links")
-    groups = materialize(components(links), name="groups")
+    clusters = candidate_clusters(reps)
+    own_text = materialize(docs.join(clusters.select(F.col("v").alias("doc")), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), name="texts")
+    groups = true_clusters(clusters, own_text)
+    for done in (reps, clusters, own_text):
+        drop_table(done)
     rep_group = classes.join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("words", F.coalesce("component", "rep").alias("component_id"))
     linked = worded.join(rep_group, "words").select("doc", "n_shingles", "component_id")
     alone = digests.where("words is null or doc is null").select("doc", "n_shingles", F.col("doc").alias("component_id"))

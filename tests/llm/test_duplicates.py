@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberlane.llm import common, near_dup, vectors
+from emberlane.llm import common, near_dup, tiles, vectors
 from emberlane.llm.components import components
 
 
@@ -153,3 +153,33 @@ def test_pipeline(spark, sf_dir):
             assert after.join(docs, ["doc_id", "text"], "left_semi").count() == after.where("doc_id is not null").count()
         twice = after
     assert corpus_pipeline.run(spark, sf_dir).agg(F.countDistinct("doc_id")).first()[0] > 50
+
+
+def test_clusters_across_chunks(spark):
+    """Long groups: documents that no chunk connects are still compared across components, and work stays in proportion for a group of copies."""
+    rnd = np.random.default_rng(8)
+    values = {1: np.unique(rnd.integers(0, 4000, 900)), 2: np.arange(700), 3: np.concatenate((np.full(900, 5000), [9000, 9001, 5001, 7000]))}
+    rows = [(g, g * 10_000 + i, int(v).to_bytes(8, "little")) for g, vs in values.items() for i, v in enumerate(vs)]
+
+    def work(docs, side, items):
+        one, two = tiles.sides(side)
+        at = np.array([int.from_bytes(i, "little") for i in items])
+        linked = np.abs(at[one][:, None] - at[two][None, :]) <= 2
+        linked &= docs[one][:, None] != docs[two][None, :]
+        return tiles.forest(linked, docs[one], docs[two])
+
+    data = spark.createDataFrame(rows, "g long, doc long, item binary")
+    got = {r.v: r.component for r in tiles.clusters_of(data.select("g", "doc"), "g", lambda m: m.join(data, ["g", "doc"]), "item", work, 64).collect()}
+    links = [(g * 10_000 + i, g * 10_000 + j) for g in (1, 2) for i in range(len(values[g])) for j in range(i + 1, min(i + 5, len(values[g]))) if values[g][j] - values[g][i] <= 2]
+    links += [(30_000, 30_000 + i) for i in range(900)] + [(30_000, 30_902), (30_900, 30_901)]
+    want = groups_by_hand(links, [d for _, d, _ in rows])
+    assert {d: got.get(d, d) for _, d, _ in rows} == want
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rnd = np.random.default_rng(4)
+    edges = [(0, int(x)) for x in rnd.permutation(3000)[:800]] + [(int(a), int(a) + 1) for a in range(5000, 5400)] + [(int(a), int(b)) for a, b in rnd.integers(6000, 9000, (1500, 2))] + [(7, 7)]
+    got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = groups_by_hand(edges, {v for e in edges for v in e})
+    assert {v: got.get(v, v) for v in want} == want
