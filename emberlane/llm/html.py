@@ -6,6 +6,8 @@ The second pass gives an undecided block the label of its nearest decided neighb
 the same region of the page - the article, or what lies outside it - and, where a region
 has no decided block, what the region suggests. An ``article`` or ``main`` element is
 strong evidence for its blocks: inside it, few stop words alone do not condemn one.
+Containers that name themselves boilerplate are dropped; one that only a part of a longer
+name speaks against is kept if it holds most of the page's running text.
 On a page whose running text has few known stop words the language is taken as unknown,
 and length and link density alone decide.
 
@@ -48,12 +50,19 @@ NAMES = frozenset(
 #: First-pass limits: link share, characters of a short and of a long block, stop-word shares.
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.4, 60, 180, 0.1, 0.22
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_QUOTE_OR_END = re.compile("[>\"']")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
-_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
+#: Parts of a class that make it a state or a layout, as in "has-sidebar".
+_STATES = frozenset("has with without no is show hide".split())
+#: A container that only parts of its names speak against is kept if it holds this share of the page's running text.
+WRAPPER = 0.5
+
+NEUTRAL, DOUBTFUL, BOILERPLATE = 0, 1, 2
 
 
 @dataclass
@@ -63,16 +72,65 @@ class Block:
     links: int
     region: int  # 0 outside any article
     dropped: bool
+    doubts: tuple[int, ...] = ()  # doubtful containers around it
 
 
-def _names_boilerplate(attributes: str) -> bool:
+def _judge_names(attributes: str) -> int:
+    """What class, id, role and visibility say of an element. Whole names decide; parts of longer ones raise a doubt, unless they tell a state."""
+    worst = NEUTRAL
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(part in NAMES for part in _NAME.findall(value)):
-            return True
-    return False
+            return BOILERPLATE
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            parts = _NAME.findall(token)
+            if token in NAMES or len(parts) <= 2 and parts and parts[-1] in NAMES and not _STATES.intersection(parts):
+                return BOILERPLATE
+            if not _STATES.intersection(parts) and not NAMES.isdisjoint(parts):
+                worst = DOUBTFUL
+    return worst
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag, and of comments and declarations with an empty name.
+
+    It only goes forward: a quote that is never closed is an ordinary character, and
+    a tag that never ends is text, which two look-ups from the end tell at once.
+    Send a place to go on from there.
+    """
+    last = {c: page.rfind(c) for c in ">\"'"}
+    at = page.find("<")
+    while 0 <= at < last[">"]:
+        start, closing = at, page.startswith("/", at + 1)
+        found = _TAG_NAME.match(page, at + 1 + closing)
+        end = 0
+        if found:
+            end = found.end()
+            while page[end] != ">":
+                end = _QUOTE_OR_END.search(page, end).start() if end < last[">"] else -1
+                if end < 0 or page[end] == ">":
+                    break
+                quote = page[end]
+                end = page.find(quote, end + 1) + 1 if end < last[quote] else end + 1
+                if end > last[">"]:
+                    end = -1
+                    break
+            if end >= 0:
+                end += 1
+                jump = yield start, end, closing, found[0].lower(), page[found.end():end - 1]
+                end = end if jump is None else jump
+            else:
+                end = at + 1
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield start, end, False, "", ""
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield start, end, False, "", ""
+        at = page.find("<", max(end, at + 1))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -80,17 +138,28 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    links = dropped = region = regions = 0
+    links = dropped = region = regions = doubts = 0
     link_depth = 0
-    open_tags: list[tuple[str, bool, int]] = []  # element, whether it drops its text, region outside it
+    doubtful: list[int] = []
+    open_tags: list[tuple[str, bool, bool, int]] = []  # element, whether it drops its text, whether it is doubtful, region outside it
+    opened: dict[str, int] = {}
 
     def close_block() -> None:
         nonlocal parts, link_parts, links
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, len(_SPACE.sub(" ", "".join(link_parts)).strip()), links, region, dropped > 0))
+            out.append(Block(text, len(_SPACE.sub(" ", "".join(link_parts)).strip()), links, region, dropped > 0, tuple(doubtful)))
         parts, link_parts, links = [], [], 0
 
+    def close_tag() -> str:
+        nonlocal dropped, region
+        tag, drops, doubt, region = open_tags.pop()
+        dropped -= drops
+        opened[tag] -= 1
+        if doubt:
+            doubtful.pop()
+        return tag
+
     def add(text: str) -> None:
         if "&" in text:
             text = unescape(text)
@@ -98,49 +167,70 @@ def blocks_of(page: str) -> list[Block]:
         if link_depth:
             link_parts.append(text)
 
-    at, found = 0, _TAG.search(page)
-    while found:
-        if found.start() > at:
-            add(page[at:found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
+    at, tags, jump = 0, tags_of(page), None
+    while True:
+        try:
+            start, end, closing, tag, attributes = tags.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        if start > at:
+            add(page[at:start])
+        at = end
         if not tag:
-            pass
-        elif tag == "a":
-            link_depth = 0 if found[1] else 1
-            links += not found[1]
+            continue
+        judged = NEUTRAL if closing or tag in ("body", "html", "article", "main") or not attributes else _judge_names(attributes)
+        if tag == "a":
+            link_depth = 0 if closing else 1
+            links += not closing
         elif tag in SPACED:
             parts.append(" ")
-        elif tag in INLINE and not (not found[1] and tag == "span" and _names_boilerplate(found[3])):
+        elif tag in INLINE and not (tag == "span" and judged == BOILERPLATE) and not (closing and opened.get(tag)):
             pass
-        elif found[1]:
+        elif closing:
             close_block()
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    while len(open_tags) > i:
-                        _, drops, region = open_tags.pop()
-                        dropped -= drops
-                    break
             link_depth = 0
+            if opened.get(tag):
+                while close_tag() != tag:
+                    pass
         else:
             close_block()
             link_depth = 0
+            if open_tags and open_tags[-1][0] == "p":  # a block ends a paragraph
+                close_tag()
             if tag in RAW:
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
-            elif tag not in VOID and tag != "p" and not found[3].endswith("/"):
+                found = _RAW_END[tag].search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                at = jump = len(page) if end < 0 else end + 1
+            elif tag not in VOID and not attributes.endswith("/"):
                 inside = region > 0
-                drops = tag in DROPPED or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and _names_boilerplate(found[3])
-                open_tags.append((tag, drops, region))
+                drops = tag in DROPPED or tag == "header" and not inside or judged == BOILERPLATE
+                open_tags.append((tag, drops, judged == DOUBTFUL, region))
+                opened[tag] = opened.get(tag, 0) + 1
                 dropped += drops
+                if judged == DOUBTFUL:
+                    doubts += 1
+                    doubtful.append(doubts)
                 if tag in REGIONS and not (inside and tag == "article"):
                     regions += 1
                     region = regions
-        found = _TAG.search(page, at)
     if at < len(page):
         add(page[at:])
     close_block()
-    return out
+    return _settle_doubts(out)
+
+
+def _settle_doubts(blocks: list[Block]) -> list[Block]:
+    """Drops the blocks of doubtful containers that do not hold most of the page's running text."""
+    running = [(b, len(b.text)) for b in blocks if not b.dropped and b.link_chars <= MAX_LINKS * len(b.text)]
+    held: dict[int, int] = {}
+    for block, size in running:
+        for doubt in block.doubts:
+            held[doubt] = held.get(doubt, 0) + size
+    whole = WRAPPER * sum(size for _, size in running)
+    for block in blocks:
+        block.dropped = block.dropped or any(held.get(d, 0) < whole for d in block.doubts)
+    return blocks
 
 
 GOOD, BAD, UNDECIDED = 1, 0, -1
@@ -208,8 +298,6 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     known = language_known(blocks)
     labels = second_pass(blocks, [first_pass(b, known) for b in blocks])
-    if any(b.region and label == GOOD for b, label in zip(blocks, labels)):  # what lies outside an article is around it
-        labels = [label if b.region else BAD for b, label in zip(blocks, labels)]
     return "\n\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     digests = materialize(digest(docs, key="doc"), name="digests")
     worded = digests.where("words is not null and doc is not null")
-    classes = worded.groupBy("words").agg(F.min("doc").alias("rep"))
+    classes = worded.groupBy("words").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
     first = worded.join(classes.select("words", F.col("rep").alias("doc")), ["words", "doc"])
     # rows repeated under one id count once
     reps = materialize(first.select("doc", "sig").distinct(), name="reps")
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     groups = true_clusters(clusters, own_text)
     for done in (reps, clusters, own_text):
         drop_table(done)
-    rep_group = classes.join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("words", F.coalesce("component", "rep").alias("component_id"))
-    linked = worded.join(rep_group, "words").select("doc", "n_shingles", "component_id")
+    rep_group = classes.join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("words", "n", F.coalesce("component", "rep").alias("component_id"))
+    linked = join_counted(worded.select("words", "doc", "n_shingles"), rep_group, ["words"], "n", digests.count()).select("doc", "n_shingles", "component_id")
     alone = digests.where("words is null or doc is null").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     out = linked.unionByName(alone).select(F.col("doc").alias(key), "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

@@ -6,8 +6,9 @@ earlier line. Viterbi decoding marks each line as content or boilerplate, and th
 of the words that lie in content lines decides whether a document is kept. Two base
 rules come first: too few words, or too many words in repeated three-word windows.
 
-The field is fitted to a bounded set of documents with a quality label; their lines
-inherit it. Without labelled rows fixed weights serve.
+The field is fitted to a bounded set of documents with a quality label. A line has its
+document's label unless its shape is typical of documents of the other one, so a document
+has lines of both labels (``label_lines``). Without labelled rows fixed weights serve.
 
 Defined cases: null or empty texts have no words and fail; a text without line breaks
 is one line; rows are kept as they come, repeated ones too; a document with several
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bounded_sample, hash_words, table, window_hashes
+from emberlane.llm.common import bounded_sample, hash_words, slices, table, window_hashes
 
 #: Base rules: least words, and the percentage of words in repeated windows above which a text fails.
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
@@ -44,6 +45,11 @@ FEATURES = (
 )
 
 
+def _tail(line: str) -> str:
+    """The last character that is no white space, and what follows it."""
+    return line[len(line.rstrip()) - 1:]
+
+
 def line_features(line: str, repeated: bool) -> np.ndarray:
     raw = line.encode()
     words = raw.split()  # at the six ASCII spaces only
@@ -62,7 +68,7 @@ def line_features(line: str, repeated: bool) -> np.ndarray:
     return np.array([
         1, symbols > 0.01, symbols > 0.04, capitals > 0.3, capitals > 0.7, marks > 0.08, digits > 0.15,
         n >= 10 and distinct < 0.6, n >= 10 and distinct < 0.35, again > 0.2, average < 2.5, average > 12,
-        n < 4, n < 10, n > 60, bool(_CLOSED.search(line[-8:])), repeated, letters == 0, line.count(" | ") * 4 > n, line.count("!") * 10 > n,
+        n < 4, n < 10, n > 60, bool(_CLOSED.search(_tail(line))), repeated, letters == 0, line.count(" | ") * 4 > n, line.count("!") * 10 > n,
     ], np.float32)
 
 
@@ -106,38 +112,42 @@ class Field:
 DEFAULT = Field(np.array([2, -1, -3, -1, -3, -1, -1, -1.5, -2, -3, -1, -1, -.5, 0, .5, .5, -1, -2, -3, -2], float), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def fit_chains(chains: list[tuple[np.ndarray, int]], *, steps: int = 120, length: int = 32) -> Field:
-    """Maximum likelihood of a conditional random field by gradient steps on all chains at once.
-
-    A longer chain is trained in stretches of ``length`` places; every place counts.
-    """
-    parts = [(f[i:i + length], y) for f, y in chains for i in range(0, len(f), length)]
-    if not parts or len({y for _, y in parts}) < 2:
+def expectations(x: np.ndarray, mask: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chance of content at each place, chance of each pair of labels at each place but the first) of chains x[chain, place, feature], by forward and backward sums."""
+    n, length = mask.shape
+    emit = np.stack((np.zeros((n, length)), x @ w), axis=2)
+    alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+    alpha[:, 0] = emit[:, 0]
+    for i in range(1, length):
+        moved = np.logaddexp(alpha[:, i - 1, 0, None] + t[0], alpha[:, i - 1, 1, None] + t[1]) + emit[:, i]
+        alpha[:, i] = np.where(mask[:, i, None] > 0, moved, alpha[:, i - 1])
+    for i in range(length - 2, -1, -1):
+        ahead = emit[:, i + 1] + beta[:, i + 1]
+        back = np.logaddexp(ahead[:, 0, None] + t[:, 0], ahead[:, 1, None] + t[:, 1])
+        beta[:, i] = np.where(mask[:, i + 1, None] > 0, back, 0)
+    total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    one = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]) * mask
+    joint = np.exp(alpha[:, :-1, :, None] + t + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
+    return one, joint
+
+
+def fit_chains(chains: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 120) -> Field:
+    """Maximum likelihood of a conditional random field over (features, a label for each line, number of such chains), by gradient steps on all chains at once."""
+    if not chains or len({int(v) for _, y, _ in chains for v in y}) < 2:
         return DEFAULT
-    n, width = len(parts), parts[0][0].shape[1]
-    x, mask = np.zeros((n, length, width)), np.zeros((n, length))
-    for i, (f, _) in enumerate(parts):
-        x[i, :len(f)], mask[i, :len(f)] = f, 1
-    y = np.array([p[1] for p in parts])
+    n, length, width = len(chains), max(len(y) for _, y, _ in chains), chains[0][0].shape[1]
+    x, y, mask = np.zeros((n, length, width)), np.zeros((n, length), int), np.zeros((n, length))
+    for i, (f, labels, _) in enumerate(chains):
+        x[i, :len(f)], y[i, :len(f)], mask[i, :len(f)] = f, labels, 1
+    count = np.array([c for _, _, c in chains], float)
     w, t = np.zeros(width), np.zeros((2, 2))
     moments = [np.zeros(width + 4), np.zeros(width + 4)]
-    gold_w = np.einsum("nlf,nl->f", x, mask * y[:, None])
-    pairs = mask[:, 1:].sum(axis=1)
-    gold_t = np.array([[pairs[y == 0].sum(), 0], [0, pairs[y == 1].sum()]])
+    gold_w = np.einsum("nlf,nl->f", x, y * mask * count[:, None])
+    gold_t = np.zeros((2, 2))
+    np.add.at(gold_t, (y[:, :-1], y[:, 1:]), mask[:, 1:] * count[:, None])
     for step in range(1, steps + 1):
-        emit = np.stack((np.zeros((n, length)), x @ w), axis=2)
-        alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-        alpha[:, 0] = emit[:, 0]
-        for i in range(1, length):
-            moved = np.logaddexp.reduce(alpha[:, i - 1, :, None] + t, axis=1) + emit[:, i]
-            alpha[:, i] = np.where(mask[:, i, None] > 0, moved, alpha[:, i - 1])
-        for i in range(length - 2, -1, -1):
-            back = np.logaddexp.reduce(t + (emit[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2)
-            beta[:, i] = np.where(mask[:, i + 1, None] > 0, back, 0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        one = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]) * mask
-        joint = np.exp(alpha[:, :-1, :, None] + t + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
-        gradient = np.concatenate((gold_w - np.einsum("nlf,nl->f", x, one) - 0.5 * w, (gold_t - joint.sum(axis=(0, 1)) - 0.5 * t).ravel())) / n
+        one, joint = expectations(x, mask, w, t)
+        gradient = np.concatenate((gold_w - np.einsum("nlf,nl->f", x, one * count[:, None]) - 0.5 * w, (gold_t - np.einsum("nlab,n->ab", joint, count) - 0.5 * t).ravel())) / count.sum()
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
         move = 0.15 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -145,24 +155,55 @@ def fit_chains(chains: list[tuple[np.ndarray, int]], *, steps: int = 120, length
     return Field(w, t)
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality") -> Field:
-    """Fits the field to a bounded set of labelled rows; their line features reach the driver as bits, counted by distinct chain."""
+def label_lines(chains: list[tuple[np.ndarray, int, int]], *, least: int = 20, sure: float = 0.8) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """A label for each line of chains (features, label of the document, number of such chains).
+
+    A line has its document's label unless lines of its shape, ``least`` of them or more,
+    stand with a chance of ``sure`` in documents of the other label, both labels counted as
+    equally frequent: good documents hold boilerplate and poor ones sentences.
+    """
+    lines = np.concatenate([f for f, _, _ in chains]).astype(bool)
+    of = np.repeat([y for _, y, _ in chains], [len(f) for f, _, _ in chains])
+    weight = np.repeat([float(c) for _, _, c in chains], [len(f) for f, _, _ in chains])
+    _, shape = np.unique(np.packbits(lines, axis=1), axis=0, return_inverse=True)
+    good, poor = (np.bincount(shape.ravel(), weight * (of == y), minlength=shape.max() + 1) for y in (1, 0))
+    rate = [(g + 0.5) / max(1.0, g.sum()) for g in (good, poor)]
+    typical = (rate[0] / (rate[0] + rate[1]))[shape.ravel()]
+    known = (good + poor)[shape.ravel()] >= least
+    labels = np.where(known & (typical >= sure), 1, np.where(known & (typical <= 1 - sure), 0, of))
+    cuts = np.cumsum([len(f) for f, _, _ in chains])[:-1]
+    return [(f, own, c) for (f, _, c), own in zip(chains, np.split(labels, cuts))]
+
+
+#: Lines to a chain in training; a longer text is trained in stretches, and every line counts.
+STRETCH = 32
+
+
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality", most_chains: int = 6_000) -> Field:
+    """Fits the field to a bounded set of labelled rows.
+
+    Spark counts the distinct chains of line features; at most ``most_chains`` of them,
+    chosen by a hash, reach the driver, a few bytes a line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, labels = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines, repeats = lines_of(t or "")
-                for i in range(0, len(lines), 32):
-                    rows = np.stack([line_features(a, b) for a, b in zip(lines[i:i + 32], repeats[i:i + 32])])
+                for i in range(0, len(lines), STRETCH):
+                    rows = np.stack([line_features(a, b) for a, b in zip(lines[i:i + STRETCH], repeats[i:i + STRETCH])])
                     out.append(np.packbits(rows.astype(bool), axis=1).tobytes())
                     labels.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(labels, pa.int32())], names=["bits", "y"])
 
-    rows = labelled.select(text, F.col(label).cast("int")).mapInArrow(run, "bits binary, y int").collect()
+    counted = labelled.select(text, F.col(label).cast("int")).mapInArrow(run, "bits binary, y int").groupBy("bits", "y").agg(F.count("*").alias("n"))
+    rows = counted.orderBy(F.xxhash64("bits", "y"), "bits", "y").limit(most_chains).collect()
+    if len({r.y for r in rows}) < 2:
+        return DEFAULT
     width = -(-len(FEATURES) // 8)
-    rows = sorted((bytes(r.bits), r.y) for r in rows)
-    return fit_chains([(np.unpackbits(np.frombuffer(b, np.uint8).reshape(-1, width), axis=1)[:, :len(FEATURES)].astype(np.float32), y) for b, y in rows])
+    chains = [(np.unpackbits(np.frombuffer(r.bits, np.uint8).reshape(-1, width), axis=1)[:, :len(FEATURES)].astype(np.float32), r.y, r.n) for r in rows]
+    return fit_chains(label_lines(chains))
 
 
 def measure(df: DataFrame, field: Field, *, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), min_content: float = MIN_CONTENT) -> DataFrame:
@@ -201,8 +242,7 @@ def measure(df: DataFrame, field: Field, *, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in slices(batch, batch.num_columns - 1, rows=64):
                 rows = list(numbers([t or "" for t in part.column(part.num_columns - 1).to_pylist()]))
                 made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[f"c{i}" for i in range(part.num_columns - 1 + len(made))])

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bounded_sample, drop_table, materialize, table
+from emberlane.llm.common import bounded_sample, drop_table, join_counted, materialize, table
 from emberlane.llm.components import components
 from emberlane.llm.tiles import Rows, forest, into_tiles, per_run, sides
 
@@ -393,8 +393,8 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
         probes, reach = probes * 2, reach * 2
     counts = found.where("b = -1").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("links"))
     groups = components(found.where("b >= 0").select("a", "b"))
-    by_rep = classes.join(counts, "doc", "left").join(groups.withColumnRenamed("v", "doc"), "doc", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "doc").alias("component_id"))
-    linked = valid.join(by_rep, "unit").select("vec", "n_links", "component_id")
+    by_rep = classes.join(counts, "doc", "left").join(groups.withColumnRenamed("v", "doc"), "doc", "left").select("unit", F.col("n"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "doc").alias("component_id"))
+    linked = join_counted(valid, by_rep, ["unit"], "n", vectors.count()).select("vec", "n_links", "component_id")
     alone = vectors.where("unit is null or vec is null").select("vec", F.lit(0).cast("bigint").alias("n_links"), F.col("vec").alias("component_id"))
     out = linked.unionByName(alone).select(F.col("vec").alias(key), "n_links", "component_id")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

@@ -1,5 +1,7 @@
 """Operators 1, 2 and 6: language, toxicity, quality."""
 
+import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -149,3 +151,38 @@ def test_viterbi_equals_all_paths():
         best = max(([int(c) for c in f"{k:06b}"] for k in range(64)), key=score)
         assert field.viterbi(x).tolist() == best
     assert quality.fit_chains([]) is quality.DEFAULT
+
+
+def test_expectations_equal_all_paths():
+    """Chances by forward and backward sums equal those counted over all label sequences, for chains of several lengths."""
+    rnd = np.random.default_rng(3)
+    for _ in range(10):
+        x, w, t = rnd.normal(size=(2, 5, 3)), rnd.normal(size=3), rnd.normal(size=(2, 2))
+        mask = np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0]], float)
+        one, joint = quality.expectations(x, mask, w, t)
+        for c, n in enumerate((5, 3)):
+            paths = list(itertools.product((0, 1), repeat=n))
+            chance = np.exp([sum(x[c, i] @ w * y for i, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:])) for p in paths])
+            chance /= chance.sum()
+            assert np.allclose(one[c, :n], np.array(paths).T @ chance) and not one[c, n:].any()
+            for i in range(1, n):
+                by_hand = [[sum(q for p, q in zip(paths, chance) if (p[i - 1], p[i]) == (a, b)) for b in (0, 1)] for a in (0, 1)]
+                assert np.allclose(joint[c, i - 1], by_hand)
+
+
+def test_op6_mixed_documents_get_mixed_labels(spark):
+    """Good documents with a line of symbols and poor ones with a sentence teach the field to change its label inside a document."""
+    rnd = random.Random(6)
+    sentence = lambda: " ".join("w%d" % rnd.randint(0, 99) for _ in range(14)).replace("w", "ab") + "."
+    junk = lambda: " ".join(rnd.choice(("$$$", "##", "BUY", "NOW", "100", "***")) for _ in range(9))
+    rows = [("\n".join([*(sentence() for _ in range(7)), junk()]), 1) for _ in range(60)] + [("\n".join([*(junk() for _ in range(7)), sentence()]), 0) for _ in range(60)]
+    field = quality.fit(spark.createDataFrame(rows, "text string, quality int"))
+    lines = [*(sentence() for _ in range(4)), *(junk() for _ in range(4)), *(sentence() for _ in range(3))]
+    labels = field.viterbi(np.stack([quality.line_features(line, False) for line in lines]))
+    assert labels.tolist() == [1] * 4 + [0] * 4 + [1] * 3
+    texts = ["\n".join(lines), "\n".join(lines[:2] + lines[4:8] * 3)]
+    kept = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).orderBy("doc_id").collect()
+    for r, t in zip(kept, texts):
+        own = [(len(x.split()), field.viterbi(np.stack([quality.line_features(y, False) for y in t.split("\n")]))[i]) for i, x in enumerate(t.split("\n"))]
+        share = sum(n for n, y in own if y) / sum(n for n, _ in own)
+        assert abs(r.content_share - share) < 1e-9 and r.kept == (not r.base_failed and share >= 0.5)

@@ -43,6 +43,53 @@ def test_main_text(page, want):
     assert pages.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div class='layout has-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class='page nav-open-left'><p>{LONG}</p><div class='related-items-box'><p>Short one.</p></div></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p><p class='advert'>{LONG}</p><p>End</article>", f"{LONG.strip()}\n\nEnd"),
+        (f"<div><p class=ad>{LONG}<p>{LONG}<div>More.</div></div>", f"{LONG.strip()}\n\nMore."),
+        (f"<div class='site-footer'><p>{LONG}</p></div><div class=text><p>{LONG}</p></div>", LONG.strip()),
+        (f"<p>{LONG}</p></b></i></div>x<a href='1", f"{LONG.strip()}\n\nx<a href='1"),
+        ("<p title=\"a>b\">one</p><p title='it\"s>'>two</p>", "one\n\ntwo"),
+    ],
+)
+def test_names_and_broken_markup(page, want):
+    assert pages.main_text(page) == want
+
+
+def test_tags_as_the_standard_parser_reads_them(spark, sf_dir):
+    from html.parser import HTMLParser
+
+    class Tags(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.seen = []
+
+        def handle_starttag(self, tag, attrs):
+            self.seen.append((False, tag))
+
+        def handle_endtag(self, tag):
+            self.seen.append((True, tag))
+
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        own = Tags()
+        text = re.sub(r"(?s)<(script|style)>.*?</\1>", "", row.html)
+        own.feed(text)
+        assert [(closing, tag) for _, _, closing, tag, _ in pages.tags_of(text) if tag] == own.seen
+
+
+@pytest.mark.parametrize("piece", ['<a="', "<a ", "<script ", "</script ", "</div>", "<div>", '<a x="', "<!--", '<p class="', "<p>", "a&lt"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_broken_markup_of_a_megabyte(piece, end):
+    import time
+
+    start = time.process_time()
+    pages.main_text(piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize(
     "text",
     [
