@@ -56,15 +56,16 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 
 def assertion(predicate: Column, subject: Column, object_: Column, tolerance_seconds: Column) -> Column:
     """Whether a typed assertion holds between two endpoints given as text; a missing endpoint or unknown predicate rejects."""
-    from emberlane.functions.text import hash_set, under_path
+    from emberlane.functions.text import hash_set, nt_normalize, under_path
 
+    inside = under_path(nt_normalize(subject), nt_normalize(object_))  # "c:\\data\\..\\x" is not under "c:\\data"
     ts, to = parse_micros(subject), parse_micros(object_)
     held = (
         F.when(predicate == "equals", scalar_equal(subject, object_))
         .when(predicate == "contains", F.lower(subject).contains(F.lower(object_)))
         .when(predicate == "list_contains", F.array_contains(F.transform(F.split(subject, ","), lambda x: F.trim(x)), object_))
-        .when(predicate == "under_path", under_path(subject, object_))
-        .when(predicate == "outside_path", ~under_path(subject, object_))
+        .when(predicate == "under_path", inside)
+        .when(predicate == "outside_path", ~inside)
         .when(predicate == "same_path", normalize_path(subject) == normalize_path(object_))
         .when(predicate == "same_hash", F.arrays_overlap(hash_set(subject), hash_set(object_)))
         .when(predicate == "before", ts < to)

@@ -20,16 +20,22 @@ def normalize_path(path: Column) -> Column:
     return F.when(cut == "", slashed).otherwise(cut)
 
 
-def nt_normalize(path: Column, depth: int = 12) -> Column:
-    """Backslashes, lower case, doubled separators joined, ``.`` dropped and ``..`` resolved, ``depth`` of them at most."""
+def nt_normalize(path: Column) -> Column:
+    """Backslashes, lower case, doubled separators joined, ``.`` dropped and ``..`` resolved over all segments; nothing left is ``.``."""
     out = F.lower(F.replace(path, F.lit("/"), F.lit("\\")))
-    out = F.regexp_replace(out, r"(?<!^)\\{2,}", r"\\")
-    for _ in range(2):
-        out = F.regexp_replace(out, r"\\\.(?=\\|$)", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"(^|\\)(?!\.\.(?:\\|$))[^\\:]+\\\.\.(?=\\|$)", "$1")
-        out = F.regexp_replace(out, r"(?<!^)\\{2,}", r"\\")
-    return F.regexp_replace(out, r"(?<=[^\\:])\\+$", "")
+    shape = r"(?s)^(\\\\[^\\]+\\[^\\]*|[^\\]:|)(\\*)(.*)$"
+    drive, rest = F.regexp_extract(out, shape, 1), F.regexp_extract(out, shape, 3)
+    root = F.when(F.regexp_extract(out, shape, 2) != "", "\\").otherwise("")
+    last = lambda kept: F.get(kept, F.size(kept) - 1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = part == ".."
+        goes_up = up & (F.size(kept) > 0) & F.coalesce(last(kept) != "..", F.lit(False))
+        return F.when((part == "") | (part == ".") | up & (F.size(kept) == 0) & (root != ""), kept).when(goes_up, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, part))
+
+    parts = F.aggregate(F.split(rest, r"\\"), F.array().cast("array<string>"), step)
+    joined = F.concat(drive, root, F.array_join(parts, "\\"))
+    return F.when(joined == "", ".").otherwise(joined)
 
 
 def basename(path: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.tables import written
+
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, *, by: list[str], point: str, anchor: str, tolerance: int | None = None) -> DataFrame:
     """Adds ``distance``, the time to the nearest anchor before or after each point; null beyond ``tolerance``.
@@ -25,21 +27,25 @@ def nearest_anchor(points: DataFrame, anchors: DataFrame, *, by: list[str], poin
         keys.append("_bucket")
     both = p.withColumn("_is_point", F.lit(True)).unionByName(a.withColumn("_is_point", F.lit(False)), allowMissingColumns=True)
     before = F.last("_anchor", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_anchor", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, Window.unboundedFollowing))
+    # the other way round, as a frame that grows is carried along and one that shrinks is read again for every row
+    after = F.last("_anchor", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0))
     distance = F.least(F.col("_t") - before, after - F.col("_t"))
     if tolerance:
         distance = F.when(distance <= tolerance, distance)
     return both.withColumn("distance", distance).where("_is_point").select(*points.columns, "distance")
 
 
-def tree_depth(rows: DataFrame, roots: DataFrame, *, key: str, parent: str, depth: int = 4) -> DataFrame:
-    """(key, depth): rows reached from the roots through parents, level by level, at their least depth."""
-    edges = rows.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null and p is not null").distinct()
-    reached = roots.select(F.col(key).alias("k")).distinct().withColumn("depth", F.lit(0))
-    level = reached
-    for d in range(1, depth + 1):
-        found = edges.join(level.select(F.col("k").alias("p")), "p").select("k").distinct()
-        level = found.join(reached, "k", "left_anti").withColumn("depth", F.lit(d))
+def tree_depth(rows: DataFrame, roots: DataFrame, *, key: str, parent: str, depth: int | None = None) -> DataFrame:
+    """(key, depth): rows reached from the roots through parents, level by level, at their least depth; all levels, or the first ``depth``.
+
+    Each level is one join of the edges with the level before, written to the shared folder.
+    """
+    edges = written(rows.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null and p is not null").distinct(), "edges")
+    level = written(roots.select(F.col(key).alias("k")).distinct().withColumn("depth", F.lit(0)), "level")
+    reached = level
+    while not level.isEmpty() and (depth is None or level.first().depth < depth):
+        found = edges.join(level.select(F.col("k").alias("p"), "depth"), "p").groupBy("k").agg((F.first("depth") + 1).alias("depth"))
+        level = written(found.join(reached, "k", "left_anti"), "level")
         reached = reached.unionByName(level)
     return reached.select(F.col("k").alias(key), "depth")
 

@@ -15,12 +15,12 @@ def requests_of(techniques: DataFrame, mappings: DataFrame) -> tuple[DataFrame,
 
 def selected(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(artifact, priority, techniques): usable artifacts of the first tier, at their strongest priority."""
-    usable = requests.where("tier = 1").join(F.broadcast(catalog.where("usable")), "artifact")
+    usable = requests.where("tier = 1").join(catalog.where("usable"), "artifact")
     return usable.groupBy("artifact").agg(F.least(F.min("priority"), F.lit(2)).alias("priority"), F.array_join(F.array_sort(F.collect_set("technique")), ",").alias("techniques"))
 
 
 def deferred(requests: DataFrame, catalog: DataFrame, chosen: DataFrame) -> DataFrame:
-    later = requests.where("tier = 2").join(F.broadcast(catalog.where("usable")), "artifact").join(chosen, "artifact", "left_anti")
+    later = requests.where("tier = 2").join(catalog.where("usable"), "artifact").join(chosen, "artifact", "left_anti")
     return later.groupBy("artifact").agg(F.min("priority").alias("priority"))
 
 
@@ -51,5 +51,5 @@ def merge_scopes(scopes: DataFrame, *, by: str, lists: list[str], start: str, en
 
 def applicable(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``applies``: the build lies in the rule's range; open ends are open."""
-    joined = rows.join(F.broadcast(rules), "artifact", "left")
+    joined = rows.join(rules, "artifact", "left")
     return joined.withColumn("applies", (F.col("build") >= F.coalesce("min_build", F.lit(0))) & (F.col("build") <= F.coalesce("max_build", F.lit(1 << 30))))

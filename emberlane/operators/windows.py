@@ -6,31 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def trailing_counts(rows: DataFrame, *, key: str, at: str, kind: str, width: int, ordinal: list[str]) -> DataFrame:
+    """Adds ``_kinds`` and ``_rows``: different kinds and rows of the key in the ``width`` up to each row, ties included.
+
+    A sweep: a kind is alive from a row of it until ``width`` after the last one, so each
+    row opens its kind if it was not alive, and closes it if no other row renews it. Running
+    sums of openings and closings are the counts; no window is held, whatever its rows.
+    """
+    same = Window.partitionBy(key, kind).orderBy(at, *ordinal)
+    opens = F.col(kind).isNotNull() & ~F.coalesce(F.lag(at).over(same) >= F.col(at) - width, F.lit(False))
+    closes = F.col(kind).isNotNull() & ~F.coalesce(F.lead(at).over(same) <= F.col(at) + width, F.lit(False))
+    marked = rows.withColumn("_opens", opens.cast("int")).withColumn("_closes", closes.cast("int"))
+    ends = marked.select(key, (F.col(at) + width).alias(at), (-F.col("_closes")).alias("_opens"), F.lit(-1).alias("_step"), F.lit(1).alias("_end"))
+    both = marked.withColumn("_step", F.lit(1)).withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(at, "_end")  # what ends at a time still counts there; rows of one time see each other
+    out = both.withColumn("_kinds", F.sum("_opens").over(order)).withColumn("_rows", F.sum("_step").over(order))
+    return out.where("_end = 0").drop("_opens", "_closes", "_step", "_end")
+
+
 def first_burst(rows: DataFrame, *, key: str, at: str, ordinal: str, endpoint: str, ref: str, width: int, least: int) -> DataFrame:
     """(key, at, refs): for each key, the first row whose trailing window holds ``least`` different endpoints, and the window's rows.
 
-    Rows are numbered by (at, ordinal). The window of a row reaches back to the first
-    row not earlier than ``width`` before it, and no further than the row itself.
+    Rows are in the order of (at, ordinal). The window of a row reaches back ``width`` and
+    ends with the row itself. Only rows that could end a burst, were all rows of their time
+    before them, are looked at again, and refs are gathered for the burst alone.
     """
-    order = Window.partitionBy(key).orderBy(at, ordinal)
-    numbered = rows.withColumn("_n", F.row_number().over(order))
-    time = Window.partitionBy(key).orderBy(at)
-    numbered = numbered.withColumn("_left", F.min("_n").over(time.rangeBetween(-width, 0)))
-    # peers that come later in the order are in the range but not in the window, so they are cut by number
-    held = numbered.withColumn("_held", F.collect_list(F.struct(F.col("_n").alias("n"), F.col(endpoint).cast("string").alias("e"), F.col(ref).alias("r"))).over(time.rangeBetween(-width, 0)))
-    inside = F.filter("_held", lambda x: (x.n >= F.col("_left")) & (x.n <= F.col("_n")))
-    full = held.withColumn("_in", inside).where(F.size(F.array_distinct(F.transform("_in", lambda x: x.e))) >= least)
-    first = full.groupBy(key).agg(F.min_by(F.struct(F.col(at).alias("at"), F.col("_in").alias("w")), "_n").alias("f"))
-    return first.select(key, F.col("f.at").alias("at"), F.transform(F.array_sort("f.w"), lambda x: x.r).alias("refs"))
+    counted = trailing_counts(rows, key=key, at=at, kind=endpoint, width=width, ordinal=[ordinal])
+    time = counted.where(F.col("_kinds") >= least).groupBy(key).agg(F.min(at).alias("_burst"))
+    held = rows.join(time, key).where((F.col(at) <= F.col("_burst")) & (F.col(at) >= F.col("_burst") - width))
+    fresh = F.col(endpoint).isNotNull() & (F.row_number().over(Window.partitionBy(key, endpoint).orderBy(at, ordinal)) == 1)
+    kinds = held.withColumn("_fresh", fresh.cast("int")).withColumn("_seen", F.sum("_fresh").over(Window.partitionBy(key).orderBy(at, ordinal).rowsBetween(Window.unboundedPreceding, 0)))
+    # at the burst's time the row that brings the last endpoint ends it
+    inside = kinds.where((F.col("_seen") < least) | (F.col("_fresh") == 1) & (F.col("_seen") == least) | (F.col(at) < F.col("_burst")))
+    found = inside.groupBy(key).agg(F.max(F.col("_burst")).alias("at"), F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(ordinal).alias("o"), F.col(ref).alias("r")))).alias("w"))
+    return found.select(key, "at", F.transform("w", lambda x: x.r).alias("refs"))
 
 
 def densest_start(rows: DataFrame, *, key: str, at: str, signal: str, width: int, reference: Column | None = None) -> DataFrame:
     """(key, start, signals, density): the start whose forward window has most different signals, then lies nearest to the reference, then is densest; the earliest wins."""
-    forward = Window.partitionBy(key).orderBy(at).rangeBetween(0, width)
-    scored = rows.withColumn("_s", F.size(F.collect_set(signal).over(forward))).withColumn("_d", F.count("*").over(forward))
+    back = rows.select(key, (-F.col(at)).alias("_back"), F.col(signal).alias("_signal"))
+    scored = trailing_counts(back, key=key, at="_back", kind="_signal", width=width, ordinal=[]).select(key, (-F.col("_back")).alias(at), "_kinds", "_rows")
     far = F.abs(F.col(at) - reference) if reference is not None else F.lit(0)
-    best = F.max_by(F.struct(F.col(at).alias("start"), F.col("_s").alias("signals"), F.col("_d").alias("density")), F.struct("_s", -far, "_d", -F.col(at)))
-    return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.start").alias("start"), F.col("b.signals").cast("bigint").alias("signals"), F.col("b.density").alias("density"))
+    best = F.max_by(F.struct(F.col(at).alias("start"), F.col("_kinds").alias("signals"), F.col("_rows").alias("density")), F.struct("_kinds", -far, "_rows", -F.col(at)))
+    return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.start").alias("start"), F.col("b.signals").alias("signals"), F.col("b.density").alias("density"))
 
 
 def soft_cap(rows: DataFrame, *, group: list[str], repeat: str, order: list, first: int, seats: int) -> DataFrame:

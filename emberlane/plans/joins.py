@@ -27,7 +27,7 @@ def nearest_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 7)).cast("bigint").alias("parent"))
-    return op.tree_depth(rows, rows.where("event_id in (3, 11)"), key="event_id", parent="parent").withColumn("depth", F.col("depth").cast("bigint"))
+    return op.tree_depth(rows, rows.join(events(spark, sf_dir).where("event_type = 'error'").select("event_id"), "event_id", "left_semi"), key="event_id", parent="parent").withColumn("depth", F.col("depth").cast("bigint"))
 
 
 def mft_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +69,14 @@ def explained_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alone.groupBy(F.when(F.col("o_orderstatus") == "P", "pending").when(F.year("o_orderdate") < 1995, "archived").otherwise("unexplained").alias("reason")).agg(F.count("*").alias("n"))
 
 
-# The planner: suppliers stand for techniques, parts for artifacts.
+# The planner: suppliers stand for techniques, parts for artifacts. Every fifth part is only in the second tier, and one query leaves every fourth technique without a mapping.
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     techniques = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("technique"))
-    mappings = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("technique"), F.col("l_partkey").alias("artifact"), F.when(F.col("l_linenumber") <= 4, 1).otherwise(2).alias("tier"), (F.col("l_linenumber") % 3 + 1).cast("bigint").alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    mappings = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("technique"), F.col("l_partkey").alias("artifact"), F.when((F.col("l_linenumber") <= 4) & (F.col("l_partkey") % 5 != 0), 1).otherwise(2).alias("tier"), (F.col("l_linenumber") % 3 + 1).cast("bigint").alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
     catalog = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("artifact"), (F.col("p_size") > 10).alias("usable"))
-    return techniques, mappings.where("artifact % 3 = 0"), catalog
+    return techniques, mappings, catalog
 
 
 def select_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def unmapped_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deferred_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     techniques, mappings, catalog = _plan(spark, sf_dir)
-    requests = sel.requests_of(techniques, mappings.where("technique % 20 = 1"))[0]
+    requests = sel.requests_of(techniques, mappings)[0]
     return sel.deferred(requests, catalog, sel.selected(requests, catalog))
 
 
@@ -143,8 +143,8 @@ QUERIES = {f.__name__: f for f in (nearest_anchor, nearest_unbounded, process_tr
 
 _CORROBORATION = """{view}, u as (select distinct v, a, r from base where v is not null), few as (select * from u qualify row_number() over (partition by v, a order by r) <= {n})
 select x.r as ref, string_agg(distinct y.r::varchar, ',' order by y.r::varchar) as refs from u x join few y on x.v = y.v and x.a <> y.a group by x.r"""
-_PLAN = """with req as (select s_suppkey as technique, l_partkey as artifact, case when l_linenumber <= 4 then 1 else 2 end as tier, (l_linenumber % 3 + 1)::bigint as priority, l_orderkey * 10 + l_linenumber as ordinal
-  from supplier join lineitem on l_suppkey = s_suppkey where s_acctbal > 5000 and l_partkey % 3 = 0 {extra} qualify row_number() over (partition by technique, artifact, tier order by ordinal) = 1),
+_PLAN = """with req as (select s_suppkey as technique, l_partkey as artifact, case when l_linenumber <= 4 and l_partkey % 5 <> 0 then 1 else 2 end as tier, (l_linenumber % 3 + 1)::bigint as priority, l_orderkey * 10 + l_linenumber as ordinal
+  from supplier join lineitem on l_suppkey = s_suppkey where s_acctbal > 5000 qualify row_number() over (partition by technique, artifact, tier order by ordinal) = 1),
 cat as (select p_partkey as artifact, p_size > 10 as usable from part),
 sel as (select artifact, least(min(priority), 2) as priority, array_to_string(list_sort(list(distinct technique)), ',') as techniques from req join cat using (artifact) where usable and tier = 1 group by artifact),
 def as (select artifact, min(priority) as priority from req join cat using (artifact) where usable and tier = 2 and artifact not in (select artifact from sel) group by artifact)"""
@@ -155,7 +155,7 @@ select event_id, user_id, us, case when least(us - before, after - us) <= 216000
     "nearest_unbounded": f"""with {EVENTS_SQL}, p as (select event_id, user_id, us from ev where event_type = 'purchase'), a as (select distinct user_id, us as t from ev where event_type = 'error'),
 b as (select p.*, x.t as before from p asof left join a x on p.user_id = x.user_id and p.us >= x.t), c as (select b.*, y.t as after from b asof left join a y on b.user_id = y.user_id and b.us <= y.t)
 select event_id, user_id, us, least(us - before, after - us) as distance from c""",
-    "process_tree": """with recursive r as (select event_id, 0::bigint as depth from events where event_id in (3, 11) union all select e.event_id, r.depth + 1 from events e join r on e.event_id > 0 and e.event_id // 7 = r.event_id where r.depth < 4)
+    "process_tree": """with recursive r as (select event_id, 0::bigint as depth from events where event_type = 'error' union all select e.event_id, r.depth + 1 from events e join r on e.event_id > 0 and e.event_id // 7 = r.event_id)
 select event_id, min(depth) as depth from r group by event_id""",
     "mft_path": """with recursive r as (select p_partkey as k, p_partkey // 5 as up, 'd' || p_partkey as path from part union all select k, up // 5, 'd' || up || '/' || path from r where up <> 0)
 select k as p_partkey, path from r where up = 0""",
@@ -172,10 +172,10 @@ j as (select coalesce(o.o_orderkey, l.o_orderkey) as o_orderkey, o.total as a, l
 select o_orderkey, case when a is null then 'extra' else 'missing' end as problem, '' as column from j where a is null or b is null
 union all select o_orderkey, 'different', 'total' from j where abs(a - b) > 100000 union all select o_orderkey, 'different', 'lines' from j where abs(c - d) > 1""",
     "explained_difference": "select case when o_orderstatus = 'P' then 'pending' when year(o_orderdate) < 1995 then 'archived' else 'unexplained' end as reason, count(*) as n from orders where o_orderkey not in (select l_orderkey from lineitem) group by 1",
-    "select_plan": _PLAN.format(extra="") + " select * from sel",
-    "unmapped_techniques": "select s_suppkey as technique from supplier where s_acctbal > 5000 and s_suppkey not in (select l_suppkey from lineitem where l_partkey % 3 = 0 and l_suppkey % 4 <> 0)",
-    "deferred_plan": _PLAN.format(extra="and s_suppkey % 20 = 1") + " select * from def",
-    "excluded_plan": _PLAN.format(extra="") + " select artifact, case when usable then 'not requested' else 'unsupported' end as reason from cat where artifact not in (select artifact from sel) and artifact not in (select artifact from def)",
+    "select_plan": _PLAN + " select * from sel",
+    "unmapped_techniques": "select s_suppkey as technique from supplier where s_acctbal > 5000 and s_suppkey not in (select l_suppkey from lineitem where l_suppkey % 4 <> 0)",
+    "deferred_plan": _PLAN + " select * from def",
+    "excluded_plan": _PLAN + " select artifact, case when usable then 'not requested' else 'unsupported' end as reason from cat where artifact not in (select artifact from sel) and artifact not in (select artifact from def)",
     "baseline_upsert": f"""with {EVENTS_SQL}, c as (select event_type as artifact, case when length(event_type) <> 6 then list_sort(list_distinct(list(k))) end as own, true as has from ev where event_type <> 'click' and k < 5 group by event_type),
 b as (select event_type as artifact, list(distinct k) as extra from ev where event_type <> 'view' and k between 3 and 9 group by event_type)
 select artifact, array_to_string(case when has is null then list_sort(extra) when own is null or extra is null then own else list_sort(list_distinct(list_concat(own, extra))) end, ',') as events, case when has then 'selected' else 'baseline' end as origin from c full join b using (artifact)""",

@@ -49,13 +49,13 @@ def owner_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uncovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three or more words that do not occur in the conversation's first turn."""
+    """Runs of three or more words of a later turn that do not occur in the conversation's first turn."""
     c = table(spark, sf_dir, "conversations")
     split = lambda t: F.filter(F.split(F.lower(t), "[^a-z]+"), lambda w: w != "")
     first = c.where("turn = 0").groupBy("conv_id").agg(F.min(F.col("text")).alias("source"))
-    words = c.where("turn = 1").join(first, "conv_id").select("conv_id", split(F.col("source")).alias("known"), F.posexplode(split(F.col("text"))).alias("place", "word"))
-    flagged = words.select("conv_id", "place", (~F.array_contains("known", F.col("word"))).alias("new"))
-    return windows.islands(flagged, key=["conv_id"], place="place", flag="new", least=3).select("conv_id", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n")
+    words = c.where("turn > 0").join(first, "conv_id").select("conv_id", "turn", split(F.col("source")).alias("known"), F.posexplode(split(F.col("text"))).alias("place", "word"))
+    flagged = words.select("conv_id", "turn", "place", (~F.array_contains("known", F.col("word"))).alias("new"))
+    return windows.islands(flagged, key=["conv_id", "turn"], place="place", flag="new", least=3).select("conv_id", "turn", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n")
 
 
 def seat_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +125,9 @@ select event_id, event_type from b order by value desc, event_id limit 30""",
     "stage_durations": """with r as (select l_orderkey, l_linenumber, max(epoch_us(l_shipdate)) as t from lineitem group by 1, 2), s as (select *, t - lag(t) over w as step, l_linenumber - lag(l_linenumber) over w as gap from r window w as (partition by l_orderkey order by l_linenumber))
 select l_orderkey, l_linenumber, case when gap = 1 and step >= 0 then round(step / 1000000.0, 3) end as seconds from s""",
     "owner_assignment": "select l_partkey, l_orderkey as owner from lineitem qualify row_number() over (partition by l_partkey order by l_orderkey * 10 + l_linenumber, l_orderkey) = 1",
-    "uncovered_runs": """with f as (select conv_id, min(text) as source from conversations where turn = 0 group by 1), w as (select c.conv_id, list_filter(regexp_split_to_array(lower(source), '[^a-z]+'), lambda x: x <> '') as known, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as ws from conversations c join f using (conv_id) where turn = 1),
-p as (select conv_id, known, generate_subscripts(ws, 1) - 1 as place, unnest(ws) as word from w), g as (select conv_id, place, place - row_number() over (partition by conv_id order by place) as run from p where not list_contains(known, word))
-select conv_id, min(place)::bigint as first, max(place)::bigint as last, count(*) as n from g group by conv_id, run having count(*) >= 3""",
+    "uncovered_runs": """with f as (select conv_id, min(text) as source from conversations where turn = 0 group by 1), w as (select c.conv_id, c.turn, list_filter(regexp_split_to_array(lower(source), '[^a-z]+'), lambda x: x <> '') as known, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as ws from conversations c join f using (conv_id) where turn > 0),
+p as (select conv_id, turn, known, generate_subscripts(ws, 1) - 1 as place, unnest(ws) as word from w), g as (select conv_id, turn, place, place - row_number() over (partition by conv_id, turn order by place) as run from p where not list_contains(known, word))
+select conv_id, turn, min(place)::bigint as first, max(place)::bigint as last, count(*) as n from g group by conv_id, turn, run having count(*) >= 3""",
     "seat_allocation": """with p as (select c_nationkey, count(*) as items, count(*) filter (c_acctbal > 5000) as cap, case c_nationkey % 3 + 1 when 1 then 4.0::double when 3 then 1.0::double else 2.0::double end as weight from customer group by 1),
 e as (select p.*, unnest(range(1, least(400, greatest(items, 1, cap)) + 1)) as k from p), w as (select * from e order by case when k = 1 then 0 when k <= greatest(1, cap) then 1 else 2 end, weight / k desc, c_nationkey limit 400)
 select c_nationkey, count(*) filter (k <= items) as seats, count(*) filter (k > items) as wasted from w group by 1""",

@@ -13,7 +13,7 @@ HOUR = 3_600_000_000
 
 def pick_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines propose a part for a supplier; the part's fields depend on its size."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("P#"), F.col("l_partkey")).alias("ref"), (F.col("l_suppkey") % 10).alias("technique"), F.when(F.col("l_quantity") > 3, "because").otherwise(" ").alias("reason"), F.when(F.col("l_tax") > 0.04, F.array(F.lit("size"), F.lit("brand"))).otherwise(F.array(F.lit("size"))).alias("evidence_fields"))
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P#"), F.col("l_partkey")).alias("ref"), (F.col("l_suppkey") % 10).alias("technique"), F.when(F.col("l_quantity") > 3, "because").otherwise(" ").alias("reason"), F.when(F.col("l_tax") > 0.04, F.array(F.lit("size"), F.lit("brand"))).otherwise(F.array(F.lit("size"))).alias("evidence_fields"))
     parts = table(spark, sf_dir, "part").where("p_partkey % 19 <> 0").select(F.concat(F.lit("P#"), F.col("p_partkey")).alias("ref"), F.when(F.col("p_size") > 10, F.array(F.lit("size"), F.lit("brand"))).otherwise(F.array(F.lit("size"))).alias("fields_present"))
     may = table(spark, sf_dir, "part").select(F.concat(F.lit("P#"), F.col("p_partkey")).alias("ref"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("p_size") % 10).cast("bigint"))).alias("technique"))
     return op.pick_violations(items, parts, may).groupBy("problem").agg(F.count("*").alias("n"))
@@ -58,20 +58,18 @@ def prompt_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations between selected records, numbered at each anchor: parts of one order, both ends selected."""
-    chosen = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
+    """Relations between selected records, numbered at each anchor: parts of one order, of which an order has a few."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    kept = items.join(chosen, items.l_partkey == chosen.p_partkey, "left_semi")
-    pairs = kept.alias("a").join(kept.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("anchor"), F.col("b.l_partkey").alias("target")).distinct()
+    pairs = items.alias("a").join(items.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("anchor"), F.col("b.l_partkey").alias("target")).distinct()
     return pairs.withColumn("relation", F.concat(F.lit("R"), F.row_number().over(Window.partitionBy("anchor").orderBy("target"))))
 
 
 def candidate_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Techniques that a record may show: its family's if one matches, else those of its scope."""
-    e = events(spark, sf_dir).where("k < 10").select("event_id", "event_type", "k")
+    e = events(spark, sf_dir).select("event_id", "event_type", "k")
     family = F.when(F.col("k") == 1, "f1").when(F.col("k") == 2, "f2")
     rules = e.select("event_type", "k").distinct().select("event_type", F.concat(F.lit("T"), F.col("k")).alias("technique"), family.alias("of"))
-    joined = e.withColumn("family", family).join(F.broadcast(rules), "event_type")
+    joined = e.withColumn("family", family).join(rules, "event_type")
     may = joined.where(F.when(F.col("family").isNotNull(), F.col("of") == F.col("family")).otherwise(F.col("of").isNull()))
     return may.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("technique")), ",").alias("techniques"))
 
@@ -116,8 +114,8 @@ def numbered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def story_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as findings, customers' sentences cite their parts."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    findings = items.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("refs"), F.when(F.max("o_orderstatus") == "F", "passed").otherwise("rejected").alias("verdict")).where("l_orderkey % 1000 < 3")
-    sentences = items.where("o_custkey % 5 = 0").groupBy(F.col("o_custkey").alias("sentence")).agg(F.collect_set("l_suppkey").alias("refs"))
+    findings = items.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("refs"), F.when(F.max("o_totalprice") > 499_000, "passed").otherwise("rejected").alias("verdict"))
+    sentences = items.groupBy(F.col("o_custkey").alias("sentence")).agg(F.collect_set("l_suppkey").alias("refs"))
     return op.story_kept(sentences, findings).select("sentence", "kept")
 
 
@@ -131,7 +129,7 @@ def loop_back_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (pick_checks, connection_checks, request_checks, window_widening, coverage_ledger, claim_extraction, prompt_projection, relation_catalog, candidate_techniques, evidence_lines, field_inventory, named_executables, mechanism_cues, repeat_keys, numbered_findings, story_filter, loop_back_pins)}
 
 ORACLE = {
-    "pick_checks": """with i as (select l_partkey as p, l_suppkey % 10 as t, l_quantity > 3 as why, l_tax > 0.04 as two from lineitem where l_linenumber = 1), j as (select i.*, p_size, p % 19 <> 0 as known from i left join part on p_partkey = p),
+    "pick_checks": """with i as (select l_partkey as p, l_suppkey % 10 as t, l_quantity > 3 as why, l_tax > 0.04 as two from lineitem), j as (select i.*, p_size, p % 19 <> 0 as known from i left join part on p_partkey = p),
 x as (select 'unknown_ref' as problem from j where not known union all select 'no_reason' from j where not why union all select 'technique_not_supported' from j where t > p_size % 10 union all select 'field_not_found' from j where not known or (two and p_size <= 10))
 select problem, count(*) as n from x group by 1""",
     "connection_checks": """with c as (select distinct l_orderkey as connection, l_suppkey as s from lineitem), g as (select connection, count(*) as n, count(*) filter (s not in (select s_suppkey from supplier where s_acctbal > 0)) as bad from c group by 1)
@@ -142,9 +140,9 @@ select connection, 'fewer_than_two' as problem from g where n < 2 union all sele
     "coverage_ledger": "select source || '/' || lang as family, case when max(n_chars) > 8000 then 'verified' when max(n_chars) > 3000 then 'observed' when max(n_chars) > 500 then 'searched_no_evidence' else 'not_searched' end as status from documents group by 1",
     "claim_extraction": "select p_partkey, case when p_size > 5 then 'name=' || p_name || ';' else '' end || 'brand=' || p_brand || ';type=' || p_type || ';size=' || p_size || case when p_size > 5 then '' else ';key=' || p_partkey end as claims from part",
     "prompt_projection": "select p_partkey, 'Name,Type' as shown, length(p_name) + length(p_type) as size from part",
-    "relation_catalog": """with k as (select distinct l_orderkey, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size = 7)), p as (select distinct a.l_partkey as anchor, b.l_partkey as target from k a join k b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey)
+    "relation_catalog": """with k as (select distinct l_orderkey, l_partkey from lineitem), p as (select distinct a.l_partkey as anchor, b.l_partkey as target from k a join k b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey)
 select anchor, target, 'R' || row_number() over (partition by anchor order by target) as relation from p""",
-    "candidate_techniques": f"""with {EVENTS_SQL}, e as (select event_id, event_type, k, case k when 1 then 'f1' when 2 then 'f2' end as fam from ev where k < 10), r as (select distinct event_type, 'T' || k as technique, case k when 1 then 'f1' when 2 then 'f2' end as own from e)
+    "candidate_techniques": f"""with {EVENTS_SQL}, e as (select event_id, event_type, k, case k when 1 then 'f1' when 2 then 'f2' end as fam from ev), r as (select distinct event_type, 'T' || k as technique, case k when 1 then 'f1' when 2 then 'f2' end as own from e)
 select event_id, string_agg(distinct technique, ',' order by technique) as techniques from e join r using (event_type) where own is not distinct from fam group by 1""",
     "evidence_lines": f"with {EVENTS_SQL} select event_id, concat_ws(' ', 'EV#' || event_id, event_type, 'user=' || user_id, case when k > 50 then 'k=' || k end) as line from ev",
     "field_inventory": "select p_brand, concat_ws(',', case when max(p_retailprice) > 1000 then 'dear' end, case when max(p_size) > 25 then 'large' end, 'name') as fields from part group by 1",
@@ -154,7 +152,7 @@ select p_partkey, array_to_string(list_transform(f, lambda x: lower(x)), ',') as
 select technique, count(*) as n from x group by 1""",
     "repeat_keys": f"with {EVENTS_SQL} select case when event_type = 'click' then 'net:' || k when k % 2 = 0 then 'proc:' || user_id else 'file:' || event_type end as key, count(*) as n from ev group by 1",
     "numbered_findings": "select o_custkey, o_orderkey, 'F' || row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as finding_id from orders",
-    "story_filter": """with i as (select * from lineitem join orders on l_orderkey = o_orderkey), g as (select distinct l_suppkey from i where l_orderkey % 1000 < 3 and l_orderkey in (select l_orderkey from i group by 1 having max(o_orderstatus) = 'F'))
-select o_custkey as sentence, bool_and(l_suppkey in (select l_suppkey from g)) as kept from i where o_custkey % 5 = 0 group by 1""",
+    "story_filter": """with i as (select * from lineitem join orders on l_orderkey = o_orderkey), g as (select distinct l_suppkey from i where l_orderkey in (select l_orderkey from i group by 1 having max(o_totalprice) > 499000))
+select o_custkey as sentence, bool_and(l_suppkey in (select l_suppkey from g)) as kept from i group by 1""",
     "loop_back_pins": "select distinct l_partkey, l_partkey in (select l_partkey from lineitem where l_quantity > 48) as kept from lineitem where l_discount = 0.1 and l_tax = 0.08",
 }

@@ -74,7 +74,7 @@ def technique_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("At 2024-01-01T10:00:00Z run"), F.col("doc_id"), F.lit(".exe wrote "), F.col("n_chars") + 1000, F.lit(" bytes at 0xFF, see T1059.001. "), F.col("text")).alias("s"))
-    return d.select("doc_id", F.array_join(verify.statement_tokens(F.substring("s", 1, 90)), ",").alias("tokens"))
+    return d.select("doc_id", F.array_join(verify.statement_tokens(F.col("s")), ",").alias("tokens"))
 
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ c as (select f, unnest(a) as ref, generate_subscripts(a, 1) as pos from p union
 select f as finding_id, arg_min(ref, pos) as ref from c where ref not in (select p_partkey from part where p_size < 40) group by f""",
     "technique_support": """with s as (select distinct o_custkey % 25 as t, o_orderpriority as a from orders where o_totalprice > 490000), o as (select case when o_custkey % 5 <> 0 then o_custkey % 25 end as technique, o_orderpriority as a from orders)
 select technique, count(*) filter (technique is null or (technique, a) in (select (t, a) from s)) as supported, count(*) as n from o group by 1""",
-    "statement_tokens": """with d as (select doc_id, substr('At 2024-01-01T10:00:00Z run' || doc_id || '.exe wrote ' || (n_chars + 1000) || ' bytes at 0xFF, see T1059.001. ' || text, 1, 90) as s from documents),
+    "statement_tokens": """with d as (select doc_id, 'At 2024-01-01T10:00:00Z run' || doc_id || '.exe wrote ' || (n_chars + 1000) || ' bytes at 0xFF, see T1059.001. ' || text as s from documents),
 e as (select doc_id, regexp_replace(s, '\\bT[0-9]{4}(?:\\.[0-9]{3})?\\b', ' ', 'g') as s from d), x as (select doc_id, s, '([A-Za-z0-9_.$-]+\\.(?:exe|dll|sys|ps1|bat|cmd|vbs|js|zip|csv|txt|json|xml|ini|log|lnk))\\b' as pat from e),
 f as (select doc_id, regexp_extract_all(s, pat, 1) as files, regexp_replace(regexp_replace(s, pat, ' ', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+Z?)?', ' ', 'g') as s from x)
 select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(files, regexp_extract_all(s, '\\b(0x[0-9A-Fa-f]+|[0-9]{4,})\\b', 1)), lambda t: lower(t)))), ',') as tokens from f""",

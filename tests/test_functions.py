@@ -60,7 +60,7 @@ def test_path_globs(spark):
     assert not value(spark, text.path_matches(F.lit("C:\\Users\\bob\\y\\x"), "c:/users/*/x"))
 
 
-@pytest.mark.parametrize("raw", ["C:/A//b/./c/../D", "c:\\a\\b\\..\\..\\d", "a\\b\\", "c:\\x\\.", "..\\a"])
+@pytest.mark.parametrize("raw", ["C:/A//b/./c/../D", "c:\\a\\b\\..\\..\\d", "a\\b\\", "c:\\x\\.", "..\\a", "c:\\..\\x", "a\\..", "\\a\\..\\..\\b", "c:a\\..\\..\\b", "/".join(["a"] * 20 + [".."] * 20 + ["b"]), "\\\\host\\share\\a\\..\\..\\b", "a\\\\..\\..\\.."])
 def test_nt_normalize_like_ntpath(spark, raw):
     import ntpath
 

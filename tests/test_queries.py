@@ -32,3 +32,39 @@ def test_chunks_keep_units_together(spark, sf_dir):
     for r in rows:
         most[r["o_custkey"], r["l_orderkey"]] = most.get((r["o_custkey"], r["l_orderkey"]), 0) + 1
     assert all(n <= max(20, max(most.values())) for n in size.values())
+
+
+def test_nearest_anchor_of_one_key_with_many_rows(spark):
+    """Time in proportion to the rows of a key: the frame is carried along, not read again for every row."""
+    import time
+
+    from emberlane.operators import joins
+
+    points = spark.range(80_000).selectExpr("1 as k", "id * 10 as t")
+    anchors = spark.range(80_000).where("id % 997 = 0").selectExpr("1 as k", "id * 10 + 3 as t")
+    start = time.time()
+    rows = joins.nearest_anchor(points, anchors, by=["k"], point="t", anchor="t").selectExpr("sum(distance) as s", "max(distance) as m", "count(*) as n").first()
+    assert rows.n == 80_000 and rows.m > 0 and time.time() - start < 30
+
+
+def test_bursts_and_densest_windows_by_hand(spark):
+    """Counts by a sweep equal those of windows held in full, with ties, repeated kinds and nulls."""
+    import random
+
+    from emberlane.operators import windows
+
+    rnd = random.Random(1)
+    rows = [(k, rnd.randint(0, 300), i, rnd.choice(["a", "b", "c", "d", "e", None])) for i, k in enumerate(rnd.choices(range(12), k=400))]
+    df = spark.createDataFrame(rows, "k long, at long, o long, e string")
+    first, dense = {}, {}
+    for k in range(12):
+        own = sorted((a, o, e) for g, a, o, e in rows if g == k for e in [e or ""])
+        for i, (a, o, _) in enumerate(own):
+            window = [r for r in own[:i + 1] if r[0] >= a - 20]
+            if k not in first and len({e for _, _, e in window} - {""}) >= 3:
+                first[k] = (a, [r[1] for r in window])
+        best = [(len({e for b, _, e in own if a <= b <= a + 20} - {""}), sum(a <= b <= a + 20 for b, _, _ in own), -a) for a, _, _ in own]
+        dense[k] = max(best)
+    got = {r.k: (r.at, r.refs) for r in windows.first_burst(df, key="k", at="at", ordinal="o", endpoint="e", ref="o", width=20, least=3).collect()}
+    assert got == first
+    assert {r.k: (r.signals, r.density, -r.start) for r in windows.densest_start(df, key="k", at="at", signal="e", width=20).collect()} == dense
