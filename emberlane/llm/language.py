@@ -157,7 +157,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "te
 
 def op1_language(spark: SparkSession, sf_dir: str, *, sample_rows: int = 20_000) -> DataFrame:
     """Prototypes come from at most about ``sample_rows`` rows outside the held-out fold; every row is predicted."""
-    documents = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     known = documents.where(~F.col("held_out") & F.col("lang").isNotNull())
     return predict(documents, learn(bounded_sample(known, "doc_id", sample_rows)), carry=("held_out",))
 

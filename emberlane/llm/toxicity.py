@@ -1,10 +1,10 @@
 """Operator 2: toxicity by a weighted finite-state pattern grammar.
 
 Words are read as classes: insult, threat, target, modal, negation, reporting verb and
-any other. Small transducers read those classes - one remembers that a target was
-named, one that a negation is near, one that the clause reports what somebody said, one
-that a threat is being announced - and their composition turns each insult or threat
-into a weight that depends on the clause around it. The evidence of a document is the
+any other. Small transducers read those classes, from the left and from the right - for
+insults told of a target, for negation, for reported speech, for threats announced and
+threats with a target - and their composition turns each insult or threat into a weight
+that depends on the clause around it; a word alone counts for half. The evidence of a document is the
 sum over its matched clauses, and a logistic curve fitted to labelled rows turns it
 into a score.
 
@@ -51,7 +51,8 @@ SEED: dict[str, tuple[str, float]] = {
 #: How soon further evidence adds nothing: it counts as 1 - exp(-SATURATION * evidence).
 SATURATION = 1.5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;:\n]")
+#: A colon goes on with the clause, as in "he said: ...".
+_CLAUSE_END = re.compile(r"[.!?;\n]")
 
 
 @dataclass(frozen=True)
@@ -68,34 +69,39 @@ class Transducer:
         return self.gain.get((state, kind), 1.0)
 
 
-#: A target named before in the clause raises an insult.
-AIMED = Transducer({(0, TARGET): 1}, {(1, INSULT): 1.5, (1, THREAT): 1.2})
+#: An insult is told of somebody: a target named before in the clause raises it, and alone it counts for half.
+AIMED = Transducer({(0, TARGET): 1}, {(0, INSULT): 0.5, (1, INSULT): 1.5, (1, THREAT): 1.2})
 #: A negation holds for the next three words.
 NEGATED = Transducer({(0, NEGATION): 3, (1, OTHER): 0, (2, OTHER): 1, (3, OTHER): 2, **{(s, NEGATION): 3 for s in (1, 2, 3)}}, {(s, k): 0.2 for s in (1, 2, 3) for k in (INSULT, THREAT)})
-#: A reporting verb holds for the rest of the clause.
-REPORTED = Transducer({(0, REPORT): 1}, {(1, INSULT): 0.4, (1, THREAT): 0.3})
+#: A reporting verb holds for the rest of the clause, or for what stands before it.
+REPORTED = Transducer({(0, REPORT): 1}, {(1, INSULT): 0.3, (1, THREAT): 0.3})
 #: A threat counts when it is announced: a modal within two words before it; otherwise it is a plain verb.
 ANNOUNCED = Transducer({(0, MODAL): 2, (1, OTHER): 0, (2, OTHER): 1, (1, MODAL): 2, (2, MODAL): 2}, {(0, THREAT): 0.0, (1, THREAT): 1.5, (2, THREAT): 1.5})
-#: The composed grammar. It holds a threat until the next word: a target there, as in "will hurt you", lets it count in full.
-GRAMMAR = (AIMED, NEGATED, REPORTED, ANNOUNCED)
+#: From the right: an insult that a target follows is told of it.
+CALLED = Transducer({(0, TARGET): 1}, {(1, INSULT): 1.3})
+#: From the right: a threat counts in full if a target is the next word, as in "will hurt you".
+HIT = Transducer({(0, TARGET): 1, (1, TARGET): 1, (1, OTHER): 0}, {(0, THREAT): 0.1})
+#: The composed grammar: machines that read a clause from the left, and machines that read it from the right.
+GRAMMAR, GRAMMAR_BACK = (AIMED, NEGATED, REPORTED, ANNOUNCED), (REPORTED, CALLED, HIT)
+
+
+def _gains(machines: tuple[Transducer, ...], kinds: list[str]) -> list[float]:
+    """The factor of each word under the product machine, whose states are tuples of states."""
+    states, out = [0] * len(machines), []
+    for kind in kinds:
+        gain = 1.0
+        if kind in (INSULT, THREAT):
+            for machine, state in zip(machines, states):
+                gain *= machine.factor(state, kind)
+        out.append(gain)
+        states = [m.next(s, kind) for m, s in zip(machines, states)]
+    return out
 
 
 def clause_weight(kinds: list[str], weights: list[float]) -> float:
-    """Runs the composed grammar over one clause: the product machine's states are tuples of states."""
-    states, total, held = [0] * len(GRAMMAR), 0.0, 0.0
-    for kind, weight in zip(kinds, weights):
-        if held:  # the word after a threat
-            total += held * (1.0 if kind == TARGET else 0.1)
-            held = 0.0
-        if kind in (INSULT, THREAT):
-            for machine, state in zip(GRAMMAR, states):
-                weight *= machine.factor(state, kind)
-            if kind == INSULT:
-                total += weight
-            else:
-                held = weight
-        states = [m.next(s, kind) for m, s in zip(GRAMMAR, states)]
-    return total + 0.1 * held
+    """Runs the composed grammar over one clause in both directions."""
+    left, right = _gains(GRAMMAR, kinds), _gains(GRAMMAR_BACK, kinds[::-1])[::-1]
+    return sum(w * a * b for kind, w, a, b in zip(kinds, weights, left, right) if kind in (INSULT, THREAT))
 
 
 class Scorer:
@@ -130,7 +136,7 @@ class Scorer:
         low, width = at, 256
         while low > 0:
             low, high = max(0, at - width), low
-            found = max(text.rfind(c, low, high) for c in ".!?;:\n")
+            found = max(text.rfind(c, low, high) for c in ".!?;\n")
             if found >= 0:
                 return found + 1
             width *= 4
@@ -248,7 +254,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, *, sample_rows: int =
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(labelled_rows(documents, table(spark, sf_dir, "labels")))
-    rows = documents.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    rows = documents.select("doc_id", "text", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     return score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -52,6 +52,39 @@ def test_grammar_weighs_clauses():
     assert s.evidence(None) == s.evidence("") == s.evidence("a nice day") == 0
 
 
+def test_reported_speech_and_lone_words():
+    s = toxicity.Scorer(toxicity.SEED)
+    said = s.evidence("you are an idiot")
+    assert s.evidence("He said: you are an idiot.") < 0.5 * said and s.evidence("You are an idiot, he said.") < 0.5 * said
+    assert s.evidence("the idiot board") < 0.5 * said
+    assert s.evidence("they will hurt things") < 0.2 * s.evidence("they will hurt you")
+
+
+def test_clauses_equal_a_walk_by_hand():
+    """The product machine in both directions against the factors read off the words one by one."""
+    kinds = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.MODAL, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER]
+    rnd = random.Random(12)
+    for _ in range(300):
+        clause = rnd.choices(kinds, k=rnd.randint(1, 9))
+        total = 0.0
+        for i, kind in enumerate(clause):
+            if kind not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            before, after, insult = clause[:i], clause[i + 1:], kind == toxicity.INSULT
+            w = 1.0
+            w *= (1.5 if insult else 1.2) if toxicity.TARGET in before else (0.5 if insult else 1.0)
+            w *= 0.2 if toxicity.NEGATION in before[-3:] else 1.0
+            for side in (before, after):
+                w *= 0.3 if toxicity.REPORT in side else 1.0
+            if insult:
+                w *= 1.3 if toxicity.TARGET in after else 1.0
+            else:
+                w *= 1.5 if toxicity.MODAL in before[-2:] else 0.0
+                w *= 1.0 if after[:1] == [toxicity.TARGET] else 0.1
+            total += w
+        assert abs(toxicity.clause_weight(clause, [1.0] * len(clause)) - total) < 1e-9
+
+
 def test_op2_held_out(spark, sf_dir):
     rows = toxicity.op2_toxicity(spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
