@@ -80,7 +80,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 60)) < max(1, (1 << 60) * rows // n))
 
 
 def slices(batch: pa.RecordBatch, column: int, *, rows: int = 128, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,7 @@ def fit_centroids(rows: np.ndarray, k: int, *, rounds: int = 5) -> np.ndarray:
     k = max(1, min(k, len(rows)))
     centres = rows[np.random.Generator(np.random.PCG64(7)).permutation(len(rows))[:k]]
     for _ in range(rounds):
-        owner = (rows @ centres.T).argmax(axis=1)
+        owner = np.concatenate([(rows[at:at + 512] @ centres.T).argmax(axis=1) for at in range(0, len(rows), 512)])
         sums = np.zeros_like(centres)
         np.add.at(sums, owner, rows)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -88,6 +88,21 @@ def fit_centroids(rows: np.ndarray, k: int, *, rounds: int = 5) -> np.ndarray:
     return centres
 
 
+def _with_cosines(batch: pa.RecordBatch, centroids: dict[int, np.ndarray]) -> Iterator[tuple]:
+    """The columns but the last, the unit vector, and its cosines to the centroids of its size, for each row of a batch; vectors of one size are multiplied many at a time."""
+    units = batch.column(batch.num_columns - 1).to_pylist()
+    others = [c.to_pylist() for c in batch.columns[:-1]]
+    places: dict[int, list[int]] = {}
+    for i, unit in enumerate(units):
+        places.setdefault(len(unit) // 8, []).append(i)
+    for size, of in places.items():
+        for at in range(0, len(of), 256):
+            some = of[at:at + 256]
+            x = np.stack([np.frombuffer(units[i], "<f8") for i in some])
+            for i, row, near in zip(some, x, x @ centroids[size].T):
+                yield *(c[i] for c in others), row, near
+
+
 def assign(reps: DataFrame, centroids: dict[int, np.ndarray], probes: int) -> DataFrame:
     """(shard, doc, item): a row for each shard that a vector is in.
 
@@ -101,9 +116,7 @@ def assign(reps: DataFrame, centroids: dict[int, np.ndarray], probes: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards, docs, items = [], [], []
-            for doc, n, unit in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(unit, "<f8")
-                near = centroids[len(x)] @ x
+            for doc, n, x, near in _with_cosines(batch, centroids):
                 own = np.sort(np.argsort(-near, kind="stable")[:probes]) + bases[len(x)]
                 shards += own.tolist()
                 docs += [doc] * len(own)
@@ -266,9 +279,7 @@ def sketches(reps: DataFrame, centroids: dict[int, np.ndarray], probes: int, rea
         directions = {size: np.random.Generator(np.random.PCG64(size)).normal(size=(BITS, size)) for size in centroids}
         for batch in batches:
             cells, docs, items = [], [], []
-            for doc, unit in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(unit, "<f8")
-                near = centroids[len(x)] @ x
+            for doc, x, near in _with_cosines(batch, centroids):
                 own = np.sort(np.argsort(-near, kind="stable")[:probes]).astype("<i4") + bases[len(x)]
                 item = np.array([len(own)], "<i4").tobytes() + own.astype("<i4").tobytes() + np.packbits(directions[len(x)] @ x > 0).tobytes()
                 to = (cells_of(near, centroids[len(x)], reach) + bases[len(x)]).tolist()
