@@ -83,7 +83,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 60)) < max(1, (1 << 60) * rows // n))
 
 
-def slices(batch: pa.RecordBatch, column: int, *, rows: int = 128, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, *, rows: int = 128, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``rows`` rows and, unless one row has more, ``size`` bytes in a column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0

@@ -40,7 +40,7 @@ from emberlane.llm.tiles import Rows, clusters_of, forest, sides
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 32
 #: Documents on one side of a tile, and about how many bytes of shingles.
-TILE, TILE_BYTES = 256, 32 << 20
+TILE, TILE_BYTES = 256, 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

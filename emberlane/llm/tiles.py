@@ -131,8 +131,8 @@ def per_run(rows: DataFrame, keys: list[str], work: Callable[[np.ndarray, np.nda
 def _runs(rows: pa.Table, cuts: list[int], n_keys: int, work: Callable) -> Rows:
     if rows.num_rows == 0:
         return []
-    sides_, docs, values = rows.column(n_keys).to_numpy(), rows.column(n_keys + 1).to_numpy(), rows.column(n_keys + 2).to_pylist()
-    return [row for a, b in zip(cuts, cuts[1:]) if b > a for row in work(docs[a:b], sides_[a:b], values[a:b])]
+    sides_, docs, values = rows.column(n_keys).to_numpy(), rows.column(n_keys + 1).to_numpy(), rows.column(n_keys + 2)
+    return [row for a, b in zip(cuts, cuts[1:]) if b > a for row in work(docs[a:b], sides_[a:b], values.slice(a, b - a).to_pylist())]
 
 
 def _batch(rows: Rows) -> pa.RecordBatch:
