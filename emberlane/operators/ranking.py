@@ -49,12 +49,15 @@ def evenly_spaced(rows: DataFrame, *, group: str, order: list, n: int) -> DataFr
 
 
 def next_fit(rows: DataFrame, *, case: str, unit: str, order: str, size: str, capacity: int) -> DataFrame:
-    """Adds ``chunk``: units in order fill chunks of a capacity; a unit stays whole unless it alone exceeds it.
+    """Adds ``chunk``: units in order fill chunks of a capacity. A unit stays whole unless it alone exceeds the capacity; then it is cut, in order, wherever its running size passes a multiple of the capacity.
 
     Next-fit depends on every earlier choice, so a case is walked in order: one case at a
-    time, over unit totals only.
+    time, over totals of units only.
     """
-    units = rows.groupBy(case, unit).agg(F.min(order).alias("first"), F.sum(size).alias("total"))
+    sofar = F.sum(size).over(Window.partitionBy(case, unit).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum(size).over(Window.partitionBy(case, unit))
+    cut = rows.withColumn("_piece", F.when(whole > capacity, F.floor((sofar - 1) / capacity)).otherwise(0).cast("bigint"))
+    units = cut.groupBy(case, unit, "_piece").agg(F.min(order).alias("first"), F.sum(size).alias("total"))
 
     def walk(frame):
         frame = frame.sort_values("first")
@@ -64,8 +67,8 @@ def next_fit(rows: DataFrame, *, case: str, unit: str, order: str, size: str, ca
                 chunk, used = chunk + 1, 0
             out.append(chunk)
             used += total
-        return frame.assign(chunk=out)[[case, unit, "chunk"]]
+        return frame.assign(chunk=out)[[case, unit, "_piece", "chunk"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = units.groupBy(case).applyInPandas(walk, f"{case} {kinds[case]}, {unit} {kinds[unit]}, chunk long")
-    return rows.join(placed, [case, unit])
+    placed = units.groupBy(case).applyInPandas(walk, f"{case} {kinds[case]}, {unit} {kinds[unit]}, _piece long, chunk long")
+    return cut.join(placed, [case, unit, "_piece"]).drop("_piece")

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Order of the checks (fixed values): the first that fails decides.
-CHECKS = ["ref_exists", "ref_in_input", "value_match", "statement_grounded", "technique_supported", "assertions"]
-
-
 def cited(findings: DataFrame) -> DataFrame:
     """(finding_id, ref, pos): refs, then those of claims, each once, in order. findings: finding_id, refs, claim_refs."""
     every = F.array_distinct(F.concat("refs", F.coalesce("claim_refs", F.array())))
@@ -37,11 +33,12 @@ def verdicts(checks: DataFrame) -> DataFrame:
 
     checks: finding_id, check_order, outcome (passed, rejected, unverifiable), checks, checks_passed.
     """
-    fail = F.min(F.when(F.col("outcome") == "rejected", F.col("check_order")))
-    decided = checks.join(checks.groupBy("finding_id").agg(fail.alias("_fail"), F.bool_or(F.col("outcome") == "unverifiable").alias("_weak")), "finding_id")
-    counted = F.col("_fail").isNull() | (F.col("check_order") <= F.col("_fail"))
-    verdict = F.when(F.max("_fail").isNotNull(), "rejected").when(F.bool_or("_weak"), "unverifiable").otherwise("passed")
-    return decided.groupBy("finding_id").agg(verdict.alias("verdict"), F.max("_fail").alias("failed"), F.sum(F.when(counted, F.col("checks")).otherwise(0)).alias("checks"), F.sum(F.when(counted, F.col("checks_passed")).otherwise(0)).alias("checks_passed"))
+    own = checks.groupBy("finding_id").agg(F.collect_list(F.struct("check_order", "outcome", "checks", "checks_passed")).alias("_all"))  # a few checks each
+    failed = F.array_min(F.transform(F.filter("_all", lambda c: c.outcome == "rejected"), lambda c: c.check_order))
+    counted = F.filter("_all", lambda c: F.col("failed").isNull() | (c.check_order <= F.col("failed")))
+    total = lambda name: F.aggregate("_counted", F.lit(0).cast("bigint"), lambda n, c: n + c[name])
+    verdict = F.when(F.col("failed").isNotNull(), "rejected").when(F.exists("_all", lambda c: c.outcome == "unverifiable"), "unverifiable").otherwise("passed")
+    return own.withColumn("failed", failed).withColumn("_counted", counted).select("finding_id", verdict.alias("verdict"), "failed", total("checks").alias("checks"), total("checks_passed").alias("checks_passed"))
 
 
 def supported(findings: DataFrame, support: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def evenly_spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer packed into chunks of 20 lines, an order's lines together; checked by tests."""
+    """Orders of a customer packed into chunks of 20 lines, an order's lines together."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = items.select("o_custkey", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.lit(1).alias("size"))
     return ranking.next_fit(rows, case="o_custkey", unit="l_orderkey", order="ordinal", size="size", capacity=20).select("o_custkey", "l_orderkey", "l_linenumber", "chunk")
@@ -136,6 +136,9 @@ select c_nationkey, count(*) filter (k <= items) as seats, count(*) filter (k >
     "budget_fit": "with s as (select source, doc_id, sum(n_chars) over (partition by source order by n_chars desc, doc_id rows unbounded preceding)::bigint as used from documents) select * from s where used <= 60000",
     "guaranteed_lane": """with sure as (select o_orderkey from orders where o_orderstatus = 'P' and o_totalprice > 450000), rest as (select o_orderkey from orders where o_orderkey not in (select o_orderkey from sure) order by o_totalprice desc, o_orderkey limit 100)
 select o_orderkey, true as guaranteed from sure union all select o_orderkey, false from rest""",
+    "chunk_packing": """with recursive u as (select o_custkey as c, l_orderkey as o, count(*) as n, row_number() over (partition by o_custkey order by min(l_orderkey * 10 + l_linenumber)) as i from lineitem join orders on l_orderkey = o_orderkey group by 1, 2),
+w as (select c, o, i, 0::bigint as chunk, n as used from u where i = 1 union all select u.c, u.o, u.i, case when used + n > 20 then chunk + 1 else chunk end, case when used + n > 20 then n else used + n end from w join u on u.c = w.c and u.i = w.i + 1)
+select c as o_custkey, l_orderkey, l_linenumber, chunk from w join lineitem on l_orderkey = o""",
     "leading_technique": "select p_brand, p_partkey from part qualify row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) = 1",
     "evenly_spaced_sample": """with p as (select event_type, event_id, row_number() over (partition by event_type order by event_id) - 1 as i, count(*) over (partition by event_type) as n from events)
 select event_type, event_id from p where n <= 7 or floor(i * 7.0 / n) > floor((i - 1) * 7.0 / n)""",

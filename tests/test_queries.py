@@ -68,3 +68,11 @@ def test_bursts_and_densest_windows_by_hand(spark):
     got = {r.k: (r.at, r.refs) for r in windows.first_burst(df, key="k", at="at", ordinal="o", endpoint="e", ref="o", width=20, least=3).collect()}
     assert got == first
     assert {r.k: (r.signals, r.density, -r.start) for r in windows.densest_start(df, key="k", at="at", signal="e", width=20).collect()} == dense
+
+
+def test_units_beyond_a_chunk_are_cut(spark):
+    from emberlane.operators import ranking
+
+    rows = [(1, u, i, 1) for u, n in ((1, 3), (2, 12), (3, 2), (4, 5)) for i in range(u * 100, u * 100 + n)]
+    got = ranking.next_fit(spark.createDataFrame(rows, "c long, u long, o long, s long"), case="c", unit="u", order="o", size="s", capacity=5).orderBy("o").collect()
+    assert [r.chunk for r in got] == [0] * 3 + [1] * 5 + [2] * 5 + [3] * 2 + [3] * 2 + [4] * 5
