@@ -51,15 +51,27 @@ def tree_depth(rows: DataFrame, roots: DataFrame, *, key: str, parent: str, dept
 
 
 def parent_chain(rows: DataFrame, *, key: str, parent: str, name: str, root: int, depth: int = 16) -> DataFrame:
-    """(key, path): names from the root down; a missing or own parent, a circle or too many levels end the chain."""
-    base = rows.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("n"))
-    now = base.select("k", F.col("p").alias("next"), F.array("k").alias("met"), F.col("n").alias("path"))
-    for _ in range(depth):
-        step = base.select(F.col("k").alias("next"), F.col("p").alias("_p"), F.col("n").alias("_n"))
-        moved = now.join(step, "next", "left")
-        goes = F.col("_n").isNotNull() & (F.col("next") != root) & ~F.array_contains("met", F.col("next"))
-        now = moved.select("k", F.when(goes, F.col("_p")).alias("next"), F.when(goes, F.array_append("met", F.col("next"))).otherwise(F.col("met")).alias("met"), F.when(goes, F.concat_ws("/", "_n", "path")).otherwise(F.col("path")).alias("path"))
-    return now.select(F.col("k").alias(key), "path")
+    """(key, path): names from the root down; a missing or own parent, a circle or more than ``depth`` levels above the row end the chain.
+
+    Each round joins a chain with the chain of the row that it has come to, so that chains
+    double: as many joins as the depth has binary digits, each written to the shared folder.
+    """
+    up = F.when((F.col(parent) != root) & (F.col(parent) != F.col(key)), F.col(parent))
+    now = written(rows.select(F.col(key).alias("k"), F.array(key).alias("met"), F.array(name).alias("names"), up.alias("next")), "chains")
+    for _ in range(depth.bit_length()):
+        ahead = now.where(F.get("names", F.lit(0)).isNotNull()).select(F.col("k").alias("next"), F.col("met").alias("_met"), F.col("names").alias("_names"), F.col("next").alias("_next"))
+        moved = now.where("next is not null").join(ahead, "next", "left")
+        # places of the part ahead that were met before: the chain ends in front of the first
+        again = F.array_min(F.filter(F.transform("_met", lambda k, i: F.when(F.array_contains("met", k), i)), lambda i: i.isNotNull()))
+        fresh = F.coalesce(F.col("_again"), F.size("_met"))
+        longer = moved.withColumn("_again", again).select(
+            "k",
+            F.when(F.col("_met").isNull(), F.col("met")).otherwise(F.concat("met", F.slice("_met", F.lit(1), fresh))).alias("met"),
+            F.when(F.col("_met").isNull(), F.col("names")).otherwise(F.concat("names", F.slice("_names", F.lit(1), fresh))).alias("names"),
+            F.when(F.col("_again").isNull(), F.col("_next")).alias("next"),
+        )
+        now = written(now.where("next is null").unionByName(longer), "chains")
+    return now.select(F.col("k").alias(key), F.array_join(F.reverse(F.slice("names", 1, depth + 1)), "/").alias("path"))
 
 
 def lifecycle(starts: DataFrame, stops: DataFrame, children: DataFrame, *, key: str = "guid", at: str = "at", within: int = 2_000_000) -> DataFrame:

@@ -107,3 +107,23 @@ def test_stream_over_many_batches_equals_one(spark, tmp_path):
     got = {r.user_id: r.at for r in live.run_to_end(live.first_bursts(stream, key="user_id", at="us", ordinal="event_id", endpoint="endpoint", width=10_000, least=4), "append").collect()}
     assert got == {0: 9000, 1: 10000, 2: 11000}
     assert {r.user_id: r.n for r in live.run_to_end(live.running_tally(stream, ["user_id"]), "complete").collect()} == {0: 40, 1: 40, 2: 40}
+
+
+def test_parent_chain_equals_a_walk(spark):
+    import random
+
+    from emberlane.operators import joins
+
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice([k // 2, k // 2, k - 1, rnd.randint(1, 70), 500]), f"n{k}") for k in range(1, 80)]
+    parents = {k: p for k, p, _ in rows}
+    for depth in (3, 16):
+        want = {}
+        for k in parents:
+            met, at = [k], parents[k]
+            while at in parents and at not in met and len(met) <= depth:
+                met.append(at)
+                at = parents[at]
+            want[k] = "/".join(f"n{x}" for x in reversed(met))
+        got = joins.parent_chain(spark.createDataFrame(rows, "k long, p long, n string"), key="k", parent="p", name="n", root=0, depth=depth)
+        assert {r.k: r.path for r in got.collect()} == want
