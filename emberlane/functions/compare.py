@@ -20,7 +20,7 @@ def scalar_equal(a: Column, b: Column) -> Column:
     )
 
 
-def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_seconds: float) -> Column:
+def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_seconds: float | Column) -> Column:
     """Times within a tolerance, paths normalised, indirect strings by their display part, else scalars.
 
     A time and something else are different.
@@ -28,7 +28,7 @@ def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_se
     ta, tb = parse_micros(claimed), parse_micros(observed)
     return (
         F.when(claimed.isNull() | observed.isNull(), False)
-        .when(ta.isNotNull() & tb.isNotNull(), F.abs(ta - tb) <= int(tolerance_seconds * 1_000_000))
+        .when(ta.isNotNull() & tb.isNotNull(), F.abs(ta - tb) <= tolerance_seconds * 1_000_000)
         .when(ta.isNotNull() | tb.isNotNull(), False)
         .when(is_path, normalize_path(claimed) == normalize_path(observed))
         .otherwise(scalar_equal(claimed, observed) | (display_string(observed) == claimed))
@@ -55,21 +55,27 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 
 
 def assertion(predicate: Column, subject: Column, object_: Column, tolerance_seconds: Column) -> Column:
-    """Whether a typed assertion holds between two endpoints given as text; a missing endpoint or unknown predicate rejects."""
+    """Whether a typed assertion holds between two endpoints given as text, lists with commas; a missing endpoint or unknown predicate rejects."""
     from emberlane.functions.text import hash_set, nt_normalize, under_path
 
     inside = under_path(nt_normalize(subject), nt_normalize(object_))  # "c:\\data\\..\\x" is not under "c:\\data"
     ts, to = parse_micros(subject), parse_micros(object_)
+    number = lambda c: F.trim(c).try_cast("double")
+    low = lambda c: F.lower(F.trim(c))
+    items = F.split(subject, ",")
     held = (
-        F.when(predicate == "equals", scalar_equal(subject, object_))
+        F.when(predicate == "equals", typed_equal(object_, subject, F.lit(False), tolerance_seconds))
         .when(predicate == "contains", F.lower(subject).contains(F.lower(object_)))
-        .when(predicate == "list_contains", F.array_contains(F.transform(F.split(subject, ","), lambda x: F.trim(x)), object_))
+        .when(predicate == "list_contains", F.exists(items, lambda x: low(x).contains(F.lower(object_))))
         .when(predicate == "under_path", inside)
         .when(predicate == "outside_path", ~inside)
-        .when(predicate == "same_path", normalize_path(subject) == normalize_path(object_))
+        .when(predicate == "same_path", nt_normalize(subject) == nt_normalize(object_))
         .when(predicate == "same_hash", F.arrays_overlap(hash_set(subject), hash_set(object_)))
         .when(predicate == "before", ts < to)
         .when(predicate == "after", ts > to)
         .when(predicate == "within", F.abs(ts - to) <= tolerance_seconds * 1_000_000)
+        .when(predicate == "spawned", F.exists(items, lambda x: low(x) == low(object_)))
+        .when(predicate == "duration", F.abs(number(subject) - number(object_)) <= tolerance_seconds)
+        .when(predicate == "count", number(subject) == number(object_))
     )
     return F.coalesce(held, F.lit(False))

@@ -160,7 +160,7 @@ QUERIES = {f.__name__: f for f in (flag_rules, flag_histogram, canonical_overlay
 _REC = f"""with {EVENTS_SQL}, rec as (select 'n' || (user_id % 8) as node, 'EV#' || event_id as ref, us, k, user_id,
  case event_type when 'click' then 'evtx:Sysmon' when 'view' then 'evtx:Security' when 'purchase' then 'evtx:System' when 'error' then 'evtx:Application' else '$UsnJrnl' end as artifact,
  case event_type when 'click' then case k % 3 when 0 then 1 when 1 then 3 else 5 end when 'view' then case k % 2 when 0 then 4624 else 1102 end when 'purchase' then case k % 2 when 0 then 7045 else 104 end when 'error' then case k % 2 when 0 then 18456 else 1000 end end as eid,
- ['C:\\Windows\\System32\\cmd.exe', 'D:\\tools\\whoami.exe', 'C:\\exfil\\run.exe', 'C:\\Windows\\explorer.exe'][k % 4 + 1] as image, k * 100 as port from ev),
+ ['C:\\Windows\\System32\\cmd.exe', 'D:\\tools\\whoami.exe', 'C:\\staging\\run.exe', 'C:\\Windows\\explorer.exe'][k % 4 + 1] as image, k * 100 as port from ev),
 sys as (select *, artifact = 'evtx:Sysmon' and eid = 1 as start from rec),
 tagged as (select *, list_filter([
  case when (artifact = 'evtx:Security' and eid = 1102) or (artifact = 'evtx:System' and eid = 104) then 'log_cleared' end,

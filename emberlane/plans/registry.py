@@ -1,8 +1,8 @@
 """All queries of the engine's own operators, with their SQL."""
 
-from emberlane.plans import campaign, joins, ordered, proposals, records, streams, verdicts
+from emberlane.plans import campaign, delivery, joins, ordered, proposals, records, streams, verdicts
 
-_MODULES = [campaign, joins, ordered, records, verdicts, proposals, streams]
+_MODULES = [campaign, delivery, joins, ordered, records, verdicts, proposals, streams]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

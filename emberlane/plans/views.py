@@ -27,7 +27,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     artifact = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
     event_id = F.when(F.col("event_type") == "click", F.when(F.col("k") % 3 == 0, 1).when(F.col("k") % 3 == 1, 3).otherwise(5)).when(F.col("event_type") == "view", F.when(F.col("k") % 2 == 0, 4624).otherwise(1102)).when(F.col("event_type") == "purchase", F.when(F.col("k") % 2 == 0, 7045).otherwise(104)).when(F.col("event_type") == "error", F.when(F.col("k") % 2 == 0, 18456).otherwise(1000))
-    image = F.when(F.col("k") % 4 == 0, "C:\\Windows\\System32\\cmd.exe").when(F.col("k") % 4 == 1, "D:\\tools\\whoami.exe").when(F.col("k") % 4 == 2, "C:\\exfil\\run.exe").otherwise("C:\\Windows\\explorer.exe")
+    image = F.when(F.col("k") % 4 == 0, "C:\\Windows\\System32\\cmd.exe").when(F.col("k") % 4 == 1, "D:\\tools\\whoami.exe").when(F.col("k") % 4 == 2, "C:\\staging\\run.exe").otherwise("C:\\Windows\\explorer.exe")
     fields = F.to_json(F.struct(image.alias("Image"), F.concat(F.lit("10.0."), F.col("user_id") % 8, F.lit("."), F.col("k")).alias("DestinationIp"), (F.col("k") * 100).cast("string").alias("DestinationPort"), F.when(F.col("k") % 5 == 0, "10").otherwise("3").alias("LogonType"), F.concat(F.lit("CORP\\user"), F.col("user_id")).alias("User")))
     no = F.lit(None).cast("string")
     return e.select(

@@ -37,7 +37,7 @@ CASES = [
     ("credential_config_accessed", start(CommandLine="type C:\\app\\db_settings.json"), start(CommandLine="type C:\\app\\readme.json")),
     ("execution_from_unusual_path", start(Image="E:\\x.exe"), start(Image="C:\\Windows\\x.exe")),
     ("execution_from_unusual_path", start(Image="C:\\Users\\Public\\x.exe"), start(Image="C:\\Users\\bob\\x.exe")),
-    ("execution_outside_known_volume_root", start(Image="C:\\exfil\\x.exe"), start(Image="C:\\evil.exe")),
+    ("execution_outside_known_volume_root", start(Image="C:\\staging\\x.exe"), start(Image="C:\\odd.exe")),
     ("unexpected_parent_process", start(Image="C:\\Windows\\System32\\cmd.exe", ParentImage="C:\\Windows\\explorer.exe"), start(Image="C:\\Program Files\\E\\msedge.exe", ParentImage="C:\\Program Files\\E\\msedge.exe")),
     ("unexpected_parent_process", start(ParentImage="C:\\Windows\\explorer.exe"), start(Image="C:\\Program Files\\E\\a\\helper.exe", ParentImage="C:\\Program Files\\E\\msedge.exe")),
     ("device_connected", {"artifact": "evtx:KernelPnP", "event_id": 400}, {"artifact": "evtx:KernelPnP", "event_id": 401}),
