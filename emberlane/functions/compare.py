@@ -20,12 +20,12 @@ def scalar_equal(a: Column, b: Column) -> Column:
     )
 
 
-def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_seconds: float | Column) -> Column:
+def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_seconds: float | Column, times: tuple[Column, Column] | None = None) -> Column:
     """Times within a tolerance, paths normalised, indirect strings by their display part, else scalars.
 
-    A time and something else are different.
+    A time and something else are different. ``times`` are both as microseconds, where they are columns already.
     """
-    ta, tb = parse_micros(claimed), parse_micros(observed)
+    ta, tb = times or (parse_micros(claimed), parse_micros(observed))
     return (
         F.when(claimed.isNull() | observed.isNull(), False)
         .when(ta.isNotNull() & tb.isNotNull(), F.abs(ta - tb) <= tolerance_seconds * 1_000_000)
@@ -54,22 +54,23 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.bround(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
-def assertion(predicate: Column, subject: Column, object_: Column, tolerance_seconds: Column) -> Column:
-    """Whether a typed assertion holds between two endpoints given as text, lists with commas; a missing endpoint or unknown predicate rejects."""
+def assertion(predicate: Column, subject: Column, object_: Column, tolerance_seconds: Column, times: tuple[Column, Column] | None = None, paths: tuple[Column, Column] | None = None) -> Column:
+    """Whether a typed assertion holds between two endpoints given as text, lists with commas; a missing endpoint or unknown predicate rejects. ``times`` and ``paths`` are both endpoints read as such, where they are columns already."""
     from emberlane.functions.text import hash_set, nt_normalize, under_path
 
-    inside = under_path(nt_normalize(subject), nt_normalize(object_))  # "c:\\data\\..\\x" is not under "c:\\data"
-    ts, to = parse_micros(subject), parse_micros(object_)
+    ps, po = paths or (nt_normalize(subject), nt_normalize(object_))
+    inside = under_path(ps, po)  # "c:\\data\\..\\x" is not under "c:\\data"
+    ts, to = times or (parse_micros(subject), parse_micros(object_))
     number = lambda c: F.trim(c).try_cast("double")
     low = lambda c: F.lower(F.trim(c))
     items = F.split(subject, ",")
     held = (
-        F.when(predicate == "equals", typed_equal(object_, subject, F.lit(False), tolerance_seconds))
+        F.when(predicate == "equals", typed_equal(object_, subject, F.lit(False), tolerance_seconds, (to, ts)))
         .when(predicate == "contains", F.lower(subject).contains(F.lower(object_)))
         .when(predicate == "list_contains", F.exists(items, lambda x: low(x).contains(F.lower(object_))))
         .when(predicate == "under_path", inside)
         .when(predicate == "outside_path", ~inside)
-        .when(predicate == "same_path", nt_normalize(subject) == nt_normalize(object_))
+        .when(predicate == "same_path", ps == po)
         .when(predicate == "same_hash", F.arrays_overlap(hash_set(subject), hash_set(object_)))
         .when(predicate == "before", ts < to)
         .when(predicate == "after", ts > to)

@@ -94,7 +94,7 @@ def confidence_of(severity: Column) -> Column:
 
 def first_clause(text: Column, keywords: list[str]) -> Column:
     """The first clause of a text that holds one of the keywords; null where none does."""
-    clauses = F.transform(F.split(text, r"[.;\n]+"), F.trim)
+    clauses = F.transform(F.split(text, r"[.;\n]+"), lambda c: F.trim(c))
     return F.get(F.filter(clauses, lambda c: F.lower(c).rlike("|".join("\\Q" + k.lower() + "\\E" for k in keywords))), F.lit(0))
 
 

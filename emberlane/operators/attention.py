@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.operators.windows import densest_start, soft_cap
+from emberlane.tables import written
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def apply(records: DataFrame, signals: list[Signal], *, width: int, per_signal:
     anchor, time and ref; of one repeat key the first ``same``, others only while seats remain.
     A case without a known time has no anchor, and its records are taken by score and ref.
     """
-    hit = matches(records, signals)
+    hit = written(matches(records, signals), "signals")  # read twice
     anchors = densest_start(hit.where("at is not null"), key="case", at="at", signal="signal", width=width).select("case", F.col("start").alias("anchor"))
     near = hit.join(anchors, "case", "left").withColumn("_far", F.abs(F.col("at") - F.col("anchor")))
     order = [F.desc("score"), F.asc_nulls_last("_far"), F.asc_nulls_last("at"), "ref"]

@@ -71,3 +71,17 @@ def best_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
 def coverage_matrix(rows: DataFrame, nodes: list[str]) -> DataFrame:
     """Strongest status of each family on each node: rows family, node, rank to a column a node, 0 where nothing is known."""
     return rows.groupBy("family").pivot("node", nodes).agg(F.max("rank")).na.fill(0)
+
+
+def build(observations: DataFrame, own: DataFrame, seen: DataFrame, *, nodes: int, axes: list[str], background: Column | None = None) -> DataFrame:
+    """(axis, value, kind, from_node, to_node, first_at, chain, axis_rank): links between hosts and addresses that one used of another.
+
+    They read in the order of first_at with unknown last, axis_rank, value and hosts. A peer
+    link has the axis ``peer`` and the first time at which it was seen. own: node, value; seen: node, value, at.
+    """
+    found = links(observations, nodes, background).where("kind <> 'ubiquitous'").select("axis", "value", "kind", F.lit(None).cast("string").alias("from_node"), F.lit(None).cast("string").alias("to_node"), "first_at", F.array_join("chain", ",").alias("chain"))
+    s, o = seen.groupBy("node", "value").agg(F.min("at").alias("at")).alias("s"), own.distinct().alias("o")
+    pairs = s.join(o, (F.col("s.value") == F.col("o.value")) & (F.col("s.node") != F.col("o.node")))
+    peers = pairs.select(F.lit("peer").alias("axis"), F.col("s.value").alias("value"), F.lit("passed").alias("kind"), F.col("s.node").alias("from_node"), F.col("o.node").alias("to_node"), F.col("s.at").alias("first_at"), F.concat_ws(",", "s.node", "o.node").alias("chain"))
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i, a in enumerate(axes) for x in (a, i))), F.col("axis")), F.lit(len(axes)))
+    return found.unionByName(peers).withColumn("axis_rank", rank)

@@ -38,3 +38,28 @@ def reconcile(declared: DataFrame, found: DataFrame, *, key: str, counts: list[s
     both = declared.select(key, *(F.col(c).alias(f"d_{c}") for c in counts)).join(found.select(key, *(F.col(c).alias(f"f_{c}") for c in counts)), key, "full_outer")
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.coalesce(f"d_{c}", F.lit(0)).alias("declared"), F.coalesce(f"f_{c}", F.lit(0)).alias("found")) for c in counts)))
     return both.select(key, each.alias("x")).select(key, "x.*").where("declared <> found")
+
+
+def rejections_by_combination(rejections: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(technique, artifacts, n, status): rejections of a technique and a set of artifacts, with what a ledger says of that pair; ``new`` where it says nothing.
+
+    rejections: technique, artifacts (array); ledger: technique, artifacts (array), status.
+    """
+    key = F.array_join(F.array_sort(F.array_distinct("artifacts")), ",").alias("artifacts")
+    grouped = rejections.select("technique", key).groupBy("technique", "artifacts").agg(F.count("*").alias("n"))
+    known = ledger.select("technique", key, "status").groupBy("technique", "artifacts").agg(F.max("status").alias("status"))
+    return grouped.join(known, ["technique", "artifacts"], "left").na.fill("new", ["status"])
+
+
+def reason_histogram(rejections: DataFrame) -> DataFrame:
+    return rejections.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def behaviours_reported(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Adds ``behaviours``, the labels whose pattern occurs in ``text``, in the order of the labels."""
+    hits = (F.when(F.col("text").rlike("(?i)" + p), F.lit(label)) for label, p in patterns.items())
+    return texts.withColumn("behaviours", F.array_compact(F.array(*hits)))
+
+
+def manifest_totals(files: DataFrame, counts: list[str]) -> DataFrame:
+    return files.agg(F.count("*").alias("files"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))

@@ -97,3 +97,62 @@ def story_kept(sentences: DataFrame, findings: DataFrame) -> DataFrame:
     good = findings.where("verdict <> 'rejected'").select(F.explode("refs").alias("ref")).distinct().withColumn("_g", F.lit(True))
     each = sentences.select("sentence", F.explode_outer("refs").alias("ref")).join(good, "ref", "left")
     return each.groupBy("sentence").agg(F.count_if(F.col("ref").isNull() | F.col("_g").isNull()).alias("bad")).withColumn("kept", F.col("bad") == 0)
+
+
+def packets_restricted(packets: DataFrame, shipped: DataFrame) -> DataFrame:
+    """(anchor, refs): the refs of a packet that were delivered, in order; null where none is left.
+
+    packets: anchor, refs (array); shipped: ref.
+    """
+    each = packets.select("anchor", F.posexplode("refs").alias("pos", "ref")).join(shipped.select("ref").distinct(), "ref", "left_semi")
+    left = each.groupBy("anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x.ref).alias("refs"))
+    return packets.select("anchor").join(left, "anchor", "left")
+
+
+def packet_owners(packets: DataFrame, shipped: DataFrame) -> DataFrame:
+    """(ref, owner): the first packet, by ordinal, that claims a delivered record; a packet claims its anchor first. packets: ordinal, anchor, refs."""
+    claims = packets.select("ordinal", "anchor", F.explode(F.array_distinct(F.concat(F.array("anchor"), F.coalesce("refs", F.array())))).alias("ref"))
+    return claims.join(shipped.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.min_by("anchor", F.struct("ordinal", "anchor")).alias("owner"))
+
+
+#: Families become expressions, so their table must be short.
+MOST_FAMILIES = 1000
+
+
+def finding_families(findings: DataFrame, families: DataFrame) -> DataFrame:
+    """(finding_id, family): families of a finding's technique, and those with a keyword in its statement.
+
+    findings: finding_id, technique, statement; families: family, techniques (array), keyword
+    (a pattern, or null). The table of families is short; its patterns become one projection.
+    """
+    rows = families.orderBy("family").limit(MOST_FAMILIES + 1).collect()
+    if len(rows) > MOST_FAMILIES:
+        raise ValueError(f"a table of families has {MOST_FAMILIES} rows at most")
+    by_word = [F.when(F.col("statement").rlike("(?i)" + r.keyword), F.lit(r.family)) for r in rows if r.keyword]
+    by_technique = [F.when(F.col("technique").isin(list(r.techniques)), F.lit(r.family)) for r in rows if r.techniques]
+    return findings.select("finding_id", F.explode(F.array_distinct(F.array_compact(F.array(*by_technique, *by_word)))).alias("family"))
+
+
+def pivot_menu(records: DataFrame, cited: DataFrame) -> DataFrame:
+    """(ref, pivot): the earliest time of records that were cited or carry a flag. records: ref, flags, times (array); cited: ref."""
+    known = records.withColumn("pivot", F.array_min("times")).where("pivot is not null")
+    flagged = F.size("flags") > 0
+    return known.where(flagged).select("ref", "pivot").unionByName(known.where(~F.coalesce(flagged, F.lit(False))).join(cited.select("ref").distinct(), "ref", "left_semi").select("ref", "pivot"))
+
+
+def correlated(selected: DataFrame) -> DataFrame:
+    """(case, pattern, timeline): what the records that a person picked show together. selected: case, ref, at, kind.
+
+    kind: file_times, account_created, group_add or another. The refs stand by time, unknown last.
+    """
+    has = lambda k: F.bool_or(F.col("kind") == k)
+    sums = selected.groupBy("case").agg(has("file_times").alias("f"), has("account_created").alias("a"), has("group_add").alias("g"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("at").isNull().alias("late"), "at", "ref"))).alias("line"))
+    both = F.col("a") & F.col("g")
+    pattern = F.when(both & F.col("f"), "file_then_account_and_group").when(both, "account_and_group").when(F.col("n") >= 2, "compare")
+    return sums.select("case", pattern.alias("pattern"), F.transform("line", lambda x: x.ref).alias("timeline"))
+
+
+def timeline_visible(entries: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Entries with refs that are all allowed. entries: entry, refs."""
+    each = entries.select("entry", F.explode(F.array_distinct("refs")).alias("ref")).join(allowed.select("ref", F.lit(1).alias("_ok")).distinct(), "ref", "left")
+    return each.groupBy("entry").agg((F.count("_ok") == F.count("*")).alias("_all")).where("_all").select("entry")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from emberlane.functions.compare import assertion, is_path_field, typed_equal
 from emberlane.functions.fields import lookup
+from emberlane.functions.text import nt_normalize
+from emberlane.functions.times import parse_micros
 from emberlane.operators.verify import statement_tokens, ungrounded
 
 #: The checks in their order, and what a failure of each is called.
@@ -39,8 +41,9 @@ def review(findings: DataFrame, records: DataFrame, support: DataFrame, *, toler
     """
     empty = {f.name: f.dataType for f in findings.schema if f.name in ("refs", "input_refs", "claims", "assertions")}
     clean = findings.select(*(F.coalesce(F.col(c), F.array().cast(empty[c])).alias(c) if c in empty else F.col(c) for c in findings.columns)).withColumn("cited", cited_refs())
-    each = clean.select("finding_id", F.explode("cited").alias("ref")).join(records.select("ref", "artifact", "data"), "ref")
-    held = each.groupBy("finding_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", F.struct("artifact", "data")))).alias("known"))
+    shown = support.groupBy("artifact").agg(F.collect_set("technique").alias("shows"))
+    each = clean.select("finding_id", F.explode("cited").alias("ref")).join(records.select("ref", "artifact", "data"), "ref").join(shown, "artifact", "left")
+    held = each.groupBy("finding_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", F.struct("artifact", "data", "shows")))).alias("known"))
     shows = support.groupBy("technique").agg(F.collect_set("artifact").alias("shown_by"))
     row = clean.join(held, "finding_id", "left").join(shows, "technique", "left")
     row = row.withColumn("known", F.coalesce("known", F.map_from_arrays(F.array(), F.array()).cast(held.schema["known"].dataType)))
@@ -50,38 +53,39 @@ def review(findings: DataFrame, records: DataFrame, support: DataFrame, *, toler
         found = lookup(data(ref), text)
         return F.when(ref.isNull(), text).when(F.map_contains_key("known", ref) & found["present"], found["value"])
 
-    def claim_fails(c: Column) -> Column:
-        found = lookup(data(c.ref), c.field)
-        same = typed_equal(c.value, found["value"], is_path_field(c.field), tolerance_seconds)
-        return ~(F.coalesce(found["present"], F.lit(False)) & F.coalesce(same, F.lit(False)))
-
-    def assertion_fails(a: Column) -> Column:
-        return ~assertion(a.predicate, end(a.subject_ref, a.subject), end(a.object_ref, a.object), F.coalesce(a.tolerance, F.lit(tolerance_seconds)))
-
+    claimed = F.transform("claims", lambda c, i: F.struct(F.lit(2).alias("check"), i.alias("pos"), c.field.alias("what"), c.value.alias("a"), end(F.coalesce(c.ref, F.lit("")), c.field).alias("b"), F.lit(tolerance_seconds).alias("tolerance")))
+    asserted = F.transform("assertions", lambda a, i: F.struct(F.lit(3).alias("check"), i.alias("pos"), a.predicate.alias("what"), end(a.subject_ref, a.subject).alias("a"), end(a.object_ref, a.object).alias("b"), F.coalesce(a.tolerance, F.lit(tolerance_seconds)).alias("tolerance")))
     artifacts = F.array_distinct(F.array_compact(F.transform("cited", lambda r: F.try_element_at("known", r)["artifact"])))
+    also = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.transform("cited", lambda r: F.try_element_at("known", r)["shows"])))))
     haystack = F.lower(F.array_join(F.flatten(F.transform("cited", lambda r: F.coalesce(F.map_values(data(r)), F.array().cast("array<string>")))), "\n"))
     row = row.select(
-        "finding_id", "technique", "claims", "assertions", artifacts.alias("artifacts"),
+        "finding_id", F.array_remove(also, F.col("technique")).alias("also"), F.size("claims").alias("n2"), F.size("assertions").alias("n3"),
         _first(F.col("cited"), lambda r: ~F.map_contains_key("known", r)).alias("c0"),
         _first(F.col("cited"), lambda r: ~F.array_contains("input_refs", r)).alias("c1"),
-        _first(F.col("claims"), claim_fails).alias("c2"),
-        _first(F.col("assertions"), assertion_fails).alias("c3"),
         F.when(F.col("shown_by").isNotNull() & (F.size(artifacts) > 0) & ~F.arrays_overlap(artifacts, "shown_by"), 0).alias("c4"),
         ungrounded(statement_tokens(F.coalesce("statement", F.lit(""))), haystack).alias("missing"),
+        F.explode_outer(F.concat(claimed, asserted)).alias("t"),
     )
+    # one row a claim or assertion, so that comparisons are compiled; rows of a finding are in one place already
+    kept = ["also", "n2", "n3", "c0", "c1", "c4", "missing"]
+    row = row.select("finding_id", *kept, "t.*")
+    of_path = F.col("what").isin("under_path", "outside_path", "same_path")
+    row = row.select("*", parse_micros(F.col("a")).alias("ta"), parse_micros(F.col("b")).alias("tb"), F.when(of_path, nt_normalize(F.col("a"))).alias("pa"), F.when(of_path, nt_normalize(F.col("b"))).alias("pb"))
+    times, paths = (F.col("ta"), F.col("tb")), (F.col("pa"), F.col("pb"))
+    same = typed_equal(F.col("a"), F.col("b"), is_path_field(F.col("what")), F.col("tolerance"), times)
+    holds = F.when(F.col("check") == 2, F.coalesce(same, F.lit(False))).when(F.col("check") == 3, assertion(F.col("what"), F.col("a"), F.col("b"), F.col("tolerance"), times, paths))
+    place = lambda check: F.min(F.when((F.col("check") == check) & ~F.col("holds"), F.col("pos"))).alias(f"c{check}")
+    row = row.select("finding_id", *kept, "check", "pos", holds.alias("holds")).groupBy("finding_id").agg(*(F.first(c).alias(c) for c in kept), place(2), place(3))
     failed = F.coalesce(*(F.when(F.col(f"c{i}").isNotNull(), F.lit(i)) for i in range(5)))
     row = row.withColumn("failed", failed)
-    claims, asserted = F.size("claims"), F.size("assertions")
+    claims, asserted = F.col("n2"), F.col("n3")
     reached = lambda i: F.col("failed").isNull() | (F.col("failed") >= i)
     checks = F.when(reached(2), claims).otherwise(0) + F.when(reached(3), asserted).otherwise(0)
     passed = F.when(reached(2), F.coalesce("c2", claims)).otherwise(0) + F.when(reached(3), F.coalesce("c3", asserted)).otherwise(0)
     verdict = F.when(F.col("failed").isNotNull(), "rejected").when((claims + asserted == 0) | (F.size("missing") > 0), "unverifiable").otherwise("passed")
     reason = F.when(F.col("failed").isNotNull(), F.element_at(F.array(*map(F.lit, CHECKS)), F.col("failed") + 1)).when(claims + asserted == 0, "nothing_to_check").when(F.size("missing") > 0, CHECKS[5])
-    out = row.select("finding_id", "technique", "artifacts", verdict.alias("verdict"), reason.alias("reason"), checks.cast("bigint").alias("checks"), passed.cast("bigint").alias("checks_passed"), "missing")
-    # techniques that the cited artifacts would show, for findings whose own one they do not
-    refused = out.where(F.col("reason") == CHECKS[4]).select("finding_id", "technique", F.explode("artifacts").alias("artifact"))
-    others = refused.alias("r").join(support.select(F.col("technique").alias("other"), "artifact").alias("s"), "artifact").where("other <> r.technique").groupBy("finding_id").agg(F.array_sort(F.collect_set("other")).alias("also_supports"))
-    return out.join(others, "finding_id", "left").drop("technique", "artifacts")
+    also = F.when(reason == CHECKS[4], F.col("also"))  # what the cited artifacts would show, where they do not show the finding's own technique
+    return row.select("finding_id", verdict.alias("verdict"), reason.alias("reason"), checks.cast("bigint").alias("checks"), passed.cast("bigint").alias("checks_passed"), "missing", also.alias("also_supports"))
 
 
 def story_review(sentences: DataFrame, findings: DataFrame) -> DataFrame:

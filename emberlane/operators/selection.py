@@ -53,3 +53,33 @@ def applicable(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``applies``: the build lies in the rule's range; open ends are open."""
     joined = rows.join(rules, "artifact", "left")
     return joined.withColumn("applies", (F.col("build") >= F.coalesce("min_build", F.lit(0))) & (F.col("build") <= F.coalesce("max_build", F.lit(1 << 30))))
+
+
+def forced_names(names: list[str], catalog: DataFrame) -> DataFrame:
+    """(artifact, ordinal): catalogued artifacts named exactly, or by a group that they begin with (``group:``). A name that finds none is an error.
+
+    The names are a short list from a user.
+    """
+    wanted = catalog.sparkSession.createDataFrame(list(enumerate(names)), "ordinal long, name string")
+    found = catalog.join(wanted, (F.col("artifact") == F.col("name")) | F.startswith("artifact", F.concat("name", F.lit(":")))).groupBy("artifact").agg(F.min("ordinal").alias("ordinal"), F.collect_set("name").alias("names"))
+    missing = set(names) - {n for r in found.select("names").distinct().limit(len(names) * len(names)).collect() for n in r.names}
+    if missing:
+        raise ValueError(f"no such artifact: {', '.join(sorted(missing))}")
+    return found.select("artifact", "ordinal")
+
+
+def with_forced(chosen: DataFrame, forced: DataFrame, later: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(artifact, priority, origin): what was chosen, and forced artifacts that can be read: promoted with their deferred scope, or added with only a time range. Those chosen already stay as they are."""
+    new = forced.select("artifact").distinct().join(catalog.where("usable").select("artifact"), "artifact", "left_semi").join(chosen, "artifact", "left_anti").join(later.select("artifact", F.lit(True).alias("_later")), "artifact", "left")
+    return chosen.select("artifact", "priority", F.lit("selected").alias("origin")).unionByName(new.select("artifact", F.lit(1).alias("priority"), F.when(F.col("_later"), "promoted").otherwise("time_range_only").alias("origin")))
+
+
+def selection_stats(chosen: DataFrame, later: DataFrame, left_out: DataFrame) -> DataFrame:
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(chosen, "selected").join(n(later, "deferred"), F.lit(True)).join(n(left_out, "excluded"), F.lit(True))  # one row each
+
+
+def rounds_compared(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(artifact, change): added, removed, rescoped or same between two rounds. Both: artifact, scope (a scope_key)."""
+    both = first.select("artifact", F.col("scope").alias("a"), F.lit(True).alias("_a")).join(second.select("artifact", F.col("scope").alias("b"), F.lit(True).alias("_b")), "artifact", "full_outer")
+    return both.select("artifact", F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("rescoped").alias("change"))
