@@ -44,7 +44,7 @@ def rejection_combinations_ledger(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.reason_histogram(table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_orderpriority").alias("reason")))
+    return metrics.reason_histogram(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("reason")))
 
 
 def reported_behaviours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ select b as artifact, case when chosen then 2 else 1 end as priority, case when
     "rounds_compared": f"""with x as ({_SCOPE.format('R')}), y as ({_SCOPE.format('A')}) select coalesce(x.a, y.a) as artifact, case when x.a is null then 'added' when y.a is null then 'removed' when x.s = y.s then 'same' else 'rescoped' end as change from x full join y on x.a = y.a""",
     "rejection_combinations_ledger": """with i as (select l_orderkey as o, string_agg(distinct (l_suppkey % 5)::varchar, ',' order by (l_suppkey % 5)::varchar) as artifacts from lineitem group by 1)
 select o % 4 as technique, artifacts, count(*) as n, case when bool_or(o % 50 = 0) then 'known' else 'new' end as status from i group by 1, 2""",
-    "rejection_reasons": "select o_orderpriority as reason, count(*) as n from orders where o_totalprice > 100000 group by 1",
+    "rejection_reasons": "select o_orderpriority as reason, count(*) as n from orders group by 1",
     "reported_behaviours": "select doc_id, concat_ws(',', case when regexp_matches(text, '(?i)licen[cs]ed?') then 'licence' end, case when regexp_matches(text, '(?i)token\\s*=') then 'secret' end, case when regexp_matches(text, '[#&]{3}') then 'junk' end) as behaviours from documents",
     "manifest_totals": "select count(distinct o_custkey) as files, count(*) as records, count(*) filter (o_totalprice > 200000) as flagged from orders",
     "packets_restricted": """with s as (select distinct l_partkey as p from lineitem where l_quantity > 45), i as (select distinct l_orderkey as o, l_partkey as p from lineitem) select o as anchor, string_agg(s.p::varchar, ',' order by s.p) as refs from i left join s using (p) group by 1""",
