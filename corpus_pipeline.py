@@ -17,27 +17,50 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the whole row beside them, so that columns of any name come through."""
-    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    """doc_id, text, and the other columns in one beside them, so that columns of any name come through and each text is sent once."""
+    return docs.select("doc_id", "text", F.struct(F.col("doc_id"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))).alias("_row"))
+
+
+def _released(held: DataFrame, columns: list[str]) -> DataFrame:
+    return held.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the model is learned from the labelled ones of the input. Null and empty texts stay."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(_held(docs), model).where("predicted = 0").select("_row.*")
+    return _released(toxicity.score(_held(docs), model).where("predicted = 0"), docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts go."""
     field = quality.fit(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return quality.measure(_held(docs), field, carry=("_row",)).where("kept").select("_row.*")
+    return _released(quality.measure(_held(docs), field, carry=("_row", "text")).where("kept"), docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with an id, equal ones of an id and text folded, with ``_key``: doc_id, or for the rows of an id that has several texts a number of each row beyond all ids."""
+    texts = docs.groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("a"), F.max(F.sha2("text", 256)).alias("b"), F.count_if(F.col("text").isNull()).alias("nulls"), F.max("doc_id").alias("most"))
+    several = materialize(texts.where("a <> b or (nulls > 0 and a is not null)").select("doc_id"), name="several-texts")
+    if several.isEmpty():
+        return docs.dropDuplicates(["doc_id"]).withColumn("_key", F.col("doc_id"))
+    most = docs.agg(F.max("doc_id")).first()[0]
+    one = docs.join(several, "doc_id", "left_anti").dropDuplicates(["doc_id"]).withColumn("_key", F.col("doc_id"))
+    more = docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_key", F.monotonically_increasing_id() + most + 1)
+    return materialize(one.unionByName(more.select(one.columns)), name="keyed")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id; rows without an id stay."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near-duplicates, the one with the least doc_id.
+
+    Rows without an id stay. Rows that are equal in doc_id and text are one document; other
+    texts of an id are documents of their own, which stand behind all ids that have one text.
+    """
+    names = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    keyed = _keyed(own.where("doc_id is not null"))
+    kept = near_dup.near_duplicates(keyed, key="_key").where("kept").select("_key").distinct()
+    named = keyed.join(kept, "_key", "left_semi")
+    return named.select(*own.columns).unionByName(own.where("doc_id is null")).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
