@@ -36,7 +36,7 @@ STOP_WORDS = frozenset(
     "al con como cuando del desde donde el ella entre era esta este ha hay las lo los mas me mi más muy no nos o para pero por porque si sin sobre su sus también te tiene todo y ya".split()
 )
 #: Elements whose text is never main text, and elements whose content is not markup.
-DROPPED = frozenset("head title nav footer aside form noscript template iframe object svg canvas audio video button select textarea menu dialog style script".split())
+DROPPED = frozenset("head title nav footer aside noscript template iframe object svg canvas audio video button select textarea menu dialog style script".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -51,7 +51,8 @@ NAMES = frozenset(
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.4, 60, 180, 0.1, 0.22
 
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its value; matched one after the other, so that nothing inside a value or a longer name counts.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _QUOTE_OR_END = re.compile("[>\"']")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +60,7 @@ _SPACE = re.compile(r"\s+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 #: Parts of a class that make it a state or a layout, as in "has-sidebar".
 _STATES = frozenset("has with without no is show hide".split())
-#: A container that only parts of its names speak against is kept if it holds this share of the page's running text.
+#: A form, or a container that only parts of its names speak against, is kept if it holds this share of the page's running text.
 WRAPPER = 0.5
 
 NEUTRAL, DOUBTFUL, BOILERPLATE = 0, 1, 2
@@ -75,8 +76,8 @@ class Block:
     doubts: tuple[int, ...] = ()  # doubtful containers around it
 
 
-def _judge_names(attributes: str) -> int:
-    """What class, id, role and visibility say of an element. Whole names decide; parts of longer ones raise a doubt, unless they tell a state."""
+def _judge_names(attributes: str, inside: bool) -> int:
+    """What class, id, role and visibility say of an element. Whole names decide; parts of longer ones raise a doubt, unless they tell a state. A header inside an article is the article's."""
     worst = NEUTRAL
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
@@ -86,6 +87,8 @@ def _judge_names(attributes: str) -> int:
             continue
         for token in value.split():
             parts = _NAME.findall(token)
+            if inside and parts and parts[-1] == "header":
+                continue
             if token in NAMES or len(parts) <= 2 and parts and parts[-1] in NAMES and not _STATES.intersection(parts):
                 return BOILERPLATE
             if not _STATES.intersection(parts) and not NAMES.isdisjoint(parts):
@@ -179,7 +182,9 @@ def blocks_of(page: str) -> list[Block]:
         at = end
         if not tag:
             continue
-        judged = NEUTRAL if closing or tag in ("body", "html", "article", "main") or not attributes else _judge_names(attributes)
+        judged = NEUTRAL if closing or tag in ("body", "html", "article", "main") or not attributes else _judge_names(attributes, region > 0)
+        if tag == "form" and judged == NEUTRAL:
+            judged = DOUBTFUL
         if tag == "a":
             link_depth = 0 if closing else 1
             links += not closing

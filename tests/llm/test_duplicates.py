@@ -183,3 +183,35 @@ def test_components_of_hubs(spark, monkeypatch):
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = groups_by_hand(edges, {v for e in edges for v in e})
     assert {v: got.get(v, v) for v in want} == want
+
+
+def test_pipeline_keeps_every_text(spark):
+    """Only rows equal in id and text are folded, and of near-duplicates one stays, as by brute force."""
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    base = [" ".join("w%d" % rnd.randint(0, 5000) for _ in range(80)) for _ in range(6)]
+    near = lambda t: t + " tail"
+    rows = [(1, base[0]), (1, base[1]), (2, base[2]), (2, base[2]), (3, near(base[2])), (4, base[3]), (5, near(base[1])), (6, None), (6, base[4]), (7, base[5]), (8, base[5]), (None, base[0]), (None, base[0]), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'k' as _key", "text", "'c' as c1")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, base[0]), (2, base[2]), (4, base[3]), (5, near(base[1])), (6, None), (6, base[4]), (7, base[5]), (None, base[0]), (None, base[0]), (9, "")], key=repr)
+    alone = docs.where("doc_id <> 1 and doc_id <> 6")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, alone, "").collect()}
+    assert got == {(2, base[2]), (4, base[3]), (5, near(base[1])), (7, base[5]), (9, "")}
+
+
+def test_pipeline_stages_against_their_operators(spark, sf_dir):
+    """What the first two stages keep is what the operators' columns say, row by row."""
+    import corpus_pipeline
+
+    from emberlane.llm import quality, toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled_rows(docs, labels))
+    clean = {r.doc_id for r in docs.select("doc_id", "text").collect() if not r.text or 1 / (1 + np.exp(-(model.intercept + model.slope * (1 - np.exp(-toxicity.SATURATION * toxicity.Scorer(model.lexicon).evidence(r.text)))))) < 0.5}
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()} == clean
+    field = quality.fit(quality.labelled_rows(docs, labels))
+    good = {r.doc_id for r in quality.measure(docs, field).where("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.drop_poor(spark, docs, sf_dir).collect()} == good

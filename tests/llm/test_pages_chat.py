@@ -140,3 +140,17 @@ def test_op8_odd_rows(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.by_conversation(df))).collect()}
     assert got[1].n_turns == 5 and got[1].loss_chars == 20 and got[None].loss_chars == 1
     assert chat.read_back(chat.format_turns(chat.by_conversation(df.where("false")))).count() == 0
+
+
+def test_attributes_are_read_by_their_own_names():
+    """Values and longer names that merely mention a boilerplate name drop nothing; a form around the page is its wrapper."""
+    story = "<p>" + "The hills of the north are the home of a people that has kept to its own ways for as long as there are records of it. " * 3 + "</p>"
+    for opening in ["<div title='The hidden valley'>", "<div data-x='overflow hidden'>", "<section aria-label='hidden gems'>", "<div title='see class=footer here'>", "<div data-class='ad'>", "<div data-role='header'>", """<div onclick="this.style='display:none'">""", "<form action='/post'>", "<form id=aspnetForm method=post>"]:
+        tag = opening[1:].split()[0]
+        text = pages.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{opening}{story}</{tag}><footer>All rights reserved</footer></body></html>")
+        assert "hills of the north" in text and "Home" not in text and "reserved" not in text, opening
+    for opening in ["<div hidden>", "<div class=ad>", "<div CLASS='footer'>", "<div style='display: none'>", "<div aria-hidden=true>", "<form>"]:
+        tag = opening[1:-1].split()[0]
+        text = pages.main_text(f"<html><body><article>{story}{opening}<p>The name and the address of the reader are to be given here for the list.</p></{tag}></article></body></html>")
+        assert "hills of the north" in text and "reader" not in text, opening
+    assert "Of northern hills" in pages.main_text(f"<article><div class='text-header'><h1>Of northern hills</h1></div>{story}</article>")
