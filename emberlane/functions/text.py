@@ -120,7 +120,7 @@ def ref_parts(ref: Column) -> Column:
     return F.when(good, F.struct(F.split_part(ref, F.lit("#"), F.lit(1)).alias("prefix"), F.split_part(ref, F.lit("#"), F.lit(2)).cast("bigint").alias("number")))
 
 
-def bit_names(mask: Column, names: list[str]) -> Column:
-    """The names of the set bits, lowest first."""
-    bits = F.array(*(F.when(F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1, F.lit(n)) for i, n in enumerate(names)))
+def bit_names(mask: Column, names: list[str | None]) -> Column:
+    """The names of the set bits, lowest first; bits without a name are left out."""
+    bits = F.array(*(F.when(F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1, F.lit(n)) for i, n in enumerate(names) if n))
     return F.array_compact(bits)

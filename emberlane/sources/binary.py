@@ -1,4 +1,4 @@
-"""Binary artifacts to rows: change journal, master file table, recent-file cache and SQLite tables.
+"""Small binary artifacts to rows, a file at a time: recent-file cache and SQLite tables.
 
 Spark finds and reads the files (``binaryFile``, any store); a small function turns the
 bytes of one file into rows. Formats are those of the public documentation.
@@ -14,16 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.functions.times import filetime_micros
-
-#: Names of the reason bits of a change record, lowest first (fixed values).
-REASONS = [
-    "data_overwrite", "data_extend", "data_truncation", "", "named_data_overwrite", "named_data_extend", "named_data_truncation", "", "file_create", "file_delete", "ea_change", "security_change",
-    "rename_old_name", "rename_new_name", "indexable_change", "basic_info_change", "hard_link_change", "compression_change", "encryption_change", "object_id_change", "reparse_point_change", "stream_change",
-]
-_LOW48 = (1 << 48) - 1
-
-
 def _rows(spark: SparkSession, path: str, schema: str, read: Callable[[bytes], Iterator[tuple]], glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
@@ -43,95 +33,6 @@ def _rows(spark: SparkSession, path: str, schema: str, read: Callable[[bytes], I
     return files.mapInPandas(run, f"file string, {schema}")
 
 
-def journal_records(data: bytes) -> Iterator[tuple]:
-    """(offset, version, entry, sequence, parent_entry, parent_sequence, usn, filetime, reason, source, name) of change records.
-
-    Records are aligned to 8 bytes. Zeros are skipped; where no record can start, the
-    reader moves on by 8 bytes until one can.
-    """
-    at, size = 0, len(data)
-    while at + 60 <= size:
-        length, major, minor = struct.unpack_from("<IHH", data, at)
-        head = {2: 60, 3: 76}.get(major)
-        if not head or minor or length < head or length % 8 or length > 0x10000 or at + length > size:
-            if data[at:at + 4096] == bytes(4096):
-                at += 4096
-            else:
-                at += 8
-            continue
-        wide = 8 if major == 2 else 16
-        own, parent = int.from_bytes(data[at + 8:at + 8 + wide], "little"), int.from_bytes(data[at + 8 + wide:at + 8 + 2 * wide], "little")
-        usn, filetime, reason, source, _, _, name_size, name_at = struct.unpack_from("<qqIIIIHH", data, at + 8 + 2 * wide)
-        if name_at < head or name_at + name_size > length or name_size % 2:
-            at += 8
-            continue
-        name = data[at + name_at:at + name_at + name_size].decode("utf-16-le", "replace")
-        yield at, major, own & _LOW48, own >> 48 & 0xFFFF, parent & _LOW48, parent >> 48 & 0xFFFF, usn, filetime, reason, source, name
-        at += length
-
-
-def read_journal(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    raw = _rows(spark, path, "offset bigint, version int, file_entry bigint, file_sequence bigint, parent_entry bigint, parent_sequence bigint, usn bigint, filetime bigint, mask bigint, source bigint, name string", journal_records, glob)
-    bits = F.array(*(F.when(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1, n) for i, n in enumerate(REASONS) if n), F.when(F.shiftright("mask", 31).bitwiseAND(F.lit(1)) == 1, "close"))
-    return raw.withColumn("us", filetime_micros(F.col("filetime"))).withColumn("reason", F.array_compact(bits)).drop("filetime", "mask")
-
-
-def _repaired(slot: bytearray) -> bytes | None:
-    """A record with its sector ends restored from the update sequence; null where they do not match."""
-    at, count = struct.unpack_from("<HH", slot, 4)
-    if count < 1 or at + 2 * count > len(slot):
-        return None
-    mark = slot[at:at + 2]
-    for i in range(1, count):
-        end = 512 * i
-        if end > len(slot) or slot[end - 2:end] != mark:
-            return None
-        slot[end - 2:end] = slot[at + 2 * i:at + 2 * i + 2]
-    return bytes(slot)
-
-
-def table_records(data: bytes, slot: int = 1024) -> Iterator[tuple]:
-    """(record_num, offset, allocated, is_directory, size, name, parent, si times, fn times) of file records; longest name wins."""
-    for number, at in enumerate(range(0, len(data) - slot + 1, slot)):
-        if data[at:at + 4] != b"FILE":
-            continue
-        record = _repaired(bytearray(data[at:at + slot]))
-        if record is None:
-            continue
-        first, flags = struct.unpack_from("<HH", record, 20)
-        si, fn, name, parent, size = [None] * 4, [None] * 4, None, None, None
-        while first + 24 <= slot:
-            kind, length = struct.unpack_from("<II", record, first)
-            if kind == 0xFFFFFFFF or length < 24 or first + length > slot:
-                break
-            resident = record[first + 8] == 0
-            if resident:
-                content_size, content_at = struct.unpack_from("<IH", record, first + 16)
-                body = record[first + content_at:first + content_at + content_size]
-                if kind == 0x10 and len(body) >= 32:
-                    si = list(struct.unpack_from("<4q", body))
-                elif kind == 0x30 and len(body) >= 66:
-                    text = body[66:66 + 2 * body[64]].decode("utf-16-le", "replace")
-                    if name is None or len(text) > len(name):
-                        name, parent = text, int.from_bytes(body[:6], "little")
-                        fn = list(struct.unpack_from("<4q", body, 8))
-                elif kind == 0x80 and record[first + 9] == 0:
-                    size = content_size
-            elif kind == 0x80 and record[first + 9] == 0:
-                size = struct.unpack_from("<q", record, first + 48)[0]
-            first += length
-        yield number, at, bool(flags & 1), bool(flags & 2), size, name, parent, *si, *fn
-
-
-_TIMES = [f"{k}_{t}" for k in ("si", "fn") for t in ("btime", "mtime", "ctime", "atime")]
-
-
-def read_file_table(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """File records with their times in microseconds; paths come from operators.joins.parent_chain."""
-    raw = _rows(spark, path, "record_num bigint, offset bigint, allocated boolean, is_directory boolean, size bigint, name string, parent bigint, " + ", ".join(f"{t} bigint" for t in _TIMES), table_records, glob)
-    return raw.withColumns({t: filetime_micros(F.col(t)) for t in _TIMES})
-
-
 def recent_paths(data: bytes) -> Iterator[tuple]:
     """(offset, path): length-prefixed UTF-16 strings after a header of 20 bytes."""
     at = 20

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 
 from emberlane.operators import joins, proposals
-from emberlane.sources import binary, evidence
+from emberlane.sources import binary, evidence, ntfs
 from emberlane.streaming import live
 
 EPOCH = 116_444_736_000_000_000
@@ -23,7 +23,7 @@ def record_v2(name, reason, usn=7):
 def test_journal(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.bin").write_bytes(bytes(8192) + record_v2("a.txt", 0x100) + b"\xff" * 16 + record_v2("b.txt", 0x80000200))
-    rows = binary.read_journal(spark, str(tmp_path / "j")).orderBy("offset").collect()
+    rows = ntfs.read_journal(spark, str(tmp_path / "j")).orderBy("offset").collect()
     assert [(r.name, r.file_entry, r.file_sequence, r.parent_entry, r.us, r.reason) for r in rows] == [("a.txt", 5, 3, 9, 1, ["file_create"]), ("b.txt", 5, 3, 9, 1, ["file_delete", "close"])]
 
 
@@ -46,7 +46,7 @@ def file_record(name, parent, flags=1):
 def test_file_table(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "t.bin").write_bytes(file_record(".", 0, 3) + file_record("dir", 0, 3) + file_record("x.txt", 1, 0) + b"BAAD".ljust(1024, b"\0"))
-    rows = binary.read_file_table(spark, str(tmp_path / "m"))
+    rows = ntfs.read_file_table(spark, str(tmp_path / "m"))
     got = {r.record_num: r for r in rows.collect()}
     assert (got[2].name, got[2].allocated, got[2].size, got[2].si_btime, got[2].fn_btime, len(got)) == ("x.txt", False, 3, 1, 2, 3)
     paths = {r.record_num: r.path for r in joins.parent_chain(rows.where("record_num > 0"), key="record_num", parent="parent", name="name", root=0).collect()}
