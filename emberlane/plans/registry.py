@@ -1,8 +1,8 @@
 """All queries of the engine's own operators, with their SQL."""
 
-from emberlane.plans import campaign, delivery, extras, joins, ordered, proposals, records, scans, streams, verdicts
+from emberlane.plans import campaign, delivery, extras, joins, logs, ordered, proposals, records, scans, streams, verdicts
 
-_MODULES = [campaign, delivery, extras, joins, ordered, records, verdicts, proposals, streams, scans]
+_MODULES = [campaign, delivery, extras, joins, logs, ordered, records, verdicts, proposals, streams, scans, logs]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
