@@ -79,42 +79,48 @@ class RangeSource(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    moves: list[tuple[str, str]]
 
 
 class BytesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path, self.run = path, uuid.uuid4().hex
+    def __init__(self, path: str, each: bool):
+        self.path, self.each, self.run = path, each, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         store, at = store_of(self.path)
         store.create_dir(at, recursive=True)
-        # an attempt has a name of its own; only those that commit are given their final one
+        # an attempt has names of its own; only those that commit are given their final ones
         task = TaskContext.get()
-        name = f"{at}/_{self.run}-{task.partitionId():05d}-{task.taskAttemptId()}"
-        with store.open_output_stream(name) as out:
+        own = f"{at}/_{self.run}-{task.partitionId():05d}-{task.taskAttemptId()}"
+        if self.each:
+            moves = []
+            for batch in batches:
+                for name, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                    with store.open_output_stream(f"{own}-{len(moves)}") as out:
+                        out.write(content.as_py() or b"")
+                    moves.append((f"{own}-{len(moves)}", f"{at}/{name}"))
+            return Written(moves)
+        with store.open_output_stream(own) as out:
             for batch in batches:
                 for content in batch.column(0).cast(pa.binary()):
                     out.write(content.as_py() or b"")
-        return Written(name)
+        return Written([(own, f"{at}/part-{task.partitionId():05d}-{self.run}.bin")])
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, at = store_of(self.path)
-        for m in messages:
-            if m:
-                store.move(m.path, f"{at}/part-{m.path.split('-')[-2]}-{self.run}.bin")
+        store, _ = store_of(self.path)
+        for made, final in [x for m in messages if m for x in m.moves]:
+            store.move(made, final)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = store_of(self.path)
-        for m in messages:
-            if m:
-                store.delete_file(m.path)
+        for made, _ in [x for m in messages if m for x in m.moves]:
+            store.delete_file(made)
 
 
 class BytesSink(DataSource):
-    """Sink ``bytefiles``: the column ``content`` of a partition's rows, one behind the other, in one file."""
+    """Sink ``bytefiles``: the column ``content`` of a partition's rows, one behind the other, in one file, or with ``name`` before it a file of each row."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,13 +130,13 @@ class BytesSink(DataSource):
         return "content binary"
 
     def writer(self, schema, overwrite: bool) -> BytesWriter:  # noqa: ARG002
-        return BytesWriter(self.options["path"])
+        return BytesWriter(self.options["path"], len(schema.fields) == 2)
 
 
-def write_bytes(rows: DataFrame, path: str, content: str = "content") -> None:
-    """Writes the bytes of each partition, in the order of its rows, to one file below path; files that are there stay."""
+def write_bytes(rows: DataFrame, path: str, content: str = "content", name: str | None = None) -> None:
+    """Writes the bytes of each partition, in the order of its rows, to one file below path, or with ``name`` each row to the file of that name; other files that are there stay."""
     rows.sparkSession.dataSource.register(BytesSink)
-    rows.select(rows[content].alias("content")).write.format("bytefiles").mode("append").save(path)
+    rows.select(*([rows[name].alias("name")] if name else []), rows[content].alias("content")).write.format("bytefiles").mode("append").save(path)
 
 
 def read_ranges(spark, source: type[RangeSource], path: str, glob: str | None = None, split: int | None = None) -> DataFrame:
