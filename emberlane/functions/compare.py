@@ -21,23 +21,22 @@ def scalar_equal(a: Column, b: Column) -> Column:
 
 
 def typed_equal(claimed: Column, observed: Column, is_path: Column, tolerance_seconds: float | Column, times: tuple[Column, Column] | None = None) -> Column:
-    """Times within a tolerance, paths normalised, indirect strings by their display part, else scalars.
+    """Times within a tolerance, paths normalised, indirect strings by their display part, else scalars; any element of an observed list, a JSON array.
 
     A time and something else are different. ``times`` are both as microseconds, where they are columns already.
     """
     ta, tb = times or (parse_micros(claimed), parse_micros(observed))
-    return (
-        F.when(claimed.isNull() | observed.isNull(), False)
-        .when(ta.isNotNull() & tb.isNotNull(), F.abs(ta - tb) <= tolerance_seconds * 1_000_000)
-        .when(ta.isNotNull() | tb.isNotNull(), False)
-        .when(is_path, normalize_path(claimed) == normalize_path(observed))
-        .otherwise(scalar_equal(claimed, observed) | (display_string(observed) == claimed))
-    )
 
+    def one(seen: Column, t: Column) -> Column:
+        return (
+            F.when(ta.isNotNull() & t.isNotNull(), F.abs(ta - t) <= tolerance_seconds * 1_000_000)
+            .when(ta.isNotNull() | t.isNotNull(), False)
+            .when(is_path, normalize_path(claimed) == normalize_path(seen))
+            .otherwise(scalar_equal(claimed, seen) | (display_string(seen) == claimed))
+        )
 
-def in_list(claimed: Column, observed: Column) -> Column:
-    """Equal to any element of a list."""
-    return F.exists(observed, lambda x: scalar_equal(claimed, x))
+    listed = F.when(observed.startswith("["), F.from_json(observed, "array<string>"))
+    return F.when(claimed.isNull() | observed.isNull(), False).when(F.coalesce(F.size(listed) > 0, F.lit(False)) & F.coalesce(F.exists(listed, lambda x: one(x, parse_micros(x))), F.lit(False)), True).otherwise(one(observed, tb))
 
 
 #: Fields that hold paths, by name or ending (fixed values).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 def normalize_path(path: Column) -> Column:
     """Slashes for backslashes, lower case, no trailing slash unless nothing else is left."""
     slashed = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    cut = F.regexp_replace(slashed, "/+$", "")
+    cut = F.regexp_replace(slashed, "(?<!/)/++$", "")
     return F.when(cut == "", slashed).otherwise(cut)
 
 
@@ -79,14 +81,56 @@ def _octet(host: Column, i: int) -> Column:
     return F.element_at(F.split(host, r"\."), i).try_cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain_address(text: Column) -> Column:
+    """An IPv6 address with an IPv4 address at its end written as two groups; null where that is none."""
+    octet = lambda tail, i: F.element_at(F.split(tail, r"\."), i).try_cast("int")
+    fits = lambda t: (octet(t, 1) <= 255) & (octet(t, 2) <= 255) & (octet(t, 3) <= 255) & (octet(t, 4) <= 255)
+    pair = lambda t: F.concat(F.lower(F.hex(octet(t, 1) * 256 + octet(t, 2))), F.lit(":"), F.lower(F.hex(octet(t, 3) * 256 + octet(t, 4))))
+    return let(F.regexp_extract(text, rf"({IPV4})$", 1), lambda tail: F.when(tail == "", text).when(fits(tail), F.concat(F.regexp_replace(text, rf"{IPV4}$", ""), pair(tail))))
+
+
+def _groups(plain: Column) -> Column:
+    """The eight groups of an address without leading zeros; null where it is none."""
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(plain, "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    filled = lambda ends: F.when(F.size(F.split(plain, "::")) == 1, ends[0]).when((F.size(F.split(plain, "::")) == 2) & (F.size(ends[0]) + F.size(ends[1]) <= 7), F.concat(ends[0], F.array_repeat(F.lit("0"), 8 - F.size(ends[0]) - F.size(ends[1])), ends[1]))
+    sound = plain.rlike(r"^[0-9a-f]{0,4}(::?[0-9a-f]{0,4})+$") & ~plain.rlike(r":::|^:[^:]|[^:]:$")
+    return F.when(sound, let(let(F.array(part(0), part(1)), filled), lambda g: F.when(F.size(g) == 8, F.transform(g, lambda x: F.regexp_replace(x, "^0+(?=.)", "")))))
+
+
+def _shortened(joined: Column) -> Column:
+    """Groups joined by colons, the first of the longest runs of two or more zeros left out."""
+    out = joined
+    for n in range(2, 9):
+        shape = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+        short = F.concat(F.regexp_replace(F.regexp_extract(joined, shape, 1), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(joined, shape, 2), "^:", ""))
+        out = F.when(joined.rlike(shape), short).otherwise(out)
+    return out
+
+
+def _short_key(bare: Column) -> Column:
+    dotted = bare.rlike(f"^{IPV4}$")
+    possible = (_octet(bare, 1) <= 255) & (_octet(bare, 2) <= 255) & (_octet(bare, 3) <= 255) & (_octet(bare, 4) <= 255)
+    plain = F.when(~dotted, True).otherwise(possible & ~bare.startswith("127.") & (bare != "0.0.0.0"))
+    return F.when((bare != "") & ~bare.isin(LOCAL_HOSTS) & plain, bare)
+
+
+def _long_key(text: Column) -> Column:
+    number = lambda g, i: F.conv(F.get(g, F.lit(i)), 16, 10).cast("int")
+    four = lambda g: F.concat_ws(".", F.floor(number(g, 6) / 256), number(g, 6) % 256, F.floor(number(g, 7) / 256), number(g, 7) % 256)
+    of = lambda g: F.when(F.array_join(F.slice(g, 1, 6), ":") == "0:0:0:0:0:ffff", let(four(g), _short_key)).otherwise(let(let(F.array_join(g, ":"), _shortened), lambda k: F.when(~k.isin("::", "::1"), k)))
+    return let(let(let(text, _plain_address), _groups), lambda g: F.when(g.isNotNull(), of(g)))
+
+
 def network_key(host: Column) -> Column:
-    """A host or IPv4 address in lower case; null for local, loopback, unspecified and impossible ones."""
-    key = F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
-    dotted = key.rlike(f"^{IPV4}$")
-    possible = (_octet(key, 1) <= 255) & (_octet(key, 2) <= 255) & (_octet(key, 3) <= 255) & (_octet(key, 4) <= 255)
-    special = key.startswith("127.") | (key == "0.0.0.0") | key.isin("::1", "::")
-    plain = F.when(~dotted, True).otherwise(possible)
-    return F.when((key != "") & ~key.isin(LOCAL_HOSTS) & plain & ~(special & (dotted | key.contains(":"))), key)
+    """A host or address in lower case, IPv6 in its shortest form and as IPv4 where it stands for one; null for local, loopback, unspecified and impossible ones."""
+    bare = F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
+    long = F.regexp_replace(F.regexp_replace(bare, r"^\[|\]$", ""), "%.*$", "")
+    return F.when(bare.contains(":"), _long_key(long)).otherwise(_short_key(bare))
 
 
 def embedded_hosts(command: Column) -> Column:

@@ -57,13 +57,14 @@ def review(findings: DataFrame, records: DataFrame, support: DataFrame, *, toler
     asserted = F.transform("assertions", lambda a, i: F.struct(F.lit(3).alias("check"), i.alias("pos"), a.predicate.alias("what"), end(a.subject_ref, a.subject).alias("a"), end(a.object_ref, a.object).alias("b"), F.coalesce(a.tolerance, F.lit(tolerance_seconds)).alias("tolerance")))
     artifacts = F.array_distinct(F.array_compact(F.transform("cited", lambda r: F.try_element_at("known", r)["artifact"])))
     also = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.transform("cited", lambda r: F.try_element_at("known", r)["shows"])))))
-    haystack = F.lower(F.array_join(F.flatten(F.transform("cited", lambda r: F.coalesce(F.map_values(data(r)), F.array().cast("array<string>")))), "\n"))
+    values = F.flatten(F.transform("cited", lambda r: F.coalesce(F.map_values(data(r)), F.array().cast("array<string>"))))
+    haystack = F.array_join(F.concat("cited", F.array_compact(F.transform("claims", lambda c: c.value)), values), "\n")
     row = row.select(
         "finding_id", F.array_remove(also, F.col("technique")).alias("also"), F.size("claims").alias("n2"), F.size("assertions").alias("n3"),
         _first(F.col("cited"), lambda r: ~F.map_contains_key("known", r)).alias("c0"),
         _first(F.col("cited"), lambda r: ~F.array_contains("input_refs", r)).alias("c1"),
         F.when(F.col("shown_by").isNotNull() & (F.size(artifacts) > 0) & ~F.arrays_overlap(artifacts, "shown_by"), 0).alias("c4"),
-        ungrounded(statement_tokens(F.coalesce("statement", F.lit(""))), haystack).alias("missing"),
+        F.transform(ungrounded(statement_tokens(F.coalesce("statement", F.lit(""))), haystack), lambda t: t.token).alias("missing"),
         F.explode_outer(F.concat(claimed, asserted)).alias("t"),
     )
     # one row a claim or assertion, so that comparisons are compiled; rows of a finding are in one place already

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlane.functions.text import let, normalize_path
+
 def cited(findings: DataFrame) -> DataFrame:
     """(finding_id, ref, pos): refs, then those of claims, each once, in order. findings: finding_id, refs, claim_refs."""
     every = F.array_distinct(F.concat("refs", F.coalesce("claim_refs", F.array())))
@@ -48,15 +50,49 @@ def supported(findings: DataFrame, support: DataFrame) -> DataFrame:
     return joined.withColumn("supported", F.col("technique").isNull() | F.coalesce(F.arrays_overlap("artifacts", "_known"), F.lit(False))).drop("_known")
 
 
+#: What is read of a sentence. Each pattern begins only where a run of its characters does, so that a long run is read once.
+_TECHNIQUE = r"\bT[0-9]{4}(?:\.[0-9]{3})?\b"
+_PATH = r"(?:(?<![A-Za-z])[A-Za-z]:[\\/]|(?<!\\)\\\\[^\s\\/]++[\\/])[^\s,;\"'()\[\]<>]*+"
+_FILE = r"(?<![^\s,;:\"'()\[\]<>\\/])[^\s,;:\"'()\[\]<>\\/]+\.[A-Za-z0-9]{1,8}"
+_TIME = r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?Z?)?|(?<![0-9])[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?"
+_NUMBER = r"0[xX][0-9A-Fa-f]+|[0-9]{4,}"
+_WHOLE_NUMBER = r"(?<![0-9a-z])(?:0x[0-9a-f]++|[0-9]++)(?![0-9a-z])"
+#: Least letters of a file name that is looked for without its dots (fixed value).
+LEAST_COMPACT = 4
+
+
 def statement_tokens(text: Column) -> Column:
-    """Numbers of four or more digits, hex numbers and file names in a sentence, once times and technique ids are blanked; distinct and sorted."""
-    blank = F.regexp_replace(text, r"\bT[0-9]{4}(?:\.[0-9]{3})?\b", " ")
-    files = F.regexp_extract_all(blank, F.lit(r"([A-Za-z0-9_.$-]+\.(?:exe|dll|sys|ps1|bat|cmd|vbs|js|zip|csv|txt|json|xml|ini|log|lnk))\b"), F.lit(1))
-    no_files = F.regexp_replace(blank, r"[A-Za-z0-9_.$-]+\.(?:exe|dll|sys|ps1|bat|cmd|vbs|js|zip|csv|txt|json|xml|ini|log|lnk)\b", " ")
-    no_times = F.regexp_replace(no_files, r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+Z?)?", " ")
-    numbers = F.regexp_extract_all(no_times, F.lit(r"\b(0x[0-9A-Fa-f]+|[0-9]{4,})\b"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(files, numbers), F.lower)))
+    """(kind, token) of the paths, file names and numbers of a sentence, each once, in order; compared in lower case with slashes.
+
+    Technique ids are blanked first and times before numbers, which have four digits or are
+    hex. A file name's ending has a letter. What ends a token but belongs to the sentence
+    is cut off. Time is in proportion to the text.
+    """
+    clean = lambda t: F.regexp_replace(t, r"(?<![^A-Za-z0-9_$.\-)\]}])[^A-Za-z0-9_$.\-)\]}]++$", "")
+    all_of = lambda t, pattern: F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), clean), lambda x: x != "")
+    kinds = lambda tokens, kind: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), normalize_path(t).alias("token"))).cast("array<struct<kind: string, token: string>>")
+    plain = F.regexp_replace(text, _TECHNIQUE, " ")
+    pathless = F.regexp_replace(plain, _PATH, " ")
+    files = F.filter(all_of(pathless, _FILE), lambda t: t.rlike(r"(?s)^.+\.(?=[0-9]*[A-Za-z])[A-Za-z0-9]{1,8}$"))
+    rest = F.regexp_replace(F.regexp_replace(pathless, _FILE, " "), _TIME, " ")
+    return F.array_distinct(F.concat(kinds(all_of(plain, _PATH), "path"), kinds(files, "file"), kinds(all_of(rest, _NUMBER), "number")))
 
 
-def ungrounded(tokens: Column, haystack: Column) -> Column:
-    return F.filter(tokens, lambda t: ~F.contains(F.lower(haystack), t))
+def number_key(token: Column) -> Column:
+    """One text for equal whole numbers, decimal or hex (up to 16 digits)."""
+    low = F.lower(token)
+    digits = F.regexp_replace(F.regexp_replace(low, "^0x", ""), "^0+(?=.)", "")
+    return F.when(low.startswith("0x") & (F.length(digits) <= 16), F.conv(digits, 16, 10)).when(low.startswith("0x"), low).otherwise(digits)
+
+
+def ungrounded(tokens: Column, evidence: Column) -> Column:
+    """The tokens (kind, token) that the evidence does not explain.
+
+    A number has to stand in it as a number of equal value; a path or file name as part of
+    it, a file name also with all dots left out.
+    """
+    numbers = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(_WHOLE_NUMBER), F.lit(0)), number_key)
+    folded = lambda t: F.replace(t.token, F.lit("."), F.lit(""))
+    known = lambda t, e: F.when(t.kind == "number", F.array_contains(e.numbers, number_key(t.token))).otherwise(F.contains(e.text, t.token) | ((t.kind == "file") & (F.length(folded(t)) >= LEAST_COMPACT) & F.contains(e.compact, folded(t))))
+    read = let(normalize_path(evidence), lambda text: F.struct(text.alias("text"), F.replace(text, F.lit("."), F.lit("")).alias("compact"), numbers.alias("numbers")))
+    return let(read, lambda e: F.filter(tokens, lambda t: ~F.coalesce(known(t, e), F.lit(False))))

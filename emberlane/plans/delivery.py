@@ -71,7 +71,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lambda p, field, to_ref, to, tolerance=None: F.struct(F.lit(p).alias("predicate"), first.alias("subject_ref"), F.lit(field).alias("subject"), (first if to_ref else F.lit(None).cast("string")).alias("object_ref"), F.lit(to).alias("object"), F.lit(tolerance).cast("double").alias("tolerance"))
     kinds = F.array(made("under_path", "path", False, "C:\\Parts"), made("duration", "size", False, "25", 24.0), made("spawned", "children", True, "brand"), made("count", "size", True, "fields.size"), made("before", "made", False, "2024-01-01T00:00:40Z"), made("outside_path", "path", False, "C:\\Windows"))
     return own.select(
-        "finding_id", F.when(o % 3 != 0, F.concat(F.lit("T"), o % 5)).alias("technique"), F.concat(F.lit("order with part "), F.col("least") + 10_000, F.when(o % 7 == 0, " and 99999999").otherwise("")).alias("statement"),
+        "finding_id", F.when(o % 3 != 0, F.concat(F.lit("T"), o % 5)).alias("technique"), F.concat(F.lit("order with part "), F.col("least") + 10_000, F.when(o % 7 == 0, " and 99999999").otherwise(""), F.when(o % 13 == 0, F.concat(F.lit(" near "), F.floor((F.col("least") + 10_000) / 10))).otherwise("")).alias("statement"),
         "refs", "input_refs", F.when(o % 11 != 0, F.col("claims")).alias("claims"), F.when(o % 11 != 0, F.array(F.element_at(kinds, (o % 6 + 1).cast("int")))).alias("assertions"),
     )
 
@@ -134,8 +134,9 @@ i as (select o, case when o % 3 <> 0 then 'T' || (o % 5) end as technique, min(p
 n as (select o, wrong, row_number() over (partition by o order by 'P#' || p, (p + wrong::int)::varchar) - 1 as i from l where o % 11 <> 0), c as (select o, count(*) as claims, min(i) filter (wrong) as c2 from n group by o),
 a as (select i.o, case o % 6 when 0 then first % 29 <> 0 when 1 then abs(p_size - 25) <= 24 when 2 then first % 31 <> 0 when 3 then true when 4 then p_size < 40 else true end as holds from i join part on p_partkey = first),
 b as (select distinct o, p_brand as b from l join part on p = p_partkey where p % 53 <> 0), g as (select o, bool_or(s.t = technique) as shown from i join b using (o) join s using (b) group by o), alt as (select o, string_agg(distinct s.t, ',' order by s.t) as also from i join b using (o) join s using (b) where s.t <> technique group by o),
-x as (select i.*, coalesce(claims, 0) as claims, c2, (o % 11 <> 0)::bigint as asserted, o % 11 <> 0 and not holds as c3, technique in (select t from s) and not shown as c4 from i left join c using (o) left join a using (o) left join g using (o)),
-y as (select *, case when c0 then 0 when c1 then 1 when c2 is not null then 2 when c3 then 3 when c4 then 4 end as failed, concat_ws(',', case when least % 53 = 0 then (least + 10000)::varchar end, case when o % 7 = 0 then '99999999' end) as missing from x)
+v as (select o, unnest([p, case when o % 11 <> 0 then p + wrong::int end, case when p % 53 <> 0 then p + 10000 end, case when p % 53 <> 0 then 2024 end]) as v from l), nums as (select o, list(v) as nums from v group by o),
+x as (select i.*, nums, coalesce(claims, 0) as claims, c2, (o % 11 <> 0)::bigint as asserted, o % 11 <> 0 and not holds as c3, technique in (select t from s) and not shown as c4 from i left join c using (o) left join a using (o) left join g using (o) left join nums using (o)),
+y as (select *, case when c0 then 0 when c1 then 1 when c2 is not null then 2 when c3 then 3 when c4 then 4 end as failed, concat_ws(',', case when not list_contains(nums, least + 10000) then (least + 10000)::varchar end, case when o % 7 = 0 then '99999999' end, case when o % 13 = 0 and not list_contains(nums, (least + 10000) // 10) then ((least + 10000) // 10)::varchar end) as missing from x)
 select o as finding_id, case when failed is not null then 'rejected' when claims + asserted = 0 or missing <> '' then 'unverifiable' else 'passed' end as verdict,
  case when failed is not null then ['ref_not_found', 'ref_not_in_input', 'claim_mismatch', 'assertion_contradicted', 'technique_unsupported'][failed + 1] when claims + asserted = 0 then 'nothing_to_check' when missing <> '' then 'statement_ungrounded' end as reason,
  case when coalesce(failed, 9) >= 2 then claims else 0 end + case when coalesce(failed, 9) >= 3 then asserted else 0 end as checks, case when coalesce(failed, 9) >= 2 then coalesce(c2, claims) else 0 end + case when coalesce(failed, 9) >= 3 then asserted - (failed is not null and failed = 3)::bigint else 0 end as checks_passed,

@@ -73,14 +73,17 @@ def technique_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("At 2024-01-01T10:00:00Z run"), F.col("doc_id"), F.lit(".exe wrote "), F.col("n_chars") + 1000, F.lit(" bytes at 0xFF, see T1059.001. "), F.col("text")).alias("s"))
-    return d.select("doc_id", F.array_join(verify.statement_tokens(F.col("s")), ",").alias("tokens"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("At 2024-01-01T10:00:00Z run"), F.col("doc_id"), F.lit(".exe wrote "), F.col("n_chars") + 1000, F.lit(" bytes at 0xFF of C:\\Data\\d"), F.col("doc_id"), F.lit(", see T1059.001. "), F.col("text")).alias("s"))
+    return d.select("doc_id", F.array_join(F.transform(verify.statement_tokens(F.col("s")), lambda t: F.concat(t.kind, F.lit(":"), t.token)), ",").alias("tokens"))
 
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a statement that its document does not hold."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lower(F.element_at(F.split("text", r"[ \n]"), 1)), F.lit("zzzz"), F.lit("licen")).alias("tokens"))
-    return d.select("doc_id", F.array_join(verify.ungrounded(F.col("tokens"), F.col("text")), ",").alias("missing"))
+    """Tokens of a statement that its document does not hold: its first word, a number that stands in it as part of a longer one, and others."""
+    token = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("token"))
+    n = F.col("n_chars") + 1000
+    tokens = F.array(token("file", F.lower(F.element_at(F.split("text", r"[ \n]"), 1))), token("file", F.lit("zzzz")), token("file", F.lit("l.icen")), token("number", n.cast("string")), token("number", F.concat(F.lit("0x"), F.hex(n))), token("number", F.concat(n.cast("string"), F.lit("7"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"), F.concat("text", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("0"), n)).otherwise(F.concat(n, F.lit("75")))).alias("evidence"))
+    return d.select("doc_id", F.array_join(F.transform(verify.ungrounded(F.col("tokens"), F.col("evidence")), lambda t: t.token), ",").alias("missing"))
 
 
 def error_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,11 +184,18 @@ c as (select f, unnest(a) as ref, generate_subscripts(a, 1) as pos from p union
 select f as finding_id, arg_min(ref, pos) as ref from c where ref not in (select p_partkey from part where p_size < 40) group by f""",
     "technique_support": """with s as (select distinct o_custkey % 25 as t, o_orderpriority as a from orders where o_totalprice > 490000), o as (select case when o_custkey % 5 <> 0 then o_custkey % 25 end as technique, o_orderpriority as a from orders)
 select technique, count(*) filter (technique is null or (technique, a) in (select (t, a) from s)) as supported, count(*) as n from o group by 1""",
-    "statement_tokens": """with d as (select doc_id, 'At 2024-01-01T10:00:00Z run' || doc_id || '.exe wrote ' || (n_chars + 1000) || ' bytes at 0xFF, see T1059.001. ' || text as s from documents),
-e as (select doc_id, regexp_replace(s, '\\bT[0-9]{4}(?:\\.[0-9]{3})?\\b', ' ', 'g') as s from d), x as (select doc_id, s, '([A-Za-z0-9_.$-]+\\.(?:exe|dll|sys|ps1|bat|cmd|vbs|js|zip|csv|txt|json|xml|ini|log|lnk))\\b' as pat from e),
-f as (select doc_id, regexp_extract_all(s, pat, 1) as files, regexp_replace(regexp_replace(s, pat, ' ', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+Z?)?', ' ', 'g') as s from x)
-select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(files, regexp_extract_all(s, '\\b(0x[0-9A-Fa-f]+|[0-9]{4,})\\b', 1)), lambda t: lower(t)))), ',') as tokens from f""",
-    "grounding": """with d as (select doc_id, lower(text) as t, [lower(regexp_split_to_array(text, '[ \\n]')[1]), 'zzzz', 'licen'] as k from documents) select doc_id, array_to_string(list_filter(k, lambda x: not contains(t, x)), ',') as missing from d""",
+    "statement_tokens": r"""with d as (select doc_id, regexp_replace('At 2024-01-01T10:00:00Z run' || doc_id || '.exe wrote ' || (n_chars + 1000) || ' bytes at 0xFF of C:\Data\d' || doc_id || ', see T1059.001. ' || text, '\bT[0-9]{4}(?:\.[0-9]{3})?\b', ' ', 'g') as s from documents),
+pats as (select '(?:\b[A-Za-z]:[\\/]|\\\\[^\s\\/]+[\\/])[^\s,;"''()\[\]<>]*' as path, '[^\s,;:"''()\[\]<>\\/]+\.[A-Za-z0-9]{1,8}' as file, '[^A-Za-z0-9_$.\-)\]}]+$' as tail),
+p as (select doc_id, regexp_extract_all(s, path) as paths, regexp_replace(s, path, ' ', 'g') as s, file, tail from d, pats),
+f as (select doc_id, paths, list_filter(list_transform(regexp_extract_all(s, file), lambda x: regexp_replace(x, tail, '')), lambda x: regexp_matches(x, '^(?s:.+)\.[A-Za-z0-9]{1,8}$') and regexp_matches(x, '\.[0-9]*[A-Za-z][A-Za-z0-9]*$')) as files, regexp_replace(s, file, ' ', 'g') as s, tail from p),
+n as (select doc_id, paths, files, tail, regexp_extract_all(regexp_replace(s, '[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?Z?)?|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?', ' ', 'g'), '0[xX][0-9A-Fa-f]+|[0-9]{4,}') as numbers from f),
+u as (select doc_id, list_concat(list_transform(list_filter(list_transform(paths, lambda x: regexp_replace(x, tail, '')), lambda x: x <> ''), lambda x: 'path:' || rtrim(replace(lower(x), '\', '/'), '/')), list_transform(files, lambda x: 'file:' || lower(x)), list_transform(numbers, lambda x: 'number:' || lower(x))) as t from n)
+select doc_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') as tokens from u""",
+    "grounding": """with d as (select doc_id, lower(text) as t, n_chars + 1000 as n, lower(regexp_split_to_array(text, '[ \\n]')[1]) as w from documents),
+h as (select *, t || ' ' || case when doc_id % 2 = 0 then '0' || n else n || '75' end as hay, list_transform(regexp_extract_all(t, '(?:^|[^0-9a-z])([0-9]+)(?:$|[^0-9a-z])', 1), lambda x: ltrim(x, '0')) as numbers from d),
+k as (select doc_id, [w, 'zzzz', 'l.icen', n::varchar, '0x' || hex(n), n || '7'] as toks, [contains(replace(hay, chr(92), '/'), replace(w, chr(92), '/')) or (len(replace(w, '.', '')) >= 4 and contains(replace(hay, '.', ''), replace(w, '.', ''))), contains(hay, 'zzzz'), contains(replace(hay, '.', ''), 'licen'),
+  doc_id % 2 = 0 or list_contains(numbers, n::varchar), doc_id % 2 = 0 or list_contains(numbers, n::varchar), list_contains(numbers, n || '7')] as known from h)
+select doc_id, array_to_string(list_filter(toks, lambda x, i: not known[i]), ',') as missing from k""",
     "error_tally": f"""with {EVENTS_SQL}, e as (select event_type as type, 's' || (user_id % 4) as stage, case when value > 50 then 'abort' when value > 10 then 'retry' else 'skip' end as action from ev)
 select type, action, stage, grouping(type, action, stage)::bigint as grouping, count(*) as n from e group by grouping sets ((), (type), (action), (stage), (stage, type))""",
     "error_summary": "select event_type, count(*) filter (value <= 10) as skip, count(*) filter (value > 10 and value <= 50) as retry, count(*) filter (value > 50) as abort from events group by 1",

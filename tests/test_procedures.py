@@ -55,3 +55,50 @@ def test_fields_by_hand(spark):
     r = df.first()
     assert r.clause == "2 moved files 2" and r.dump and r["keys"] == ["k", "k#2", "j", "k#3"] and r.tail == ["", "x"] and r.none == []
     assert r.blob == 'a x\\y n {"b":1}'
+
+
+def test_tokens_and_grounding_by_hand(spark):
+    """Kinds, order, endings of the sentence, numbers by value and file names without dots."""
+    from emberlane.operators import verify
+
+    cases = [
+        ("T1059.001 ran C:\\Dir\\a.exe에서 and (shell.aspx), 2024-01-02 03:04:05 at 12:30, 0x1F of 4821바이트 on build 19045.6466 and Node.js.", [("path", "c:/dir/a.exe"), ("file", "shell.aspx"), ("file", "node.js"), ("number", "0x1f"), ("number", "4821")]),
+        ("\\\\host\\share\\x and \\\\host\\share\\x, a.exe.b.dll-x 123 12345 12345", [("path", "//host/share/x"), ("file", "a.exe.b.dll"), ("number", "12345")]),
+        ("", []), (None, None),
+    ]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "s string").select(verify.statement_tokens(F.col("s")).alias("t"))
+    got = [None if r.t is None else [tuple(x) for x in r.t] for r in df.collect()]
+    assert got == [want for _, want in cases]
+    known = [("1234", "size 01234567", False), ("1234", "size 01234.", True), ("0x4d2", "n=1234", True), ("1234", "0x04D2", True), ("123456789012345678901234567890", "0123456789012345678901234567890", True), ("0x1", "0x10", False), ("4821", "4821바이트", True)]
+    for token, evidence, grounded in known:
+        row = spark.range(1).select(verify.ungrounded(F.array(F.struct(F.lit("number").alias("kind"), F.lit(token).alias("token"))), F.lit(evidence)).alias("m")).first()
+        assert (row.m == []) == grounded, (token, evidence)
+    files = [("node.js", "C:\\nodejs\\x", True), ("a.b", "ab", False), ("report.exe", "report.txt", False), ("x.dll", None, False)]
+    for token, evidence, grounded in files:
+        row = spark.range(1).select(verify.ungrounded(F.array(F.struct(F.lit("file").alias("kind"), F.lit(token).alias("token"))), F.lit(evidence)).alias("m")).first()
+        assert (row.m == []) == grounded, (token, evidence)
+
+
+def test_tokens_of_a_long_run_take_linear_time(spark):
+    """A megabyte without a space or a dot."""
+    import time
+
+    from emberlane.operators import verify
+
+    texts = ["x" * 1_000_000, "é" * 500_000 + "a", "a." * 300_000, "\\" * 300_000, "0" * 800_000, "C:" * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    df.select(F.size(verify.statement_tokens(F.col("s")))).collect()
+    began = time.time()
+    df.select(F.size(verify.ungrounded(verify.statement_tokens(F.col("s")), F.col("s")))).collect()
+    assert time.time() - began < 20
+
+
+def test_lists_and_long_addresses(spark):
+    from emberlane.functions.compare import typed_equal
+    from emberlane.functions.text import network_key
+
+    row = lambda *columns: tuple(spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first())
+    same = lambda a, b, path=False: typed_equal(F.lit(a), F.lit(b), F.lit(path), 1.0)
+    assert row(same("a", '["a","b"]'), same("c", '["a","b"]'), same("1", "[1.0, 2]"), same("C:/X", '["c:\\\\x"]', True), same("[a", "[a"), same('["a"]', '["a"]'), same("2024-01-01T00:00:00Z", '["x","2024-01-01T00:00:00.5Z"]')) == (True, False, True, True, True, True, True)
+    hosts = {"0:0:0:0:0:0:0:1": None, "::1": None, "::": None, "0::0": None, "::ffff:127.0.0.1": None, "::FFFF:10.0.0.1": "10.0.0.1", "2001:0DB8:0:0:1:0:0:1": "2001:db8::1:0:0:1", "2001:db8::0:1": "2001:db8::1", "fe80::1%eth0": "fe80::1", "[2001:db8::5]": "2001:db8::5", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8", "::ffff:999.0.0.1": None, "1::2::3": None, "12345::1": None, "Host.": "host", "10.0.0.256": None, "": None, "a:b:c": None}
+    assert row(*(network_key(F.lit(h)) for h in hosts)) == tuple(hosts.values())
