@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.tables import written
+
 #: Weight of a priority (fixed values); anything else counts as priority 2.
 WEIGHTS = {1: 4.0, 2: 2.0, 3: 1.0}
 
@@ -29,8 +31,29 @@ def seats(parties: DataFrame, *, party: str, weight: str, items: str, cap: str,
     return won.groupBy(party).agg(F.count_if(F.col("k") <= F.col(items)).alias("seats"), F.count_if(F.col("k") > F.col(items)).alias("wasted"))
 
 
+def numbered(rows: DataFrame, *, group: str, order: list, place: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds ``place``, the number of a row in its group's order from 1, and with ``size`` the number of rows of its group.
+
+    Rows are dealt out by ranges of (group, order) and sorted, so a group of any size lies in
+    as many tasks as it needs; a row's place is its place in its task, plus the rows of the
+    group in the tasks before, which are one number for each task and group.
+    """
+    kept = [F.col(c) for c in rows.columns]
+    keys = [F.col(k) if isinstance(k, str) else k for k in order]
+    placed = rows.repartitionByRange(F.col(group), *keys).sortWithinPartitions(F.col(group), *keys)
+    at = written(placed.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = at.groupBy(F.col(group).alias("_g"), part.alias("_sp")).agg(F.min("_at").alias("_first"), F.count("*").alias("_in"))
+    of_group = Window.partitionBy("_g").orderBy("_sp")
+    before = F.coalesce(F.sum("_in").over(of_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_g", "_sp", "_first", before.alias("_before"), F.sum("_in").over(Window.partitionBy("_g")).alias("_all"))
+    # a task has the rows of a few groups, and a table of them one row for each
+    met = at.withColumn("_part", part).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_sp")))
+    return met.select(*kept, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(place), *([F.col("_all").alias(size)] if size else []))
+
+
 def within_group_rank(rows: DataFrame, *, group: str, keys: list) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("bigint"))
+    return numbered(rows, group=group, order=keys)
 
 
 def budget_prefix(rows: DataFrame, *, group: str, order: list, size: str, budget: int) -> DataFrame:
@@ -41,11 +64,9 @@ def budget_prefix(rows: DataFrame, *, group: str, order: list, size: str, budget
 
 def evenly_spaced(rows: DataFrame, *, group: str, order: list, n: int) -> DataFrame:
     """``n`` rows of each group at even steps of its order, or all of a smaller group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    count = F.count("*").over(Window.partitionBy(group))
-    numbered = rows.withColumn("_p", place.cast("bigint")).withColumn("_n", count)
+    numbers = numbered(rows, group=group, order=order, place="_p", size="_n").withColumn("_p", F.col("_p") - 1)
     keep = (F.col("_n") <= n) | (F.floor(F.col("_p") * n / F.col("_n")) > F.floor((F.col("_p") - 1) * n / F.col("_n")))
-    return numbered.where(keep).drop("_p", "_n")
+    return numbers.where(keep).drop("_p", "_n")
 
 
 def next_fit(rows: DataFrame, *, case: str, unit: str, order: str, size: str, capacity: int) -> DataFrame:

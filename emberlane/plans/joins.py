@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlane.operators import joins as op
+from emberlane.operators import process
 from emberlane.operators import selection as sel
 from emberlane.plans.views import EVENTS_SQL, events, table
 
@@ -30,6 +31,17 @@ def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.tree_depth(rows, rows.join(events(spark, sf_dir).where("event_type = 'error'").select("event_id"), "event_id", "left_semi"), key="event_id", parent="parent").withColumn("depth", F.col("depth").cast("bigint"))
 
 
+def process_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes within four levels of seven in a hundred error events, by ids for a third of them and by numbers that are used again for others."""
+    e, k = events(spark, sf_dir), F.col("k")
+    number = lambda n: F.concat((F.col("user_id") % 20).cast("string"), F.lit("-"), n % 10)
+    rows = e.select("event_id", "us", F.when(k % 3 == 0, F.concat(F.lit("G"), "event_id")).when(k % 3 == 1, "-").alias("guid"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("g"), F.floor(F.col("event_id") / 5))).when(k % 5 == 0, "-").alias("parent_guid"),
+        number(k).alias("number"), F.concat(F.lit("C:\\"), F.initcap("event_type")).alias("image"), F.when(k % 7 != 0, number(k + 9)).alias("parent_number"), F.when(k % 2 == 0, "c:\\click").otherwise("C:\\ERROR").alias("parent_image"))
+    seeds = e.where((F.col("event_type") == "error") & (k < 7)).select("event_id")
+    found = process.process_closure(rows, seeds, key="event_id", guid="guid", parent_guid="parent_guid", number="number", image="image", parent_number="parent_number", parent_image="parent_image", at="us", within=86_400_000_000)
+    return found.withColumn("depth", F.col("depth").cast("bigint"))
+
+
 def mft_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 5).cast("bigint").alias("parent"), F.concat(F.lit("d"), F.col("p_partkey")).alias("name"))
     return op.parent_chain(rows, key="p_partkey", parent="parent", name="name", root=0, depth=12)
@@ -139,7 +151,7 @@ def reusable_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(same, ["c_nationkey", "scope"]).where("n > 1").select("c_custkey", "n")
 
 
-QUERIES = {f.__name__: f for f in (nearest_anchor, nearest_unbounded, process_tree, mft_path, process_lifecycle, hash_corroboration, path_corroboration, behaviour_closure, full_outer_compare, explained_difference, select_plan, unmapped_techniques, deferred_plan, excluded_plan, baseline_upsert, technique_index, scope_merge, os_applicability, reusable_scans)}
+QUERIES = {f.__name__: f for f in (nearest_anchor, nearest_unbounded, process_tree, process_closure, mft_path, process_lifecycle, hash_corroboration, path_corroboration, behaviour_closure, full_outer_compare, explained_difference, select_plan, unmapped_techniques, deferred_plan, excluded_plan, baseline_upsert, technique_index, scope_merge, os_applicability, reusable_scans)}
 
 _CORROBORATION = """{view}, u as (select distinct v, a, r from base where v is not null), few as (select * from u qualify row_number() over (partition by v, a order by r) <= {n})
 select x.r as ref, string_agg(distinct y.r::varchar, ',' order by y.r::varchar) as refs from u x join few y on x.v = y.v and x.a <> y.a group by x.r"""
@@ -157,6 +169,11 @@ b as (select p.*, x.t as before from p asof left join a x on p.user_id = x.user_
 select event_id, user_id, us, least(us - before, after - us) as distance from c""",
     "process_tree": """with recursive r as (select event_id, 0::bigint as depth from events where event_type = 'error' union all select e.event_id, r.depth + 1 from events e join r on e.event_id > 0 and e.event_id // 7 = r.event_id)
 select event_id, min(depth) as depth from r group by event_id""",
+    "process_closure": f"""with recursive {EVENTS_SQL}, p as (select event_id, us, case when k % 3 = 0 then 'g' || event_id end as g, case when event_id % 2 = 0 then 'g' || (event_id // 5) end as pg, (user_id % 20) || '-' || k % 10 as n, 'c:\\' || event_type as i,
+ case when k % 7 <> 0 then (user_id % 20) || '-' || (k + 9) % 10 end as pn, case when k % 2 = 0 then 'c:\\click' else 'c:\\error' end as pi, event_type = 'error' and k < 7 as seed from ev),
+e as (select a.event_id as a, b.event_id as b from p a join p b on b.pg = a.g union select a.event_id, b.event_id from p a join p b on b.pn = a.n and b.pi = a.i and b.us - a.us between 0 and 86400000000),
+r as (select event_id as x, 0::bigint as depth from p where seed union select b, depth + 1 from r join e on a = x where depth < 4)
+select x as event_id, min(depth) as depth from r group by x""",
     "mft_path": """with recursive r as (select p_partkey as k, p_partkey // 5 as up, 'd' || p_partkey as path from part union all select k, up // 5, 'd' || up || '/' || path from r where up <> 0)
 select k as p_partkey, path from r where up = 0""",
     "process_lifecycle": f"""with {EVENTS_SQL}, g as (select 'g' || user_id || '-' || k as guid, 'g' || user_id || '-' || ((k + 1) % 100) as parent, event_type, us, event_id from ev),
