@@ -1,8 +1,8 @@
 """All queries of the engine's own operators, with their SQL."""
 
-from emberlane.plans import behaviour, campaign, delivery, extras, hives, joins, logs, ordered, prefetches, proposals, records, scans, streams, verdicts
+from emberlane.plans import behaviour, campaign, delivery, extras, hives, joins, logs, modeltext, objects, ordered, prefetches, proposals, records, scans, streams, verdicts
 
-_MODULES = [campaign, delivery, extras, hives, joins, logs, ordered, records, verdicts, proposals, streams, scans, logs, hives, prefetches, behaviour]
+_MODULES = [campaign, delivery, extras, hives, joins, logs, modeltext, objects, ordered, records, verdicts, proposals, streams, scans, logs, hives, prefetches, behaviour, objects, modeltext]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

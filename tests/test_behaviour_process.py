@@ -82,3 +82,19 @@ def test_places_in_groups_over_many_tasks(spark):
         groups.setdefault(r.g, []).append((-r.v, r.id))
     assert got == {i: (p, len(m)) for m in groups.values() for p, (_, i) in enumerate(sorted(m), 1)}
     assert ranking.numbered(rows.limit(0), group="g", order=["id"]).count() == 0
+
+
+def test_walk_of_odd_objects(spark):
+    import json
+
+    from emberlane.operators import openobject
+
+    values = ['{"a.b": {"": [[], {}, [null, "x"]]}, "A": 1e400}', "[]", "{}", "7", "null", '"t"', None, '{"a": ' * 30 + '"end"' + "}" * 30]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, t string").selectExpr("id", "try_parse_json(t) as v", "'x' as path")
+    got = {}
+    for r in openobject.walk(rows, key="id", value="v").collect():
+        got.setdefault(r.id, set()).add((r.path, r.kind, r.text))
+    assert got[1] == {("", "array", None)} and got[2] == {("", "object", None)} and got[3] == {("", "scalar", "7")} and got[4] == {("", "null", None)} and got[5] == {("", "scalar", "t")} and 6 not in got
+    assert (".".join(["a"] * 30), "scalar", "end") in got[7] and len(got[7]) == 31
+    assert 0 not in got or {p for p, _, _ in got[0]} >= {"a.b", "a.b.", "a.b.[2][1]"}
+    assert json.loads(values[2]) == {} and openobject.walk(rows.limit(0), key="id", value="v").count() == 0
