@@ -98,12 +98,18 @@ def corroboration(rows: DataFrame, *, value: str, artifact: str, ref: str, per_a
 
 
 def seeded_closure(rows: DataFrame, seeds: DataFrame, *, identity: str, parent: str, at: str, order: str, within: int, most: int) -> DataFrame:
-    """Rows of a seed's identity, or children of it, within some time of a seed; the first ``most`` by order."""
-    s = seeds.select(F.col(identity).alias("_s"), F.col(at).alias("_at")).distinct()
-    near = F.abs(F.col(at) - F.col("_at")) <= within
-    own = rows.join(s, (F.col(identity) == F.col("_s")) & near, "left_semi")
-    born = rows.join(s, (F.col(parent) == F.col("_s")) & near, "left_semi")
-    hit = own.unionByName(born).distinct()
+    """Rows of a seed's identity, or children of it, within some time of a seed; the first ``most`` by order.
+
+    A row meets the nearest seed of its identity and of its parent, each by one order of
+    both sides, so an identity with very many rows and seeds forms no pairs.
+    """
+    s = seeds.where(F.col(identity).isNotNull()).select(F.col(identity).alias("_key"), F.col(at).alias("_seed"))
+
+    def near(df: DataFrame, key: str, out: str) -> DataFrame:
+        met = nearest_anchor(df.withColumn("_key", F.col(key)), s, by=["_key"], point=at, anchor="_seed", tolerance=within)
+        return met.withColumn(out, F.col("distance").isNotNull() & F.col("_key").isNotNull()).drop("_key", "distance")
+
+    hit = near(near(rows, identity, "_own"), parent, "_born").where("_own or _born").select(*rows.columns)
     return hit.orderBy(order).limit(most)
 
 

@@ -156,3 +156,14 @@ def timeline_visible(entries: DataFrame, allowed: DataFrame) -> DataFrame:
     """Entries with refs that are all allowed. entries: entry, refs."""
     each = entries.select("entry", F.explode(F.array_distinct("refs")).alias("ref")).join(allowed.select("ref", F.lit(1).alias("_ok")).distinct(), "ref", "left")
     return each.groupBy("entry").agg((F.count("_ok") == F.count("*")).alias("_all")).where("_all").select("entry")
+
+
+def candidate_techniques(records: DataFrame, rules: DataFrame, *, key: str, scope: str) -> DataFrame:
+    """(key, techniques): techniques that a record may show, sorted: those of its family in its scope, or where it has no family those of the scope that have none.
+
+    records: key, scope, family; rules: scope, family, technique. The rules of a (scope,
+    family) are gathered first, so a record meets one row. Records that no rule fits are
+    left out.
+    """
+    known = rules.groupBy(F.col(scope).alias("_scope"), F.col("family").alias("_family")).agg(F.array_sort(F.collect_set("technique")).alias("techniques"))
+    return records.join(known, (F.col(scope) == F.col("_scope")) & F.col("family").eqNullSafe(F.col("_family"))).select(key, "techniques")

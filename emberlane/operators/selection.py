@@ -60,12 +60,14 @@ def forced_names(names: list[str], catalog: DataFrame) -> DataFrame:
 
     The names are a short list from a user.
     """
-    wanted = catalog.sparkSession.createDataFrame(list(enumerate(names)), "ordinal long, name string")
-    found = catalog.join(wanted, (F.col("artifact") == F.col("name")) | F.startswith("artifact", F.concat("name", F.lit(":")))).groupBy("artifact").agg(F.min("ordinal").alias("ordinal"), F.collect_set("name").alias("names"))
-    missing = set(names) - {n for r in found.select("names").distinct().limit(len(names) * len(names)).collect() for n in r.names}
+    named = lambda n: (F.col("artifact") == n) | F.col("artifact").startswith(f"{n}:")
+    ordinal = F.coalesce(*(F.when(named(n), F.lit(i).cast("bigint")) for i, n in enumerate(names)), F.lit(None).cast("bigint"))
+    found = catalog.select("artifact").distinct().withColumn("ordinal", ordinal).where("ordinal is not null")
+    met = catalog.agg(*(F.max(named(n)).alias(f"n{i}") for i, n in enumerate(names)), F.lit(0)).first()
+    missing = sorted({n for i, n in enumerate(names) if not met[i]})
     if missing:
-        raise ValueError(f"no such artifact: {', '.join(sorted(missing))}")
-    return found.select("artifact", "ordinal")
+        raise ValueError(f"no such artifact: {', '.join(missing)}")
+    return found
 
 
 def with_forced(chosen: DataFrame, forced: DataFrame, later: DataFrame, catalog: DataFrame) -> DataFrame:

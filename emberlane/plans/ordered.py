@@ -53,8 +53,10 @@ def uncovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     split = lambda t: F.filter(F.split(F.lower(t), "[^a-z]+"), lambda w: w != "")
     first = c.where("turn = 0").groupBy("conv_id").agg(F.min(F.col("text")).alias("source"))
-    words = c.where("turn > 0").join(first, "conv_id").select("conv_id", "turn", split(F.col("source")).alias("known"), F.posexplode(split(F.col("text"))).alias("place", "word"))
-    flagged = words.select("conv_id", "turn", "place", (~F.array_contains("known", F.col("word"))).alias("new"))
+    known = first.select("conv_id", F.explode(F.array_distinct(split(F.col("source")))).alias("word")).withColumn("known", F.lit(True))
+    words = c.where("turn > 0").join(first.select("conv_id"), "conv_id").select("conv_id", "turn", F.posexplode(split(F.col("text"))).alias("place", "word"))
+    # a word meets the source's words by equality; the source is not carried along with every word
+    flagged = words.join(known, ["conv_id", "word"], "left").select("conv_id", "turn", "place", F.col("known").isNull().alias("new"))
     return windows.islands(flagged, key=["conv_id", "turn"], place="place", flag="new", least=3).select("conv_id", "turn", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n")
 
 

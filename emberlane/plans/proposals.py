@@ -69,9 +69,7 @@ def candidate_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "event_type", "k")
     family = F.when(F.col("k") == 1, "f1").when(F.col("k") == 2, "f2")
     rules = e.select("event_type", "k").distinct().select("event_type", F.concat(F.lit("T"), F.col("k")).alias("technique"), family.alias("of"))
-    joined = e.withColumn("family", family).join(rules, "event_type")
-    may = joined.where(F.when(F.col("family").isNotNull(), F.col("of") == F.col("family")).otherwise(F.col("of").isNull()))
-    return may.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("technique")), ",").alias("techniques"))
+    return op.candidate_techniques(e.withColumn("family", family), rules.withColumnRenamed("of", "family"), key="event_id", scope="event_type").withColumn("techniques", F.array_join("techniques", ","))
 
 
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
