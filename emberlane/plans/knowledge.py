@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlane.operators import rules
 from emberlane.plans import records as plain_records
 from emberlane.plans.views import EVENTS_SQL, events, records
-from emberlane.sources import knowledge, reflayout
+from emberlane.sources import evidence, knowledge, reflayout
 from emberlane.tables import new_path
 
 
@@ -38,3 +38,22 @@ ORACLE = {
     "rules_of_a_document": plain_records.ORACLE["flag_histogram"],
     "ref_lookup": f"""with {EVENTS_SQL} select case when b.event_type = 'click' then 'SYSMON#' else 'EVTX-SEC#' end || b.event_id as ref, b.us, b.k from ev a join ev b on b.event_id = a.event_id - 1 where a.event_type = 'purchase' and a.k % 7 = 0""",
 }
+
+
+def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that are missing, repeated, of another artifact or of another number, planted by k."""
+    e, k = events(spark, sf_dir), F.col("k")
+    number = F.col("event_id") - F.when(k % 31 == 3, 1).otherwise(0)
+    ref = F.when(k % 41 != 0, F.concat(F.when(k % 37 == 1, "MFT").otherwise("SYSMON"), F.lit("#"), number))
+    rows = e.select(F.when(k % 43 == 5, "").otherwise(ref).alias("ref"), F.lit("evtx:Sysmon").alias("artifact"), (number + F.when(k % 29 == 2, 7).otherwise(0)).alias("record_num"))
+    return evidence.violations(rows)
+
+
+QUERIES["integrity_violations"] = integrity_violations
+ORACLE["integrity_violations"] = f"""
+with {EVENTS_SQL}, n as (select *, event_id - case when k % 31 = 3 then 1 else 0 end as num from ev),
+r as (select case when k % 43 = 5 then '' when k % 41 <> 0 then case when k % 37 = 1 then 'MFT#' else 'SYSMON#' end || num end as ref, num, num + case when k % 29 = 2 then 7 else 0 end as stated, k from n)
+select 'missing_ref' as "check", ref, count(*) as n from r where coalesce(ref, '') = '' group by ref
+union all select 'wrong_prefix', ref, count(*) from r where ref is not null and (ref = '' or ref like 'MFT#%') group by ref
+union all select 'wrong_number', ref, count(*) from r where ref <> '' and num <> stated group by ref
+union all select 'repeated_ref', ref, count(*) from r where ref is not null group by ref having count(*) > 1"""

@@ -47,8 +47,8 @@ def violations(records: DataFrame) -> DataFrame:
     rows = records.select("ref", "artifact", "record_num")
     tests = {
         "missing_ref": F.col("ref").isNull() | (F.col("ref") == ""),
-        "wrong_prefix": F.element_at(parts, 1) != prefix[F.col("artifact")],
-        "wrong_number": F.element_at(parts, 2).try_cast("bigint") != F.col("record_num"),
+        "wrong_prefix": F.get(parts, F.lit(0)) != prefix[F.col("artifact")],
+        "wrong_number": F.get(parts, F.lit(1)).try_cast("bigint") != F.col("record_num"),
     }
     each = rows.select("ref", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))).alias("check")).groupBy("check", "ref").agg(F.count("*").alias("n"))
     repeated = rows.where("ref is not null").groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_ref").alias("check"), "ref", "n")
