@@ -18,7 +18,7 @@ def _closed_after(text: Column, opening: str, closing: str) -> Column:
     The text is cut into runs and marks once, and the depth, whether a string is open, and
     the length so far are carried over them: time in proportion to the text.
     """
-    state = lambda depth, inside, size, end: F.struct(depth.cast("int").alias("depth"), inside.alias("inside"), size.cast("int").alias("size"), end.cast("int").alias("end"))
+    state = lambda depth, inside, size, end: F.named_struct(F.lit("depth"), depth.cast("int"), F.lit("inside"), inside, F.lit("size"), size.cast("int"), F.lit("end"), end.cast("int"))
 
     def step(at: Column, token: Column) -> Column:
         mark, escaped = F.right(token, F.lit(1)), (F.length(token) == 2) & token.startswith("\\")
@@ -53,7 +53,7 @@ def extract_object(text: Column) -> Column:
     """
     clean = F.regexp_replace(text, r"^\s++|(?<!\s)\s++$", "")
     body = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1))
-    answer = lambda v, problem: F.struct(v.alias("object"), problem.alias("problem"))
+    answer = lambda v, problem: F.named_struct(F.lit("object"), v, F.lit("problem"), problem)
     none = F.lit(None).cast("variant")
     other = lambda name: answer(none, F.lit(name))
     # a text that is an object from end to end is its own first object

@@ -40,7 +40,7 @@ def wall_clocks(text: Column) -> Column:
 
     rows = F.transform(
         F.arrays_zip(group(1).alias("y1"), group(2).alias("m1"), group(3).alias("d1"), group(4).alias("y2"), group(5).alias("m2"), group(6).alias("d2"), group(7).alias("tail")),
-        lambda r: F.struct(either(r["y1"], r["y2"]).alias("y"), either(r["m1"], r["m2"]).alias("m"), either(r["d1"], r["d2"]).alias("d"), r["tail"].alias("tail")),
+        lambda r: F.named_struct(F.lit("y"), either(r["y1"], r["y2"]), F.lit("m"), either(r["m1"], r["m2"]), F.lit("d"), either(r["d1"], r["d2"]), F.lit("tail"), r["tail"]),
     )
     return F.transform(F.flatten(F.transform(rows, moments)), lambda m: m * _MINUTE)
 
@@ -56,6 +56,6 @@ def covering(text: Column, start: Column, end: Column, *, offset_hours: int = OF
     def widened(clocks: Column) -> Column:
         low, high = F.array_min(clocks) - hours * 60 * _MINUTE - pad, F.array_max(clocks) - hours * 60 * _MINUTE + pad
         more = F.coalesce((low < start) | (high > end), F.lit(False))
-        return F.struct(F.when(more, F.least(start, low)).otherwise(start).alias("start"), F.when(more, F.greatest(end, high)).otherwise(end).alias("end"), F.when(more, clocks).alias("clocks"))
+        return F.named_struct(F.lit("start"), F.when(more, F.least(start, low)).otherwise(start), F.lit("end"), F.when(more, F.greatest(end, high)).otherwise(end), F.lit("clocks"), F.when(more, clocks))
 
     return let(wall_clocks(text), widened)

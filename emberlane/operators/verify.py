@@ -70,7 +70,7 @@ def statement_tokens(text: Column) -> Column:
     """
     clean = lambda t: F.regexp_replace(t, r"(?<![^A-Za-z0-9_$.\-)\]}])[^A-Za-z0-9_$.\-)\]}]++$", "")
     all_of = lambda t, pattern: F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), clean), lambda x: x != "")
-    kinds = lambda tokens, kind: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), normalize_path(t).alias("token"))).cast("array<struct<kind: string, token: string>>")
+    kinds = lambda tokens, kind: F.transform(tokens, lambda t: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("token"), normalize_path(t)))
     plain = F.regexp_replace(text, _TECHNIQUE, " ")
     pathless = F.regexp_replace(plain, _PATH, " ")
     files = F.filter(all_of(pathless, _FILE), lambda t: t.rlike(r"(?s)^.+\.(?=[0-9]*[A-Za-z])[A-Za-z0-9]{1,8}$"))
@@ -94,5 +94,5 @@ def ungrounded(tokens: Column, evidence: Column) -> Column:
     numbers = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(_WHOLE_NUMBER), F.lit(0)), number_key)
     folded = lambda t: F.replace(t.token, F.lit("."), F.lit(""))
     known = lambda t, e: F.when(t.kind == "number", F.array_contains(e.numbers, number_key(t.token))).otherwise(F.contains(e.text, t.token) | ((t.kind == "file") & (F.length(folded(t)) >= LEAST_COMPACT) & F.contains(e.compact, folded(t))))
-    read = let(normalize_path(evidence), lambda text: F.struct(text.alias("text"), F.replace(text, F.lit("."), F.lit("")).alias("compact"), numbers.alias("numbers")))
+    read = let(normalize_path(evidence), lambda text: F.named_struct(F.lit("text"), text, F.lit("compact"), F.replace(text, F.lit("."), F.lit("")), F.lit("numbers"), numbers))
     return let(read, lambda e: F.filter(tokens, lambda t: ~F.coalesce(known(t, e), F.lit(False))))
