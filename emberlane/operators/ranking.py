@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,24 +75,30 @@ def evenly_spaced(rows: DataFrame, *, group: str, order: list, n: int) -> DataFr
 def next_fit(rows: DataFrame, *, case: str, unit: str, order: str, size: str, capacity: int) -> DataFrame:
     """Adds ``chunk``: units in order fill chunks of a capacity. A unit stays whole unless it alone exceeds the capacity; then it is cut, in order, wherever its running size passes a multiple of the capacity.
 
-    Next-fit depends on every earlier choice, so a case is walked in order: one case at a
-    time, over totals of units only.
+    Next-fit depends on every earlier choice, so a case is walked in order, over totals of units
+    only. A task walks its cases one after the other as a stream, so nothing is held but the chunk
+    that is being filled.
     """
     sofar = F.sum(size).over(Window.partitionBy(case, unit).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(size).over(Window.partitionBy(case, unit))
     cut = rows.withColumn("_piece", F.when(whole > capacity, F.floor((sofar - 1) / capacity)).otherwise(0).cast("bigint"))
-    units = cut.groupBy(case, unit, "_piece").agg(F.min(order).alias("first"), F.sum(size).alias("total"))
-
-    def walk(frame):
-        frame = frame.sort_values("first")
-        chunk, used, out = 0, 0, []
-        for total in frame["total"]:
-            if used and used + total > capacity:
-                chunk, used = chunk + 1, 0
-            out.append(chunk)
-            used += total
-        return frame.assign(chunk=out)[[case, unit, "_piece", "chunk"]]
+    units = cut.groupBy(case, unit, "_piece").agg(F.min(order).alias("_first"), F.sum(size).alias("_total"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, used, last = 0, 0, ()
+        for batch in batches:
+            out = []
+            for of, total in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if last != (of,):
+                    chunk, used, last = 0, 0, (of,)
+                total = total or 0
+                if used and used + total > capacity:
+                    chunk, used = chunk + 1, 0
+                out.append(chunk)
+                used += total
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=[case, unit, "_piece", "chunk"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = units.groupBy(case).applyInPandas(walk, f"{case} {kinds[case]}, {unit} {kinds[unit]}, _piece long, chunk long")
+    in_order = units.repartition(case).sortWithinPartitions(case, F.asc_nulls_last("_first"), unit, "_piece").select(case, unit, "_piece", "_total")
+    placed = in_order.mapInArrow(walk, f"`{case}` {kinds[case]}, `{unit}` {kinds[unit]}, _piece long, chunk long")
     return cut.join(placed, [case, unit, "_piece"]).drop("_piece")

@@ -76,3 +76,15 @@ def test_units_beyond_a_chunk_are_cut(spark):
     rows = [(1, u, i, 1) for u, n in ((1, 3), (2, 12), (3, 2), (4, 5)) for i in range(u * 100, u * 100 + n)]
     got = ranking.next_fit(spark.createDataFrame(rows, "c long, u long, o long, s long"), case="c", unit="u", order="o", size="s", capacity=5).orderBy("o").collect()
     assert [r.chunk for r in got] == [0] * 3 + [1] * 5 + [2] * 5 + [3] * 2 + [3] * 2 + [4] * 5
+
+
+def test_many_small_cases_are_walked_as_a_stream(spark):
+    """Thousands of cases take no call each, a case's units may lie in several batches, and a size that is missing counts as nothing."""
+    from emberlane.operators import ranking
+
+    rows = [(c, u, u, 2) for c in range(3000) for u in range(5)] + [(9999, u, u, None if u == 1 else 2) for u in range(5)] + [(-1, u, u, 1) for u in range(25_000)]
+    out = ranking.next_fit(spark.createDataFrame(rows, "c long, u long, o long, s long"), case="c", unit="u", order="o", size="s", capacity=4)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.c, r.u): r.chunk for r in out.collect()}
+    assert len(got) == len(rows) and all(got[c, u] == u // 2 for c in range(3000) for u in range(5))
+    assert [got[9999, u] for u in range(5)] == [0, 0, 0, 1, 1] and all(got[-1, u] == u // 4 for u in range(25_000))
