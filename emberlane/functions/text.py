@@ -15,9 +15,9 @@ OS_PREFIXES = ["windows/", "program files/", "program files (x86)/", "programdat
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 
 
-def normalize_path(path: Column) -> Column:
-    """Slashes for backslashes, lower case, no trailing slash unless nothing else is left."""
-    slashed = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+def normalize_path(path: Column, *, lowered: bool = False) -> Column:
+    """Slashes for backslashes, lower case, no trailing slash unless nothing else is left; ``lowered`` tells that slashes and case are so already."""
+    slashed = path if lowered else F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     cut = F.regexp_replace(slashed, "(?<!/)/++$", "")
     return F.when(cut == "", slashed).otherwise(cut)
 

@@ -80,9 +80,14 @@ def statement_tokens(text: Column) -> Column:
 
 def number_key(token: Column) -> Column:
     """One text for equal whole numbers, decimal or hex (up to 16 digits)."""
-    low = F.lower(token)
-    digits = F.regexp_replace(F.regexp_replace(low, "^0x", ""), "^0+(?=.)", "")
-    return F.when(low.startswith("0x") & (F.length(digits) <= 16), F.conv(digits, 16, 10)).when(low.startswith("0x"), low).otherwise(digits)
+    return let(F.lower(token), _number_key)
+
+
+def _number_key(low: Column) -> Column:
+    """The same of a token in lower case."""
+    bare = lambda t: F.when(t.startswith("0"), F.regexp_replace(t, "^0+(?=.)", "")).otherwise(t)
+    of_hex = let(bare(F.substr(low, F.lit(3))), lambda d: F.when(F.length(d) <= 16, F.conv(d, 16, 10)).otherwise(low))
+    return F.when(low.startswith("0x"), of_hex).otherwise(bare(low))
 
 
 def ungrounded(tokens: Column, evidence: Column) -> Column:
@@ -91,8 +96,10 @@ def ungrounded(tokens: Column, evidence: Column) -> Column:
     A number has to stand in it as a number of equal value; a path or file name as part of
     it, a file name also with all dots left out.
     """
-    numbers = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(_WHOLE_NUMBER), F.lit(0)), number_key)
     folded = lambda t: F.replace(t.token, F.lit("."), F.lit(""))
     known = lambda t, e: F.when(t.kind == "number", F.array_contains(e.numbers, number_key(t.token))).otherwise(F.contains(e.text, t.token) | ((t.kind == "file") & (F.length(folded(t)) >= LEAST_COMPACT) & F.contains(e.compact, folded(t))))
-    read = let(normalize_path(evidence), lambda text: F.named_struct(F.lit("text"), text, F.lit("compact"), F.replace(text, F.lit("."), F.lit("")), F.lit("numbers"), numbers))
+    numbers = lambda low: F.transform(F.regexp_extract_all(low, F.lit(_WHOLE_NUMBER), F.lit(0)), _number_key)
+    held = lambda low, text: F.named_struct(F.lit("text"), text, F.lit("compact"), F.replace(text, F.lit("."), F.lit("")), F.lit("numbers"), numbers(low))
+    # the evidence may be long: it is lower-cased once, and slashes do not change its numbers
+    read = let(F.lower(F.replace(evidence, F.lit("\\"), F.lit("/"))), lambda low: let(normalize_path(low, lowered=True), lambda text: held(low, text)))
     return let(read, lambda e: F.filter(tokens, lambda t: ~F.coalesce(known(t, e), F.lit(False))))

@@ -102,3 +102,13 @@ def test_lists_and_long_addresses(spark):
     assert row(same("a", '["a","b"]'), same("c", '["a","b"]'), same("1", "[1.0, 2]"), same("C:/X", '["c:\\\\x"]', True), same("[a", "[a"), same('["a"]', '["a"]'), same("2024-01-01T00:00:00Z", '["x","2024-01-01T00:00:00.5Z"]')) == (True, False, True, True, True, True, True)
     hosts = {"0:0:0:0:0:0:0:1": None, "::1": None, "::": None, "0::0": None, "::ffff:127.0.0.1": None, "::FFFF:10.0.0.1": "10.0.0.1", "2001:0DB8:0:0:1:0:0:1": "2001:db8::1:0:0:1", "2001:db8::0:1": "2001:db8::1", "fe80::1%eth0": "fe80::1", "[2001:db8::5]": "2001:db8::5", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8", "::ffff:999.0.0.1": None, "1::2::3": None, "12345::1": None, "Host.": "host", "10.0.0.256": None, "": None, "a:b:c": None}
     assert row(*(network_key(F.lit(h)) for h in hosts)) == tuple(hosts.values())
+
+
+def test_a_finding_is_judged_before_its_claims_are_rows(spark):
+    """What holds for a whole finding is computed below the explosion of its claims, not once a claim."""
+    records = spark.createDataFrame([("A#1", "log", {"a": "1"})], "ref string, artifact string, data map<string,string>")
+    support = spark.createDataFrame([("T1", "log")], "technique string, artifact string")
+    rows = spark.range(10).selectExpr("cast(id as string) finding_id", "'T1' technique", "'saw 12345' statement", "array('A#1') refs", "array('A#1') input_refs", "array(struct('A#1' ref, 'a' field, '1' value)) claims", "cast(null as array<struct<predicate: string, subject_ref: string, subject: string, object_ref: string, object: string, tolerance: double>>) assertions")
+    plan = review.review(rows, records, support)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode(t#", 1) if "Generate explode(t#" in plan else (plan, "")
+    assert "regexp_extract_all" not in above and "regexp_extract_all" in below
