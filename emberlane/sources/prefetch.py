@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,21 @@ class Unreadable(Exception):
     """A file that is no record; the text says why."""
 
 
-def _code(lengths: np.ndarray) -> tuple[list[int], list[int]]:
-    """Symbol and length of a canonical code by the next 15 bits."""
+@lru_cache(maxsize=32)
+def _code(raw: bytes) -> tuple[memoryview, memoryview]:
+    """Symbol and length of a canonical code by the next 15 bits; the code is told by 512 lengths of four bits."""
+    halves = np.frombuffer(raw, np.uint8)
+    lengths = np.stack((halves & 15, halves >> 4), axis=1).reshape(-1)
     order = np.lexsort((np.arange(SYMBOLS), lengths))
     used = order[lengths[order] > 0]
     spans = 1 << (15 - lengths[used].astype(np.int64))
     if not len(used) or spans.sum() > 1 << 15:
         raise Unreadable("no prefix code")
-    symbols = np.full(1 << 15, -1)
+    symbols = np.full(1 << 15, -1, np.int16)
     symbols[:spans.sum()] = np.repeat(used, spans)
-    sizes = np.zeros(1 << 15, int)
+    sizes = np.zeros(1 << 15, np.int16)
     sizes[:spans.sum()] = np.repeat(lengths[used], spans)
-    return symbols.tolist(), sizes.tolist()
+    return memoryview(symbols), memoryview(sizes)
 
 
 def expand(data: bytes, size: int) -> bytes:
@@ -58,8 +62,7 @@ def expand(data: bytes, size: int) -> bytes:
     while len(out) < size:
         if at + 260 > len(data):
             raise Unreadable("cut in a code")
-        raw = np.frombuffer(data, np.uint8, 256, at)
-        symbols, sizes = _code(np.stack((raw & 15, raw >> 4), axis=1).reshape(-1))
+        symbols, sizes = _code(data[at:at + 256])
         at += 256
         bits = struct.unpack_from("<H", data, at)[0] << 16 | struct.unpack_from("<H", data, at + 2)[0]
         at, spare = at + 4, 16  # bits hold 32 - (16 - spare) at least; spare counts down to the next word
@@ -221,5 +224,15 @@ def resolved(rows: DataFrame, volume: str = "C:") -> DataFrame:
 
 
 def read_prefetch(spark: SparkSession, path: str, glob: str = "*.pf", *, volume: str = "C:") -> DataFrame:
+    """Records of the prefetch files below a folder. Spark's driver lists the files; for very many of them see read_packed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return resolved(scanned(files), volume)
+
+
+def read_packed(spark: SparkSession, path: str, *, volume: str = "C:") -> DataFrame:
+    """Records of prefetch files that were packed: a Parquet table of (path, content), a row a file.
+
+    Files of a few kilobytes cost far more to list, open and move than to read, so the files of
+    many machines are kept in tables; a task reads a stretch of one, and the driver lists only tables.
+    """
+    return resolved(scanned(spark.read.schema("path string, content binary").parquet(path)), volume)

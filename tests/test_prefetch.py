@@ -67,3 +67,18 @@ def test_paths_and_repeats(spark, tmp_path):
     assert set(rows) == {"AGAIN-00000009.pf", "TWO.EXE-00000002.pf", "LONG-00000003.pf"}
     assert rows["TWO.EXE-00000002.pf"].path is None and rows["TWO.EXE-00000002.pf"].loaded == [r"C:\x\TWO.EXE", r"C:\y\TWO.EXE"]
     assert rows["LONG-00000003.pf"].path == dev + rf"\x\{long}BC.EXE" and rows["AGAIN-00000009.pf"].hash_differs
+
+
+def test_packed_files_give_the_records_of_a_folder(spark, tmp_path):
+    """One table of many files, read without a file for each; the folder's files give the same records."""
+    files = {}
+    for k in range(40):
+        raw = prefetch_bytes(30, 212, f"P{k}.EXE", k, runs=k, times=[AT], loaded=[rf"\DEVICE\HARDDISKVOLUME1\x\P{k}.EXE"], volumes=[(r"\DEVICE\HARDDISKVOLUME1", k, 0, 0)])
+        files[f"P{k}.EXE-{k:08X}.pf"] = raw if k % 3 == 0 else compress(raw)[:None if k % 7 else 100]
+    (tmp_path / "folder").mkdir()
+    for name, raw in files.items():
+        (tmp_path / "folder" / name).write_bytes(raw)
+    spark.createDataFrame(list(files.items()), "path string, content binary").repartition(3).write.parquet(str(tmp_path / "packed"))
+    plain = lambda rows: sorted((r.file.rsplit("/", 1)[-1], r.name, r.path, r.run_count, r.compressed) for r in rows.collect())
+    got = plain(prefetch.read_packed(spark, str(tmp_path / "packed")))
+    assert got == plain(prefetch.read_prefetch(spark, str(tmp_path / "folder"))) and len(got) == 36 and got[1][2] == r"C:\x\P1.EXE"
