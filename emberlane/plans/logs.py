@@ -118,36 +118,42 @@ def _values(event_id: int, us: int, user_id: int, k: int, event_type: str) -> tu
     return kind, [*head, text(f"u{user_id}"), (0x0D, struct.pack("<i", k % 2)), (8, struct.pack("<I", event_id))]
 
 
-#: Events of a chunk; of the chunks one in ten is spoiled.
-EVENTS_PER_CHUNK, SPOILED = 100, 7
+#: Events of a chunk; of the chunks one in ten is spoiled; most chunks of a log, which bounds what a task holds.
+EVENTS_PER_CHUNK, SPOILED, MOST_CHUNKS = 100, 7, 128
 
 
 def _log_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunks: list[bytes] = []
-    writer, group = ChunkWriter(), None
+    writer, group, first = ChunkWriter(), None, None
 
-    def close() -> None:
-        if group is not None:
-            chunks.append(writer.bytes(spoiled=group % 10 == SPOILED))
+    def log() -> pa.RecordBatch:
+        """The chunks so far as one log; its last chunk is not counted by the head, and one that holds nothing follows."""
+        content = b"".join([file_head(len(chunks) - 1), *chunks, bytes(event_log.CHUNK)])
+        chunks.clear()
+        return pa.RecordBatch.from_arrays([pa.array([f"log-{first:012d}.evtx"]), pa.array([content], pa.binary())], names=["name", "content"])
 
     for batch in batches:
         for r in batch.to_pylist():
             if r["event_id"] // EVENTS_PER_CHUNK != group:
-                close()
+                if group is not None:
+                    chunks.append(writer.bytes(spoiled=group % 10 == SPOILED))
+                if len(chunks) >= MOST_CHUNKS:
+                    yield log()
                 writer, group = ChunkWriter(), r["event_id"] // EVENTS_PER_CHUNK
+                first = first if chunks else group
             kind, values = _values(**r)
             writer.record(r["event_id"], r["us"] * 10 + FILETIME_EPOCH, kind, TEMPLATES[kind], values)
-    close()
-    if chunks:  # the last chunk is not counted by the head, and one that holds nothing follows
-        yield pa.RecordBatch.from_arrays([pa.array([file_head(len(chunks) - 1), *chunks, bytes(event_log.CHUNK)], pa.binary())], names=["content"])
+    if group is not None:
+        chunks.append(writer.bytes(spoiled=group % 10 == SPOILED))
+        yield log()
 
 
 def write_event_logs(spark: SparkSession, sf_dir: str) -> str:
-    """Path of logs that hold each event once, one file a partition."""
+    """Path of logs that hold each event once, some a partition."""
     path = new_path(spark, "event-logs")
     rows = events(spark, sf_dir).select("event_id", "us", "user_id", "k", "event_type")
     placed = rows.repartitionByRange(F.floor(F.col("event_id") / EVENTS_PER_CHUNK)).sortWithinPartitions("event_id")
-    write_bytes(placed.mapInArrow(_log_files, "content binary"), path)
+    write_bytes(placed.mapInArrow(_log_files, "name string, content binary"), path, name="name")
     return path
 
 
