@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.tables import dealt
+
 
 def pick_violations(picks: DataFrame, records: DataFrame, candidates: DataFrame) -> DataFrame:
     """(ref, problem): picks of unknown records, without a reason, with a technique that the record cannot show, or with fields that it does not have.
 
     picks: ref, technique, reason, evidence_fields; records: ref, fields_present; candidates: ref, technique.
     """
-    may = candidates.select("ref", "technique", F.lit(True).alias("_may"))
-    joined = picks.join(records, "ref", "left").join(may, ["ref", "technique"], "left")
+    may = candidates.groupBy("ref").agg(F.collect_set("technique").alias("_may"))  # a record may show a few techniques
+    allowed = F.coalesce(F.array_contains("_may", F.col("technique")), F.lit(False))
+    joined = dealt(picks, picks.count(), "ref").join(records, "ref", "left").join(may, "ref", "left")
     problems = F.array_compact(
         F.array(
             F.when(F.col("fields_present").isNull(), "unknown_ref"),
             F.when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no_reason"),
-            F.when(F.col("technique").isNotNull() & F.col("_may").isNull(), "technique_not_supported"),
+            F.when(F.col("technique").isNotNull() & ~allowed, "technique_not_supported"),
             F.when(~F.coalesce(F.size("evidence_fields"), F.lit(0)).between(1, 4), "number_of_fields"),
             F.when(F.size(F.array_except("evidence_fields", F.coalesce("fields_present", F.array()))) > 0, "field_not_found"),
         )

@@ -28,3 +28,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     at = new_path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 250_000) -> DataFrame:
+    """df dealt out by the keys over so many tasks that each has about ``each`` of ``rows`` rows, and no fewer than Spark would take.
+
+    Tasks grow in number, not in size: Spark joins small parts to some megabytes of packed bytes,
+    which sorts and hash tables unpack to a hundred times that, but leaves a given number alone.
+    """
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)), *keys)

@@ -112,3 +112,17 @@ def test_a_finding_is_judged_before_its_claims_are_rows(spark):
     plan = review.review(rows, records, support)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate explode(t#", 1) if "Generate explode(t#" in plan else (plan, "")
     assert "regexp_extract_all" not in above and "regexp_extract_all" in below
+
+
+def test_tasks_of_picks_grow_in_number_and_a_candidate_twice_is_one(spark):
+    """Rows are dealt out by number, which Spark does not lessen; the same candidate twice does not double a problem."""
+    from emberlane.operators.proposals import pick_violations
+    from emberlane.tables import dealt
+
+    assert dealt(spark.range(1000), 1000, "id", each=10).rdd.getNumPartitions() == 100
+    picks = spark.createDataFrame([("A", 1, " ", ["x"]), ("A", 2, "r", ["x"])], "ref string, technique long, reason string, evidence_fields array<string>")
+    known = spark.createDataFrame([("A", ["x"])], "ref string, fields_present array<string>")
+    may = spark.createDataFrame([("A", 1), ("A", 1)], "ref string, technique long")
+    out = pick_violations(picks, known, may)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("A", "no_reason"), ("A", "technique_not_supported")]
