@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlane.operators import proposals as op
 from emberlane.plans.views import EVENTS_SQL, events, table
+from emberlane.tables import dealt
 
 HOUR = 3_600_000_000
 
@@ -59,8 +60,12 @@ def prompt_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between selected records, numbered at each anchor: parts of one order, of which an order has a few."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    pairs = items.alias("a").join(items.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("anchor"), F.col("b.l_partkey").alias("target")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    n = lines.count()
+    items = dealt(lines, n, "l_orderkey").distinct()
+    met = items.alias("a").join(items.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("anchor"), F.col("b.l_partkey").alias("target"))
+    # an order has a few parts, so pairs are a few times the lines; they are made unique and numbered where they are dealt to
+    pairs = dealt(met, 3 * n, "anchor").distinct()
     return pairs.withColumn("relation", F.concat(F.lit("R"), F.row_number().over(Window.partitionBy("anchor").orderBy("target"))))
 
 

@@ -88,3 +88,9 @@ def test_many_small_cases_are_walked_as_a_stream(spark):
     got = {(r.c, r.u): r.chunk for r in out.collect()}
     assert len(got) == len(rows) and all(got[c, u] == u // 2 for c in range(3000) for u in range(5))
     assert [got[9999, u] for u in range(5)] == [0, 0, 0, 1, 1] and all(got[-1, u] == u // 4 for u in range(25_000))
+
+
+def test_pairs_are_dealt_out_once_by_anchor(spark, sf_dir):
+    """Pairs are made unique and numbered where one given number of tasks has them."""
+    plan = registry.QUERIES["relation_catalog"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "").split("Window", 1)[1].split("SortMergeJoin", 1)[0].split("BroadcastHashJoin", 1)[0]
