@@ -43,17 +43,34 @@ def walk(rows: DataFrame, *, key: str, value: str) -> DataFrame:
     return out.select(F.col("k").alias(key), "path", "name", "kind", F.when(F.col("kind") == "scalar", text(F.col("v"))).alias("text"))
 
 
+def _blob_part() -> Column:
+    """Name and text of a member; numbers of array places are no names."""
+    in_array = F.col("path").endswith("]")
+    return F.concat_ws(" ", F.when(~in_array & (F.col("path") != ""), F.col("name")), F.col("text"))
+
+
+def _in_order(kept: Column, what: str) -> Column:
+    """A column of the members where ``kept`` holds, as a list in the order of their paths."""
+    return F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("path", what)))), lambda x: x[what])
+
+
 def strings(members: DataFrame, *, key: str) -> DataFrame:
     """(key, blob): names of members and texts of scalars in lower case, in the order of their paths; numbers of array places are no names."""
-    in_array = F.col("path").endswith("]")
-    parts = F.concat_ws(" ", F.when(~in_array & (F.col("path") != ""), F.col("name")), F.col("text"))
-    each = members.select(key, "path", parts.alias("p")).where("p <> ''")
-    return each.groupBy(key).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "p"))), lambda x: x.p), " ")).alias("blob"))
+    each = members.select(key, "path", _blob_part().alias("p")).where("p <> ''")
+    return each.groupBy(key).agg(F.lower(F.array_join(_in_order(F.lit(True), "p"), " ")).alias("blob"))
 
 
 def scalars(members: DataFrame, *, key: str) -> DataFrame:
     """(key, values): texts of the scalars at any depth, in the order of their paths."""
-    return members.where("kind = 'scalar'").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x.text).alias("values"))
+    return members.where("kind = 'scalar'").groupBy(key).agg(_in_order(F.lit(True), "text").alias("values"))
+
+
+def texts(members: DataFrame, *, key: str) -> DataFrame:
+    """(key, blob, values): strings and scalars of the keys that have both; the members are read and dealt out once."""
+    part = F.col("p") != ""
+    each = members.select(key, "path", "kind", "text", _blob_part().alias("p")).where(part | (F.col("kind") == "scalar"))
+    both = each.groupBy(key).agg(_in_order(part, "p").alias("_parts"), _in_order(F.col("kind") == "scalar", "text").alias("values"))
+    return both.where((F.size("_parts") > 0) & (F.size("values") > 0)).select(key, F.lower(F.array_join("_parts", " ")).alias("blob"), "values")
 
 
 def largest_number(members: DataFrame, names: list[str], *, key: str) -> DataFrame:

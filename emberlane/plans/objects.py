@@ -23,8 +23,7 @@ def open_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _members(spark, sf_dir)
-    return openobject.strings(m, key="event_id").join(openobject.scalars(m, key="event_id"), "event_id").withColumn("values", F.array_join("values", "|"))
+    return openobject.texts(_members(spark, sf_dir), key="event_id").withColumn("values", F.array_join("values", "|"))
 
 
 def nested_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,9 @@ def test_pairs_are_dealt_out_once_by_anchor(spark, sf_dir):
     """Pairs are made unique and numbered where one given number of tasks has them."""
     plan = registry.QUERIES["relation_catalog"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "").split("Window", 1)[1].split("SortMergeJoin", 1)[0].split("BroadcastHashJoin", 1)[0]
+
+
+def test_members_are_dealt_out_once_for_blob_and_values(spark, sf_dir):
+    """Strings and scalars come of one grouping; no join of two."""
+    plan = registry.QUERIES["record_blobs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
