@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Bytes of a range, unless the option ``split`` says otherwise.
 SPLIT = 64 << 20
+#: A partition takes short ranges together, up to so many bytes, or more where there would be more than so many partitions.
+TOGETHER, PARTITIONS = 2 << 20, 128
 Read = Callable[[int, int], bytes]
 
 
@@ -31,18 +33,39 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     start: int
     end: int
     size: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[ByteRange]
+
+
+def bundled(ranges: list[ByteRange], split: int) -> list[ByteRanges]:
+    """Neighbouring ranges together, as a task for each of many small files would cost more than reading them; none has more than ``split`` bytes."""
+    most = min(split, max(TOGETHER, sum(r.end - r.start for r in ranges) // PARTITIONS))
+    out: list[ByteRanges] = []
+    held = most
+    for r in ranges:
+        if held + r.end - r.start > most:
+            out.append(ByteRanges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += max(r.end - r.start, 1)
+    return out
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict, scan: Callable[[str, Read, int, int, int], Iterator[pa.RecordBatch]]):
         self.path, self.glob, self.split, self.scan = options["path"], options.get("glob", "*"), int(options.get("split", SPLIT)), scan
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         """Ranges of all files below the path, hidden ones left out. An empty file has one range, so that it can be told of."""
         store, at = store_of(self.path)
         info = store.get_file_info(at)
@@ -51,14 +74,13 @@ class RangeReader(DataSourceReader):
         for f in sorted(files, key=lambda f: f.path):
             if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and fnmatch.fnmatch(f.base_name, self.glob):
                 out += [ByteRange(f.path, a, min(a + self.split, f.size), f.size) for a in range(0, max(f.size, 1), self.split)]
-        return out or [ByteRange("", 0, 0, 0)]
+        return bundled(out, self.split) or [ByteRanges([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
-        with store.open_input_file(partition.path) as file:
-            yield from self.scan(partition.path, lambda at, n: file.read_at(max(0, min(n, partition.size - at)), at) if at < partition.size else b"", partition.size, partition.start, partition.end)
+        for r in partition.ranges:
+            with store.open_input_file(r.path) as file:
+                yield from self.scan(r.path, lambda at, n, r=r, file=file: file.read_at(max(0, min(n, r.size - at)), at) if at < r.size else b"", r.size, r.start, r.end)
 
 
 class RangeSource(DataSource):

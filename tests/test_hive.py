@@ -5,9 +5,11 @@ import os
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlane.plans.hives import Key, hive_bytes
 from emberlane.sources import hive
+from emberlane.sources.ranges import read_ranges
 
 
 def save(tmp_path, root, patch=None, name="h.dat"):
@@ -67,3 +69,37 @@ def test_fields_of_many_hives(spark, tmp_path):
 ])
 def test_values(kind, raw, value):
     assert json.loads(hive.value_json(kind, raw)) == value
+
+
+def test_values_beside_their_keys_and_apart(spark, tmp_path):
+    """What a bin tells by itself and what joins find, as where cells lie in several bins, are the same."""
+    root = Key("R")
+    for i in range(4):
+        root.key(f"k{i}").values += [("", 1, "text".encode("utf-16-le")), ("n", 4, struct.pack("<I", i)), ("large", 3, bytes([i]) * (hive.SEGMENT * 2 + i)), ("none", 3, b"")]
+    raw, place, rows = hive_bytes(root), 32, []
+    while place + 8 <= len(raw) - hive.HEAD:
+        n, = struct.unpack_from("<i", raw, hive.HEAD + place)
+        if n < 0:
+            rows.append(hive.cell_row("f", place, raw[hive.HEAD + place + 4:hive.HEAD + place - n]))
+        place += abs(n)
+    by_place = {r[1]: r for r in rows}
+    apart = spark.createDataFrame(rows, hive._COLUMNS)
+    beside = spark.createDataFrame([hive.with_neighbours(r, by_place) for r in rows], hive._COLUMNS)
+    assert apart.where("kind in ('nk', 'vk') and list is not null").count() == 12 and beside.where("kind in ('nk', 'vk') and list is not null").count() == 0
+    found = [sorted(map(tuple, hive.values_of(c, c.where("kind = 'nk'")).collect())) for c in (apart, beside)]
+    assert found[0] == found[1] and len(found[0]) == 16 and None not in [r[5] for r in found[0]]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for n in range(60):
+        save(tmp_path, Key("R"), name=f"{n}.dat")
+    raw = read_ranges(spark, hive.HiveSource, str(tmp_path))
+    assert raw.rdd.getNumPartitions() == 1 and raw.where("kind = 'root'").count() == 60
+    assert read_ranges(spark, hive.HiveSource, str(tmp_path), split=4096).rdd.getNumPartitions() == 120
+
+
+@pytest.mark.parametrize("path,inside,into", [
+    ("S\na", False, True), ("S", False, True), ("s\nA\nx1\ny", True, True), ("S\na\nb", False, False), ("S\nab", False, False), ("S\nq.r", True, True), ("S\nqxr", False, False), ("T", False, False), ("", False, False),
+])
+def test_scope_by_patterns(spark, path, inside, into):
+    assert tuple(spark.range(1).select(*hive.scope_tests(F.lit(path), ["S\\a/x*", "S/q.r"])).first()) == (inside, into)
