@@ -24,15 +24,16 @@ class Signal:
 
 def matches(records: DataFrame, signals: list[Signal], *, text: str = "text", flags: str = "flags") -> DataFrame:
     """Adds a row a signal that holds: signal, score, requirement (every, any or flags, the first that holds), tokens (those found)."""
-    found = []
+    found, low = [], F.col("_low")
     for s in signals:
-        low = F.lower(F.col(text))
         held = lambda words: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words))) if words else F.array().cast("array<string>")
         flagged = F.array_intersect(F.col(flags), F.array(*map(F.lit, s.flags))) if s.flags else F.array().cast("array<string>")
         why = F.when((F.size(held(s.every)) == len(s.every)) & F.lit(bool(s.every)), "every").when(F.size(held(s.any)) > 0, "any").when(F.size(flagged) > 0, "flags")
         tokens = F.when(why == "every", held(s.every)).when(why == "any", held(s.any)).otherwise(flagged)
         found.append(F.when(why.isNotNull(), F.struct(F.lit(s.name).alias("signal"), F.lit(s.score).alias("score"), why.alias("requirement"), tokens.alias("tokens"))))
-    return records.withColumn("_m", F.explode(F.array_compact(F.array(*found)))).select(*records.columns, "_m.*")
+    # the text is made lower once; a plain explode would let the optimizer test the size of the list at the scan, and so match twice
+    each = records.withColumn("_low", F.lower(F.col(text))).withColumn("_found", F.array_compact(F.array(*found)))
+    return each.withColumn("_m", F.explode_outer("_found")).where("_m is not null").select(*records.columns, "_m.*")
 
 
 def apply(records: DataFrame, signals: list[Signal], *, width: int, per_signal: int, same: int) -> DataFrame:
@@ -43,7 +44,7 @@ def apply(records: DataFrame, signals: list[Signal], *, width: int, per_signal:
     anchor, time and ref; of one repeat key the first ``same``, others only while seats remain.
     A case without a known time has no anchor, and its records are taken by score and ref.
     """
-    hit = written(matches(records, signals), "signals")  # read twice
+    hit = written(matches(records, signals).drop("text", "flags"), "signals")  # read twice
     anchors = densest_start(hit.where("at is not null"), key="case", at="at", signal="signal", width=width).select("case", F.col("start").alias("anchor"))
     near = hit.join(anchors, "case", "left").withColumn("_far", F.abs(F.col("at") - F.col("anchor")))
     order = [F.desc("score"), F.asc_nulls_last("_far"), F.asc_nulls_last("at"), "ref"]

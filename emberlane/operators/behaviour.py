@@ -126,7 +126,7 @@ def behaviour_scores(records: DataFrame, requests: dict[str, list[str]], *, fami
         signals = F.concat(F.transform(words, lambda i: F.concat(F.lit("keyword:"), F.get(text, i))), F.transform(flags, lambda f: F.concat(F.lit("flag:"), f)), F.when(met, F.array(F.lit("pivot_network"))).otherwise(F.array().cast("array<string>")), F.when(large, F.array(F.lit("large_outbound_transfer"))).otherwise(F.array().cast("array<string>")))
         kept = (F.size(words) > 0) | (F.size(flags) > 0) | met | F.coalesce(large, F.lit(False))
         out.append(F.when(kept, F.struct(F.lit(name).alias("family"), score.cast("bigint").alias("score"), signals.alias("signals"))))
-    return rows.select("ref", "us", F.explode(F.array_compact(F.array(*out))).alias("f")).select("f.family", "ref", "us", "f.score", "f.signals")
+    return rows.select("ref", "us", F.explode_outer(F.array_compact(F.array(*out))).alias("f")).where("f is not null").select("f.family", "ref", "us", "f.score", "f.signals")
 
 
 def pattern_counts(scores: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlane.functions import fields as fx
-from emberlane.operators import review, selection
+from emberlane.operators import attention, review, selection
 
 FINDING = "finding_id string, technique string, statement string, refs array<string>, input_refs array<string>, claims array<struct<ref: string, field: string, value: string>>, assertions array<struct<predicate: string, subject_ref: string, subject: string, object_ref: string, object: string, tolerance: double>>"
 
@@ -126,3 +126,12 @@ def test_tasks_of_picks_grow_in_number_and_a_candidate_twice_is_one(spark):
     out = pick_violations(picks, known, may)
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("A", "no_reason"), ("A", "technique_not_supported")]
+
+
+def test_signals_are_matched_once(spark):
+    """The optimizer must not test at the scan what the exploded list holds: that would match twice."""
+    records = spark.range(2).selectExpr("id", "concat('a ', id) as text", "array('x') as flags")
+    rows = attention.matches(records, [attention.Signal("s", every=("A", "1")), attention.Signal("f", flags=("x",))])
+    assert sorted((r.id, r.signal, r.tokens) for r in rows.collect()) == [(0, "f", ["x"]), (1, "f", ["x"]), (1, "s", ["A", "1"])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and plan.index("Filter") < plan.index("Generate")
