@@ -254,6 +254,14 @@ def tag(records: DataFrame, rules: tuple[Rule, ...] = RULES, window: tuple[str |
     return tagged.select(*records.columns, "flags") if "flags" not in records.columns else tagged.select(*records.columns)
 
 
+def exploded(tagged: DataFrame, *keep: str) -> DataFrame:
+    """A row a flag: the columns to keep, and ``flag``.
+
+    A plain explode lets the optimizer test the size of the list at the scan, and so compute the flags twice.
+    """
+    return tagged.select(*keep, F.explode_outer("flags").alias("flag")).where("flag is not null")
+
+
 def canonical(records: DataFrame) -> DataFrame:
     """Adds ``canonical``, the few fields that all artifacts share under one name; empty values become null."""
     f = lambda name: F.try_variant_get("fields", f"$.{name}", "string")

@@ -21,7 +21,7 @@ def _saved(spark: SparkSession, text: str, name: str) -> str:
 def rules_of_a_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags by rules that were written as a document and read back."""
     read = knowledge.load(spark, _saved(spark, knowledge.to_document(rules.RULES, "rules"), "rules"), "rules")
-    return rules.tag(records(spark, sf_dir), read).select("artifact", F.explode("flags").alias("flag")).groupBy("artifact", "flag").agg(F.count("*").alias("n"))
+    return rules.exploded(rules.tag(records(spark, sf_dir), read), "artifact").groupBy("artifact", "flag").agg(F.count("*").alias("n"))
 
 
 def ref_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlane.operators import attention, behaviour, rules
+from emberlane.plans import knowledge as knowledge_plans
 from emberlane.sources import knowledge, reflayout
 
 
@@ -44,3 +45,8 @@ def test_a_lookup_reads_one_file_of_many(spark, tmp_path):
     wanted = spark.createDataFrame([("MFT#2",), ("USN#3",), ("USN#2",), ("MFT#01",), (None,), ("MFT#2",)], "ref string")
     assert sorted((r.ref, r.v) for r in reflayout.lookup_all(spark, at, wanted, width=100).collect()) == [("MFT#2", 2), ("USN#3", 3)]
     assert spark.read.parquet(at).count() == 5003
+
+
+def test_flags_of_a_document_are_computed_once(spark, sf_dir):
+    plan = knowledge_plans.rules_of_a_document(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("log_cleared") == 1
