@@ -82,7 +82,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special: dict[str, int] = {}
@@ -90,15 +90,14 @@ class Codec:
             full = Tokenizer.from_file(path)
             self.vocab = full.get_vocab(with_added_tokens=False)
             self.special = {t.content: number for number, t in full.get_added_tokens_decoder().items()}
-            self.model = Tokenizer(full.model)
+            self.model = full.model
             self.vocab |= self.special
         else:
             ranks = load_ranks(path)
             self.vocab = {t.decode("latin-1").translate(_TO_CHARACTERS): r for t, r in ranks.items()}
-            self.model = Tokenizer(models.BPE(vocab=self.vocab, merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
+            self.model = models.BPE(vocab=self.vocab, merges=merges_of(ranks), ignore_merges=True, cache_capacity=0)
         if max(self.vocab.values()) > 0xFFFF:
             raise ValueError("ids beyond 16 bits")
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.table = [b""] * (max(self.vocab.values()) + 1)
         for shown, number in self.vocab.items():
@@ -109,21 +108,25 @@ class Codec:
         self.matches: dict[str, bytes] = {}  # packed ids of matches of the pattern inside pieces
 
     def _ids_of_matches(self, matches: list[str]) -> list[bytes]:
-        """Packed ids of distinct matches of the pattern, many to a call; the ids are dealt out by the bytes that they cover."""
+        """Packed ids of matches of the pattern, each by one call of the library's model, which needs no offsets, alignments or encodings."""
         out: list[bytes] = []
+        tokenize = self.model.tokenize
         for at in range(0, len(matches), 2048):
-            raw = list(map(str.encode, matches[at:at + 2048]))
-            shown = b"\xff".join(raw).decode("latin-1").translate(_JOINED)  # the byte 255 is in no text
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int64)
-            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, raw)))) + 2).tolist()
-            packed = ids.astype("<u2").tobytes()
-            out += [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+            # the byte 255 is in no text
+            shown = b"\xff".join(map(str.encode, matches[at:at + 2048])).decode("latin-1").translate(_JOINED).split("\n")
+            ids: list[int] = []
+            cuts = [0]
+            for m in shown:
+                ids += [t.id for t in tokenize(m)]
+                cuts.append(2 * len(ids))
+            packed = np.array(ids, "<u2").tobytes()
+            out += [packed[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
     def _learn(self, pieces: set[str]) -> None:
         """Makes pieces known. A piece stands for itself if it begins with a line feed, else for a space and itself."""
         known, older, matches = self.known, self.older, self.matches
-        words, parts = [], {}
+        words, parts, marked = [], {}, []
         for p in pieces:
             have = older.get(p)
             if have is not None:
@@ -131,10 +134,17 @@ class Codec:
             elif p.isalpha():  # a space and letters are one match
                 words.append(p)
             elif p[-1:] in _MARKS and p[:-1].isalpha():
-                parts[p] = own = (" " + p[:-1], p[-1])
+                marked.append(p)
             elif p == "\n" or p[-1:] not in SPACE_SET:  # white space at the end might go on after a cut
                 parts[p] = self.split(p if p[:1] == "\n" else " " + p)
         known.update(zip(words, self._ids_of_matches([" " + w for w in words])))
+        for p in marked:  # a word before a mark is known more often than not
+            word = p[:-1]
+            have = known.get(word) or older.get(word)
+            if have is not None and p[-1] in matches:
+                known[p] = have + matches[p[-1]]
+            else:
+                parts[p] = (" " + word, p[-1])
         fresh = {m for own in parts.values() for m in own if m not in matches}
         matches.update(zip(fresh, self._ids_of_matches(list(fresh))))
         for p, own in parts.items():
@@ -160,12 +170,12 @@ class Codec:
         find, known, out = self.known.get, self.known, []
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if _plain(t) else [] for t in texts]
         packed = [list(map(find, pieces)) for pieces in split]
-        missing = {p for pieces, found in zip(split, packed) if None in found for p in set(pieces) if p not in known}
+        missing = {p for pieces, found in zip(split, packed) if None in found for p, f in zip(pieces, found) if f is None}
         if missing:
             self._learn(missing)
         for t, pieces, found in zip(texts, split, packed):
             if None in found:
-                found = list(map(find, pieces))
+                found = [find(p) if f is None else f for p, f in zip(pieces, found)]  # no second look for the many that were known
             if not found or None in found:
                 own = self.split(t)
                 fresh = dict(zip(own, self._ids_of_matches(own)))

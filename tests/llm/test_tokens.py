@@ -159,3 +159,20 @@ def test_op7_odd_rows(odd_docs, no_docs):
     check_pieces(rows, dict(zip(docs, json_ids(list(docs.values()), 1))))
     assert packing.pack(odd_docs, JSON).where("doc_id = 3").count() == 2
     assert packing.pack(no_docs, JSON).count() == 0
+
+
+def test_a_known_word_before_a_mark_is_not_encoded_again():
+    import public_tokenizers
+
+    own, seen = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")), []
+    model = own.model
+
+    class Counted:
+        def tokenize(self, match):
+            seen.append(match)
+            return model.tokenize(match)
+
+    own.model = Counted()
+    first = own.encode(["say zorblatt a, b. end"])
+    assert own.encode(["say zorblatt, zorblatt. zorblatt"]) != first
+    assert sum(m.endswith("zorblatt") for m in seen) == 1
