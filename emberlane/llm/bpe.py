@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlane.llm.common import table
@@ -34,6 +35,10 @@ _GAPS = re.compile("\n\n(?:[" + "".join(map(chr, SPACE_POINTS)) + "]|\\Z)")
 CACHE_PIECES = 250_000
 #: Longer pieces and matches are not kept.
 LONGEST_PIECE = 1000
+#: So many words at least go to the library in one string.
+FEW = 16
+#: Characters of texts that are cut and looked up together.
+GROUP_CHARACTERS = 1 << 21
 
 
 def byte_characters() -> list[str]:
@@ -51,6 +56,7 @@ _TO_CHARACTERS = dict(enumerate(_CHARACTERS))
 _TO_BYTE = {ord(c): b for b, c in enumerate(_CHARACTERS)}
 _JOINED = _TO_CHARACTERS | {0xFF: "\n"}
 _MARKS = ".,;:!?"
+_SPACE = _TO_CHARACTERS[0x20]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +90,7 @@ class Codec:
         import regex
         from tokenizers import Tokenizer, models
 
+        self.ignores_merges = not path.endswith(".json")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special: dict[str, int] = {}
         if path.endswith(".json"):
@@ -91,6 +98,7 @@ class Codec:
             self.vocab = full.get_vocab(with_added_tokens=False)
             self.special = {t.content: number for number, t in full.get_added_tokens_decoder().items()}
             self.model = full.model
+            self.model._resize_cache(0)  # what is known is kept here
             self.vocab |= self.special
         else:
             ranks = load_ranks(path)
@@ -103,6 +111,9 @@ class Codec:
         for shown, number in self.vocab.items():
             self.table[number] = shown.encode() if shown in self.special else bytes(_TO_BYTE.get(ord(c), 63) for c in shown)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
+        # a merge over a space could only follow a letter if a token held both
+        self.joins = not any(_SPACE in shown[1:] and not self.table[i].decode("utf-8", "replace").isspace() for shown, i in self.vocab.items() if shown not in self.special)
+        self.marks = dict(zip(_MARKS, self._ids_of_matches(list(_MARKS))))
         self.known: dict[str, bytes] = {}  # packed ids of pieces
         self.older: dict[str, bytes] = {}  # what was known when the cache was last full
         self.matches: dict[str, bytes] = {}  # packed ids of matches of the pattern inside pieces
@@ -123,28 +134,47 @@ class Codec:
             out += [packed[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of letters, each with a space before it. Many go to the library in one string, as no merge crosses the end of such a word."""
+        if not self.joins or len(words) < FEW:
+            return self._ids_of_matches([" " + w for w in words])
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            shown = ("".join([" " + w for w in some])).encode().decode("latin-1").translate(_TO_CHARACTERS)
+            own = [_SPACE + w for w in shown.split(_SPACE)[1:]]
+            whole = [self.vocab.get(w) for w in own] if self.ignores_merges else [None] * len(own)
+            rest = [w for w, v in zip(own, whole) if v is None]
+            lines = ["".join(rest[i:i + 128]) for i in range(0, len(rest), 128)]
+            ids = np.array([t.id for line in lines for t in self.model.tokenize(line)], np.int64)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, rest))), side="right").tolist()
+            packed = ids.astype("<u2").tobytes()
+            cut = (packed[2 * i:2 * j] for i, j in zip([0, *cuts], cuts))
+            out += [next(cut) if v is None else v.to_bytes(2, "little") for v in whole] if self.ignores_merges else cut
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
         """Makes pieces known. A piece stands for itself if it begins with a line feed, else for a space and itself."""
         known, older, matches = self.known, self.older, self.matches
-        words, parts, marked = [], {}, []
-        for p in pieces:
-            have = older.get(p)
+        words, parts, marked = {}, {}, []
+        for p, have in zip(pieces, map(older.get, pieces)):
             if have is not None:
                 known[p] = have
             elif p.isalpha():  # a space and letters are one match
-                words.append(p)
-            elif p[-1:] in _MARKS and p[:-1].isalpha():
-                marked.append(p)
+                words[p] = None
+            elif p[-1:] in self.marks and (word := p[:-1]).isalpha():
+                marked.append((p, word))
+                if word not in known and word not in words:  # a word before a mark is known more often than not
+                    have = older.get(word)
+                    if have is None:
+                        words[word] = None
+                    else:
+                        known[word] = have
             elif p == "\n" or p[-1:] not in SPACE_SET:  # white space at the end might go on after a cut
                 parts[p] = self.split(p if p[:1] == "\n" else " " + p)
-        known.update(zip(words, self._ids_of_matches([" " + w for w in words])))
-        for p in marked:  # a word before a mark is known more often than not
-            word = p[:-1]
-            have = known.get(word) or older.get(word)
-            if have is not None and p[-1] in matches:
-                known[p] = have + matches[p[-1]]
-            else:
-                parts[p] = (" " + word, p[-1])
+        known.update(zip(words, self._ids_of_words(list(words))))
+        for p, word in marked:
+            known[p] = known[word] + self.marks[p[-1]]
         fresh = {m for own in parts.values() for m in own if m not in matches}
         matches.update(zip(fresh, self._ids_of_matches(list(fresh))))
         for p, own in parts.items():
@@ -152,40 +182,66 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers; the vocabulary's added tokens are read as such wherever they stand."""
-        out = []
-        for at in range(0, len(texts), 16):
-            parts = []  # (text, stretches of it between added tokens and those tokens)
-            for t in texts[at:at + 16]:
-                parts.append(self.at_special(t) if t and any(s in t for s in self.special) else [t or ""])
-            done = iter(self._encode([p for own in parts for p in own[::2]]))
-            for own in parts:
-                out.append(b"".join(self.special[p].to_bytes(2, "little") if k % 2 else next(done) for k, p in enumerate(own)))
-        return out
+        parts = []  # (stretches of a text between added tokens and those tokens)
+        for t in texts:
+            parts.append(self.at_special(t) if t and any(s in t for s in self.special) else [t or ""])
+        done = iter(self._encode([p for own in parts for p in own[::2]]))
+        return [b"".join(self.special[p].to_bytes(2, "little") if k % 2 else next(done) for k, p in enumerate(own)) for own in parts]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        places, held, size = [], [], 0
+        for i, t in enumerate(texts):
+            if _plain(t):
+                places.append(i)
+                held.append(" \n" + t.replace("\n", " \n"))
+                size += len(t)
+                if size > GROUP_CHARACTERS:
+                    self._encode_pieces(places, held, out)
+                    places, held, size = [], [], 0
+        if held:
+            self._encode_pieces(places, held, out)
+        for i, done in enumerate(out):
+            if done is None:
+                matches = self.split(texts[i])
+                fresh = dict.fromkeys(matches)
+                fresh = dict(zip(fresh, self._ids_of_matches(list(fresh))))
+                out[i] = b"".join([fresh[m] for m in matches])
+        return out
+
+    def _encode_pieces(self, places: list[int], held: list[str], out: list[bytes | None]) -> None:
+        """Sets the ids of texts that are cut before spaces (a line feed with a space before it stands before each); leaves None where a piece cannot be encoded by itself.
+
+        Arrow cuts the texts and numbers their distinct pieces, so that only these become Python strings and are looked up.
+        """
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
         if len(self.matches) > CACHE_PIECES:
             self.matches = {}
-        find, known, out = self.known.get, self.known, []
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if _plain(t) else [] for t in texts]
-        packed = [list(map(find, pieces)) for pieces in split]
-        missing = {p for pieces, found in zip(split, packed) if None in found for p, f in zip(pieces, found) if f is None}
+        pieces = pc.split_pattern(pa.array(["".join(held)], pa.large_string()), " ").values[1:].dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        found = list(map(self.known.get, distinct))
+        missing = [p for p, f in zip(distinct, found) if f is None]
         if missing:
             self._learn(missing)
-        for t, pieces, found in zip(texts, split, packed):
-            if None in found:
-                found = [find(p) if f is None else f for p, f in zip(pieces, found)]  # no second look for the many that were known
-            if not found or None in found:
-                own = self.split(t)
-                fresh = dict(zip(own, self._ids_of_matches(own)))
-                out.append(b"".join([fresh[m] for m in own]))
-            else:
-                out.append(b"".join(found)[2:])  # the line feed put before a text is one id
-        for p in missing:  # a very long piece would outweigh many others
-            if len(p) > LONGEST_PIECE:
-                known.pop(p, None)
-        return out
+            find = self.known.get
+            found = [find(p) if f is None else f for p, f in zip(distinct, found)]
+            for p in missing:  # a very long piece would outweigh many others
+                if len(p) > LONGEST_PIECE:
+                    self.known.pop(p, None)
+                    self.known.pop(p[:-1], None)
+        ids = pa.array(found, pa.large_binary())
+        cuts = np.cumsum([0, *(h.count(" ") for h in held)])
+        whole = np.zeros(len(held), bool)
+        if ids.null_count:
+            unknown = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)[pieces.indices.to_numpy()])
+            whole[np.searchsorted(cuts, unknown, side="right") - 1] = True
+        laid = ids.take(pieces.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[cuts].tolist()
+        data = memoryview(laid.buffers()[2])
+        for i, first, last, odd in zip(places, ends, ends[1:], whole.tolist()):
+            if not odd:
+                out[i] = bytes(data[first + 2:last])  # the line feed put before a text is one id
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one character of ``text`` that each id touches; ids may share a split character."""

@@ -176,3 +176,25 @@ def test_a_known_word_before_a_mark_is_not_encoded_again():
     first = own.encode(["say zorblatt a, b. end"])
     assert own.encode(["say zorblatt, zorblatt. zorblatt"]) != first
     assert sum(m.endswith("zorblatt") for m in seen) == 1
+
+
+@pytest.mark.parametrize("name", [JSON, RANKS])
+def test_unknown_words_share_calls_of_the_library(name, encoding):
+    """A call a word cost op4 and op7 more than their budget."""
+    rnd = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz\u00e0\u00e9\u0120\u0430\u6f22"
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(5000)] + ["\u00e0", "\u0120", "\u0120a", "the", "x" * 2500]
+    texts = [" ".join(rnd.choices(words, k=300)) + rnd.choice(["", ".", " ", "\n", "!\nend"]) for _ in range(60)] + ["qku wrt\t"]
+    own = bpe.Codec(public_tokenizers.path(name))
+    model, calls = own.model, []
+
+    class Counted:
+        def tokenize(self, match):
+            calls.append(match)
+            return model.tokenize(match)
+
+    own.model = Counted()
+    got = [bpe.ids_of(p).tolist() for p in own.encode(texts)]
+    assert got == ([encoding.encode_ordinary(t) for t in texts] if name == RANKS else [ids[:-1] for ids in json_ids(texts, 0)])
+    assert len(calls) < len(set(" ".join(texts).split())) / 3
+    assert max(map(len, own.known)) <= bpe.LONGEST_PIECE
