@@ -38,15 +38,26 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with an id, equal ones of an id and text folded, with ``_key``: doc_id, or for the rows of an id that has several texts a number of each row beyond all ids."""
-    texts = docs.groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("a"), F.max(F.sha2("text", 256)).alias("b"), F.count_if(F.col("text").isNull()).alias("nulls"), F.max("doc_id").alias("most"))
+    """Rows with an id, equal ones of an id and text folded, with ``_key``: doc_id, or for the rows of an id that has several texts a number of each row beyond all ids.
+
+    Only rows of ids that occur more than once are dealt out by id; where there are none, no text moves.
+    """
+    again = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), name="ids-again")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    once = docs.join(again, "doc_id", "left_anti").withColumn("_key", F.col("doc_id"))
+    return materialize(once.unionByName(_told_apart(docs.join(again, "doc_id", "left_semi"), docs.agg(F.max("doc_id")).first()[0])), name="keyed")
+
+
+def _told_apart(docs: DataFrame, most: int) -> DataFrame:
+    """The rows of ids that occur more than once, folded and with ``_key``; ``most`` is the largest of all ids."""
+    texts = docs.groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("a"), F.max(F.sha2("text", 256)).alias("b"), F.count_if(F.col("text").isNull()).alias("nulls"))
     several = materialize(texts.where("a <> b or (nulls > 0 and a is not null)").select("doc_id"), name="several-texts")
     if several.isEmpty():
         return docs.dropDuplicates(["doc_id"]).withColumn("_key", F.col("doc_id"))
-    most = docs.agg(F.max("doc_id")).first()[0]
     one = docs.join(several, "doc_id", "left_anti").dropDuplicates(["doc_id"]).withColumn("_key", F.col("doc_id"))
     more = docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_key", F.monotonically_increasing_id() + most + 1)
-    return materialize(one.unionByName(more.select(one.columns)), name="keyed")
+    return one.unionByName(more.select(one.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +76,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    return packing.digests(packing.pack(docs, VOCABULARY))
+    return packing.packed_digests(docs, VOCABULARY)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_poor), ("near-dedup", drop_near_duplicates), ("packing", pack)]

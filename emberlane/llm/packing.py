@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlane.llm import bpe
-from emberlane.llm.common import table
+from emberlane.llm.common import slices, table
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -78,9 +78,8 @@ def _filling(size: int, least: int = 8) -> list[int]:
     return out + [size] * (size > 0)
 
 
-def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, group_pieces: int = 256, fill_every: int = 10) -> DataFrame:
-    """One row a piece: key, start, length, ids (packed as 16-bit integers), doc_tokens, sequence_id, offset."""
-    kind = df.schema[key].dataType.simpleString()
+def packer(vocabulary: str, *, capacity: int = 2048, end_id: int = 1, group_pieces: int = 256, fill_every: int = 10) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does to pack batches of (key, text)."""
     tail = np.array([end_id], "<u2").tobytes()
     names = ["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -117,8 +116,7 @@ def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "te
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, 1, rows=1024, size=1 << 21):
                 for k, packed in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist())):
                     packed += tail
                     total = len(packed) // 2
@@ -136,24 +134,38 @@ def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "te
         if rows:
             yield flush()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return run
+
+
+def _schema(df: DataFrame, key: str, ids: str) -> str:
+    return f"`{key}` {df.schema[key].dataType.simpleString()}, start bigint, length bigint, {ids}, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def pack(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """One row a piece: key, start, length, ids (packed as 16-bit integers), doc_tokens, sequence_id, offset. Options are those of ``packer``."""
+    return df.select(key, text).mapInArrow(packer(vocabulary, **options), _schema(df, key, "ids binary"))
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        crcs = [zlib.crc32(bpe.ids_of(x).astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
+        columns = [*batch.columns[:3], pa.array(crcs, pa.int64()), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "l", "c", "d", "q", "o"])
 
 
 def digests(pieces: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """The pieces with the crc32 of their ids in place of the ids."""
-    kind = pieces.schema[key].dataType.simpleString()
+    return pieces.mapInArrow(_digested, _schema(pieces, key, "ids_crc32 bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crcs = [zlib.crc32(bpe.ids_of(x).astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            columns = [*batch.columns[:3], pa.array(crcs, pa.int64()), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "l", "c", "d", "q", "o"])
 
-    return pieces.mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+def packed_digests(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """``digests`` of ``pack`` in one pass: with two, each core would have two Python workers, which stay and take turns with both passes."""
+    run = packer(vocabulary, **options)
+    return df.select(key, text).mapInArrow(lambda batches: _digested(run(batches)), _schema(df, key, "ids_crc32 bigint"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
+    return packed_digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import drop_table, join_counted, materialize, shuffle_width
+from emberlane.llm.common import drop_table, join_counted, materialize, shuffle_width, slices
 from emberlane.llm.components import components
 
 #: What a piece of work returns: rows (a, b, n).
@@ -108,8 +108,8 @@ def per_run(rows: DataFrame, keys: list[str], work: Callable[[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_keys, held, out = len(keys), None, []
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
+        for part in (part for batch in batches for part in slices(batch, n_keys + 2, rows=2048, size=4 << 20)):  # what is held of a batch is copied with the part after it
+            now = pa.Table.from_batches([part])
             if held is not None:
                 now = pa.concat_tables([held, now]).combine_chunks()
             codes = [now.column(i).to_numpy() for i in range(n_keys)]

@@ -215,3 +215,21 @@ def test_pipeline_stages_against_their_operators(spark, sf_dir):
     field = quality.fit(quality.labelled_rows(docs, labels))
     good = {r.doc_id for r in quality.measure(docs, field).where("kept").collect()}
     assert {r.doc_id for r in corpus_pipeline.drop_poor(spark, docs, sf_dir).collect()} == good
+
+
+def test_pipeline_packs_in_one_python_pass_and_moves_no_text_of_single_ids(spark):
+    """Two passes kept four Python workers in each executor, and every text was dealt out by id three times before near-dedup."""
+    import corpus_pipeline
+
+    from emberlane.llm import packing
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(1, "a b"), (2, "b"), (3, None)], "doc_id long, text string")
+    assert "Exchange" not in plan(corpus_pipeline._keyed(docs))
+    packed = corpus_pipeline.pack(spark, docs, "")
+    assert plan(packed).count("MapInArrow") == 1
+    assert sorted(packed.drop("sequence_id", "offset").collect()) == sorted(packing.digests(packing.pack(docs, corpus_pipeline.VOCABULARY)).drop("sequence_id", "offset").collect())
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None), (2, "b"), (3, "c"), (4, None), (4, None)], "doc_id long, text string")
+    rows = corpus_pipeline._keyed(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in rows) == [(1, "a"), (2, ""), (2, "b"), (3, "c"), (4, "")]
+    assert all(r["_key"] == r.doc_id if r.doc_id != 2 else r["_key"] > 4 for r in rows) and len({r["_key"] for r in rows}) == 5
