@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlane.llm.common import table
+from emberlane.llm.common import slices, table
 
 #: Code points that the splitting pattern takes for white space (fixed values).
 SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -280,7 +280,7 @@ def encode(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1, rows=1024, size=1 << 21)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             packed = own.encode(texts)
             columns = [batch.column(0), pa.array(packed, pa.binary())]
@@ -323,8 +323,8 @@ def round_trip(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str
         decimal = [b"%d" % i for i in range(len(own.table))]
         for batch in batches:
             counts, digests, decoded = [], [], []
-            for start in range(0, batch.num_rows, 64):
-                for packed in own.encode(batch.column(1).slice(start, 64).to_pylist()):
+            for part in slices(batch, 1, rows=1024, size=1 << 21):
+                for packed in own.encode(part.column(1).to_pylist()):
                     ids = ids_of(packed).tolist()
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
