@@ -198,3 +198,51 @@ def test_unknown_words_share_calls_of_the_library(name, encoding):
     assert got == ([encoding.encode_ordinary(t) for t in texts] if name == RANKS else [ids[:-1] for ids in json_ids(texts, 0)])
     assert len(calls) < len(set(" ".join(texts).split())) / 3
     assert max(map(len, own.known)) <= bpe.LONGEST_PIECE
+
+
+def test_words_beside_signs_and_line_feeds_share_calls_too():
+    """A split by the pattern for each such piece cost op4 more than its budget."""
+    rnd = random.Random(13)
+    words = ["".join(rnd.choices("abcdeé", k=rnd.randint(3, 9))) for _ in range(3000)]
+    texts = ["\n".join(rnd.choice(words) + rnd.choice(["", "$$$", ".%", ",##", "'\""]) + f" {rnd.choice(words)}{'&' * rnd.choice([1, 2])}" for _ in range(100)) for _ in range(40)]
+    texts += ["long " + "&" * 40 + " long" + "&" * 40]
+    own = bpe.Codec(public_tokenizers.path(JSON))
+    model, split, calls, splits = own.model, own.split, [], []
+
+    class Counted:
+        def tokenize(self, match):
+            calls.append(match)
+            return model.tokenize(match)
+
+    def counted(piece):
+        splits.append(piece)
+        return split(piece)
+
+    own.model, own.split = Counted(), counted
+    assert [bpe.ids_of(p).tolist() for p in own.encode(texts)] == [ids[:-1] for ids in json_ids(texts, 0)]
+    assert len(calls) < 200
+    assert len(splits) < 20
+
+
+@pytest.mark.parametrize("name", [JSON, RANKS])
+def test_words_that_many_groups_hold_stay_known(name, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 60)
+    monkeypatch.setattr(bpe, "CACHE_OTHERS", 5)
+    rnd = random.Random(17)
+    own, groups = bpe.Codec(public_tokenizers.path(name)), []
+    model = own.model
+    for _ in range(40):
+        once = ["".join(rnd.choices("abcdefgh", k=8)) for _ in range(20)]
+        groups.append(["so often " + " ".join(w + rnd.choice(["", "!", "!?", "9"]) for w in once) + ", often."])
+    seen = []
+
+    class Counted:
+        def tokenize(self, match):
+            seen.append(match)
+            return model.tokenize(match)
+
+    own.model = Counted()
+    got = [bpe.ids_of(own.encode(g)[0]).tolist() for g in groups]
+    texts = [g[0] for g in groups]
+    assert got == ([encoding.encode_ordinary(t) for t in texts] if name == RANKS else [ids[:-1] for ids in json_ids(texts, 0)])
+    assert sum(m.count("often") for m in seen) <= 2 and len(own.known) <= 60 + 21
