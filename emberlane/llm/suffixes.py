@@ -14,13 +14,18 @@ Documents lie in packs of some MB, in a table bucketed by pack, so answers join
 without a shuffle of it. What a pack sends is made unique there first: a passage that all
 documents share is one row of each pack. A q-gram of more than HOT runs, whatever
 follows it, would make one large bucket: its suffixes are dealt out one by one instead.
+
+Packs tell each other hashes of 128 bits of these runs before any text. A run that a smaller
+document has whole is repeated whole, and one whose bucket holds no other run is not at
+all; so only different runs of one bucket are sent as text, each by the pack of its
+smallest document. The text on the way does not grow with the copies of a passage.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +122,54 @@ def runs_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _hashes(text: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of each text of ``size`` bytes (8 at least) from ``first``."""
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    word = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        a, b = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for at in range(0, int(size.max(initial=0)), 8):
+            x = word[first + np.minimum(at, size - 8)]  # the last bytes again and again in shorter texts
+            a = (a ^ x) * np.uint64(0xD6E8FEB86659FD93)
+            a ^= a >> np.uint64(29)
+            b = (b + x) * np.uint64(0xFF51AFD7ED558CCD)
+            b ^= b >> np.uint64(33)
+        a, b = a * np.uint64(0xC4CEB9FE1A85EC53), b * np.uint64(0x7FB5D329728EA185)
+    return a ^ (a >> np.uint64(32)), b ^ (b >> np.uint64(31))
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Marks of the rows of sorted columns that differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+@dataclass
+class Entries:
+    """Distinct texts of a pack, in order of their slots: as rows (bucket, fingerprint, text, least doc), or by column."""
+
+    held: bytes
+    bucket: np.ndarray
+    low: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    digest: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bucket)
+
+    def __getitem__(self, i: int | slice):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        at = int(self.first[i])
+        return int(self.bucket[i]), int(self.low[i]), self.held[at:at + int(self.size[i])], int(self.doc[i])
+
+    def texts(self, which: np.ndarray) -> bytes:
+        return b"".join(self.held[a:a + n] for a, n in zip(self.first[which].tolist(), self.size[which].tolist()))
+
+
 class Pack:
     """A pack with its runs; ``slots`` are the distinct (bucket << 32 | fingerprint) of them."""
 
@@ -135,32 +188,29 @@ class Pack:
         np.maximum.at(high, self.slot, self.doc)
         return np.log2(np.maximum(n, 1)).astype(np.uint8) | np.where(low < high, 128, 0).astype(np.uint8)
 
-    def shared(self, codes: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    def shared(self, codes: np.ndarray) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct texts of runs in slots of code 1, and of single suffixes in those of code 2.
 
-        Returns entries (bucket, fingerprint, text, least doc) in order, and first, count and entry of each run or suffix.
+        Returns entries in order of their slots, and first, count and entry of each run or suffix.
         """
         code = codes[self.slot]
-        of: dict[bytes, int] = {}
-        entries: list[list] = []
-        first, count, entry = [], [], []
-        who = np.flatnonzero(code)
-        for i, c, a, n, doc, slot in zip(who.tolist(), code[who].tolist(), self.first[who].tolist(), self.count[who].tolist(), self.doc[who].tolist(), self.slots[self.slot[who]].tolist()):
-            for at, size in ((a, n),) if c == 1 else ((b, 1) for b in range(a, a + n)):
-                text = self.text[at:at + size + LENGTH - 1]
-                e = of.setdefault(text if c == 1 else (text,), len(entries))
-                if e == len(entries):
-                    h = slot if c == 1 else (zlib.crc32(text) % self.buckets) << 32 | zlib.adler32(text)
-                    entries.append([h >> 32, h & 0xFFFFFFFF, text, doc])
-                elif doc < entries[e][3]:
-                    entries[e][3] = doc
-                first.append(at)
-                count.append(size)
-                entry.append(e)
-        order = sorted(range(len(entries)), key=lambda e: entries[e][:3])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return [entries[e] for e in order], np.array(first, np.int64), np.array(count, np.int64), place[np.array(entry, np.int64)] if entry else np.zeros(0, np.int64)
+        one, two = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        n = self.count[two]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.concatenate((self.first[one], np.repeat(self.first[two], n) + nth)).astype(np.int64)
+        count = np.concatenate((self.count[one], np.ones(len(nth), np.int64))).astype(np.int64)
+        doc = np.concatenate((self.doc[one], np.repeat(self.doc[two], n)))
+        a, b = _hashes(self.text, first, count + LENGTH - 1)
+        slot = (a % np.uint64(self.buckets) << np.uint64(32)) | (b & np.uint64(0xFFFFFFFF))
+        slot[:len(one)] = self.slots[self.slot[one]]
+        order = np.lexsort((b, a, slot))
+        begins = _begins(slot[order], a[order], b[order])
+        at, entry = np.flatnonzero(begins), np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(begins) - 1
+        least = np.minimum.reduceat(doc[order], at) if len(at) else doc
+        own = order[at]
+        entries = Entries(self.text, (slot[own] >> np.uint64(32)).astype(np.int64), slot[own].astype("<u4"), first[own], count[own] + LENGTH - 1, least, np.stack((a[own], b[own]), axis=1))
+        return entries, first, count, entry
 
 
 def _cut(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -201,15 +251,42 @@ def _meet(rows: pa.Table) -> pa.Table:
     return pa.table([rows["pack"], rows["bucket"], pa.array(answers, pa.binary())], names=["pack", "bucket", "answer"])
 
 
-def _send(buckets: int):
+def _tell(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, docs, bounds, text, codes in zip(*(c for c in batch.columns)):
-                entries, _, _, _ = Pack(docs.as_py(), bounds.as_py(), text.as_py(), buckets).shared(_answered(codes.as_py(), "u1"))
-                rows = []
-                for b, i, j in _cut(np.array([e[0] for e in entries], np.int64)):
-                    part = entries[i:j]
-                    rows.append((b, pack.as_py(), np.array([e[1] for e in part], "<u4").tobytes(), np.array([e[3] for e in part], "<i8").tobytes(), np.array([len(e[2]) for e in part], "<u4").tobytes(), b"".join(e[2] for e in part)))
+                own, _, _, _ = Pack(docs.as_py(), bounds.as_py(), text.as_py(), buckets).shared(_answered(codes.as_py(), "u1"))
+                rows = [(b, pack.as_py(), own.low[i:j].tobytes(), own.digest[i:j].tobytes(), own.doc[i:j].tobytes()) for b, i, j in _cut(own.bucket)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=["bucket", "pack", "low", "digests", "docs"])
+
+    return run
+
+
+def _sort_out(rows: pa.Table) -> pa.Table:
+    """For each entry of one bucket: 0 if a smaller document has it whole, 1 if its slot has no other text, 2 if it has to be sent."""
+    low = np.frombuffer(b"".join(rows["low"].to_pylist()), "<u4")
+    a, b = np.frombuffer(b"".join(rows["digests"].to_pylist()), "<u8").reshape(-1, 2).T
+    docs = np.frombuffer(b"".join(rows["docs"].to_pylist()), "<i8")
+    order = np.lexsort((b, a, low))
+    text, slot = _begins(low[order], a[order], b[order]), _begins(low[order])
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(text))[np.cumsum(text) - 1]
+    several = np.add.reduceat(text.astype(np.int64), np.flatnonzero(slot))[np.cumsum(slot) - 1] > 1
+    answer = np.empty(len(order), np.uint8)
+    answer[order] = np.where(docs[order] > least, 0, np.where(several, 2, 1))
+    ends = np.cumsum([len(x) // 4 for x in rows["low"].to_pylist()]).tolist()
+    return pa.table([rows["pack"], rows["bucket"], pa.array([answer[i:j].tobytes() for i, j in zip([0, *ends], ends)], pa.binary())], names=["pack", "bucket", "answer"])
+
+
+def _send(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, docs, bounds, text, codes, kinds in zip(*(c for c in batch.columns)):
+                own, _, _, _ = Pack(docs.as_py(), bounds.as_py(), text.as_py(), buckets).shared(_answered(codes.as_py(), "u1"))
+                sent, rows = np.flatnonzero(_answered(kinds.as_py(), "u1") == 2), []
+                for b, i, j in _cut(own.bucket[sent]):
+                    part = sent[i:j]
+                    rows.append((b, pack.as_py(), own.low[part].tobytes(), own.doc[part].tobytes(), own.size[part].astype("<u4").tobytes(), own.texts(part)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "pack", "low", "docs", "sizes", "texts"])
 
@@ -288,7 +365,7 @@ def repeated_starts(own: Pack, codes: np.ndarray, masks: np.ndarray) -> np.ndarr
     begins = np.zeros(len(own.text) + 1, np.int32)
     if not len(entries):
         return begins[:-1].astype(bool)
-    least = np.array([e[3] for e in entries], np.int64)[entry]
+    least = entries.doc[entry]
     mask = np.where(own.docs[np.searchsorted(own.bounds, first, side="right") - 1] > least, ALL, masks[entry])
     whole = mask == ALL
     np.add.at(begins, first[whole], 1)
@@ -306,9 +383,11 @@ def _take_out(buckets: int, key: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, docs, bounds, text, codes, masks in zip(*(c for c in batch.columns)):
-                own = Pack(docs.as_py(), bounds.as_py(), text.as_py(), buckets)
-                marks = repeated_starts(own, _answered(codes.as_py(), "u1"), _answered(masks.as_py(), "<u8"))
+            for _, docs, bounds, text, codes, kinds, answers in zip(*(c for c in batch.columns)):
+                own, kind_of = Pack(docs.as_py(), bounds.as_py(), text.as_py(), buckets), _answered(kinds.as_py(), "u1")
+                masks = np.where(kind_of == 0, ALL, np.uint64(0))
+                masks[kind_of == 2] = _answered(answers.as_py(), "<u8")
+                marks = repeated_starts(own, _answered(codes.as_py(), "u1"), masks)
                 place = np.arange(len(marks))
                 gone = place - np.maximum.accumulate(np.where(marks, place, -LENGTH)) < LENGTH if len(marks) else marks
                 data, rows = np.frombuffer(own.text, np.uint8), []
@@ -322,6 +401,17 @@ def _take_out(buckets: int, key: str):
     return run
 
 
+def _unshuffled(rows: DataFrame, name: str) -> DataFrame:
+    """rows written as a table; the shuffle files behind it go at once, not when the driver collects its garbage."""
+    conf, key = rows.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(rows, name=name)
+    finally:
+        conf.set(key, before)
+
+
 def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Takes out of each text every byte of a passage of LENGTH bytes that a document of smaller key has too.
 
@@ -339,15 +429,17 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
 
     def by_pack(answers: DataFrame, name: str) -> DataFrame:
         rows = answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
-        return materialize(rows, name=name).hint("shuffle_hash")
+        return _unshuffled(rows, name).hint("shuffle_hash")
 
     posts = packs.mapInArrow(_post(buckets), "bucket bigint, pack bigint, low binary, weight binary")
     codes = by_pack(posts.groupBy("bucket").applyInArrow(_meet, answer), "codes")
-    sent = packs.join(codes, "pack").mapInArrow(_send(buckets), "bucket bigint, pack bigint, low binary, docs binary, sizes binary, texts binary")
+    told = packs.join(codes, "pack").mapInArrow(_tell(buckets), "bucket bigint, pack bigint, low binary, digests binary, docs binary")
+    kinds = by_pack(told.groupBy("bucket").applyInArrow(_sort_out, answer), "kinds")
+    sent = packs.join(codes, "pack").join(kinds, "pack").mapInArrow(_send(buckets), "bucket bigint, pack bigint, low binary, docs binary, sizes binary, texts binary")
     masks = by_pack(sent.groupBy("bucket").applyInArrow(_refine, answer), "masks")
-    both = packs.join(codes, "pack", "left").join(masks, "pack", "left")
+    every = packs.join(codes, "pack", "left").join(kinds, "pack", "left").join(masks, "pack", "left")
     kind = f"`{key}` bigint, n_bytes bigint, spans array<struct<start: bigint, length: bigint>>, kept binary"
-    out = both.mapInArrow(_take_out(buckets, key), kind)
+    out = every.mapInArrow(_take_out(buckets, key), kind)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     unnamed = named.where("doc is null").select(F.col("doc").alias(key), F.octet_length(whole).cast("bigint").alias("n_bytes"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"), whole.alias("kept"))
     return out.unionByName(unnamed)

@@ -107,3 +107,44 @@ def test_digest_columns(spark, sf_dir):
     want = {i: (n, sum(k for _, k in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in by_hand([(i, b.decode()) for i, b in docs.items()])}
     got = suffixes.op13_suffix_dedup(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_op13_text_is_sent_once_however_many_copies():
+    """Six copies of a pack send no more text than two."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [t.encode() for t in corpus(16, 40)]
+    bounds = np.cumsum([0, *map(len, texts)]).astype("<i8").tobytes()
+
+    def through(step, work, columns):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[str(i) for i in range(len(columns))])
+        rows, answers = pa.Table.from_batches(step(4)(iter([batch]))), {}
+        for bucket in range(4):
+            for r in work(rows.filter(pc.equal(rows["bucket"], bucket))).to_pylist():
+                answers.setdefault(r["pack"], []).append({"bucket": r["bucket"], "answer": r["answer"]})
+        return rows, [answers.get(p) for p in columns[0]]
+
+    def sent(copies):
+        packs = [list(range(copies)), [(np.arange(len(texts)) + c * len(texts)).astype("<i8").tobytes() for c in range(copies)], [bounds] * copies, [b"".join(texts)] * copies]
+        _, codes = through(suffixes._post, suffixes._meet, packs)
+        _, kinds = through(suffixes._tell, suffixes._sort_out, [*packs, codes])
+        rows, _ = through(suffixes._send, suffixes._refine, [*packs, codes, kinds])
+        return sum(map(len, rows["texts"].to_pylist()))
+
+    assert 0 < sent(6) == sent(2)
+
+
+def test_op13_leaves_no_shuffle_files_on_the_way(spark):
+    """What was shuffled before the last step is gone when that begins."""
+    import os
+
+    dirs = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p: os.path.getsize(p) for d in dirs for at, _, names in os.walk(d) for n in names if n.startswith("shuffle_") for p in [os.path.join(at, n)]}
+    texts = corpus(17, 400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffled()
+    found = suffixes.repeated_passages(df)
+    left = sum(n for p, n in shuffled().items() if p not in before)
+    assert left < sum(map(len, texts)) // 10
+    assert found.count() == len(texts)
