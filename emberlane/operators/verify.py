@@ -90,16 +90,17 @@ def _number_key(low: Column) -> Column:
     return F.when(low.startswith("0x"), of_hex).otherwise(bare(low))
 
 
-def ungrounded(tokens: Column, evidence: Column) -> Column:
+def ungrounded(tokens: Column, evidence: Column, numbers: Column | None = None) -> Column:
     """The tokens (kind, token) that the evidence does not explain.
 
     A number has to stand in it as a number of equal value; a path or file name as part of
-    it, a file name also with all dots left out.
+    it, a file name also with all dots left out. ``numbers`` are the number_key of those that
+    count, if they are not all whole numbers of the evidence.
     """
     folded = lambda t: F.replace(t.token, F.lit("."), F.lit(""))
     known = lambda t, e: F.when(t.kind == "number", F.array_contains(e.numbers, number_key(t.token))).otherwise(F.contains(e.text, t.token) | ((t.kind == "file") & (F.length(folded(t)) >= LEAST_COMPACT) & F.contains(e.compact, folded(t))))
-    numbers = lambda low: F.transform(F.regexp_extract_all(low, F.lit(_WHOLE_NUMBER), F.lit(0)), _number_key)
-    held = lambda low, text: F.named_struct(F.lit("text"), text, F.lit("compact"), F.replace(text, F.lit("."), F.lit("")), F.lit("numbers"), numbers(low))
+    counted = lambda low: F.transform(F.regexp_extract_all(low, F.lit(_WHOLE_NUMBER), F.lit(0)), _number_key) if numbers is None else numbers
+    held = lambda low, text: F.named_struct(F.lit("text"), text, F.lit("compact"), F.replace(text, F.lit("."), F.lit("")), F.lit("numbers"), counted(low))
     # the evidence may be long: it is lower-cased once, and slashes do not change its numbers
     read = let(F.lower(F.replace(evidence, F.lit("\\"), F.lit("/"))), lambda low: let(normalize_path(low, lowered=True), lambda text: held(low, text)))
     return let(read, lambda e: F.filter(tokens, lambda t: ~F.coalesce(known(t, e), F.lit(False))))

@@ -100,3 +100,17 @@ def test_members_are_dealt_out_once_for_blob_and_values(spark, sf_dir):
     """Strings and scalars come of one grouping; no join of two."""
     plan = registry.QUERIES["record_blobs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_grounding_as_sql_on_odd_texts(spark, tmp_path):
+    """Numbers with one sign between them, hex, dots in a word, backslashes, signs beyond ASCII, no text."""
+    import duckdb
+
+    texts = ["on +1 (929) 555-1803 and", "1803 1803", "7 1803 1803", "1803", "at 0x70B or 0x70b", "zz.zz l.i.c.e.n", "C:\\Dir\\a.exe ran", "\\", " led by", "", None, "1803\u212a \u0130" + "1803", "1803\n1803", "a1803 1803b é1803é", "01803,18037", "x/ 18037", "ΟΔΟΣ 1803\r\n", "1803\n"]
+    rows = [(i, t, 803) for i, t in enumerate([t for t in texts for _ in range(2)])]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.missing for r in registry.QUERIES["grounding"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(con.execute(registry.ORACLE["grounding"]).fetchall())
+    assert got[1] == "zzzz,l.icen,1803,0x70B,18037"
